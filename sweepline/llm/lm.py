@@ -13,6 +13,7 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesnp import BLOCK, U, Spans, fold_case, mix, slices, words
-from .shared import HashTable, Scratch, bits_for, cut
+from .shared import HashTable, Scratch, bits_for, cut, put_array
 
 BOS, EOS = U(0x5D1E0F3B2C4A6978), U(0x7A3C5E9F1B2D4860)
 _GRAM = "order int, bucket int, n int, data binary"
@@ -64,12 +65,12 @@ def _place(begin: np.ndarray) -> np.ndarray:
     return np.arange(begin[-1]) - np.repeat(begin[:-1], np.diff(begin))
 
 
-def _blocks(order: int, bits: int, ctx, word, shorter, adj, raw):
-    """Rows of bucketed, locally summed n-grams."""
+def _blocks(order: int, top: int, bits: int, ctx, word, shorter, adj, raw):
+    """Rows of bucketed, locally summed n-grams, sorted by context."""
     if not len(word):
         return
     key = _keys(ctx, word) if order > 1 else word
-    by = np.argsort(key)
+    by = np.lexsort((key, ctx)) if order > 1 else np.argsort(key)
     key = key[by]
     at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     first = by[at]
@@ -79,24 +80,44 @@ def _blocks(order: int, bits: int, ctx, word, shorter, adj, raw):
     ctx, word, shorter = ctx[first], word[first], shorter[first]
     for k in np.flatnonzero(cuts[1:] > cuts[:-1]):
         s = slice(cuts[k], cuts[k + 1])
-        yield order, int(k), int(s.stop - s.start), _pack(order, ctx[s], word[s], shorter[s], adj[s], raw[s])
+        yield order, int(k), int(s.stop - s.start), _pack(order, top, ctx[s], word[s], shorter[s], adj[s], raw[s])
 
 
-def _pack(order, ctx, word, shorter, adj, raw) -> bytes:
-    parts = [word.tobytes()]
-    if order > 1:
-        parts.append(ctx.tobytes())
+def _runs(x: np.ndarray) -> bytes:
+    """Runs of equal values as their number, the values and the lengths."""
+    at = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    return np.array([len(at)], "<u8").tobytes() + x[at].tobytes() + np.diff(np.r_[at, len(x)]).astype("<u4").tobytes()
+
+
+def _pack(order, top, ctx, word, shorter, adj, raw) -> bytes:
+    parts = [word.tobytes(), adj.astype("<u4").tobytes()]
+    if order < top:
+        parts.append(raw.astype("<u4").tobytes())
     if order > 2:
         parts.append(shorter.tobytes())
-    return b"".join([*parts, adj.astype("<u4").tobytes(), raw.astype("<u4").tobytes()])
+    if order > 1:
+        parts.append(_runs(ctx))
+    return b"".join(parts)
+
 
+def _unpack(order: int, top: int, n: int, data: bytes):
+    zero, at = np.zeros(n, U), 0
 
-def _unpack(order: int, n: int, data: bytes):
-    wide = np.frombuffer(data, "<u8", n * min(order, 3))
-    word, ctx, shorter = wide[:n], wide[n : 2 * n], wide[2 * n : 3 * n]
-    zero = np.zeros(n, U)
-    adj, raw = np.frombuffer(data, "<u4", offset=8 * n * min(order, 3)).reshape(2, n)
-    return ctx if order > 1 else zero, word, shorter if order > 2 else zero, adj.astype(np.int64), raw.astype(np.int64)
+    def take(dtype: str, count: int) -> np.ndarray:
+        nonlocal at
+        out = np.frombuffer(data, dtype, count, at)
+        at += out.nbytes
+        return out
+
+    word, adj = take("<u8", n), take("<u4", n).astype(np.int64)
+    raw = take("<u4", n).astype(np.int64) if order < top else adj
+    shorter = take("<u8", n) if order > 2 else zero
+    ctx = zero
+    if order > 1:
+        runs = int(take("<u8", 1)[0])
+        values = take("<u8", runs)
+        ctx = np.repeat(values, take("<u4", runs))
+    return ctx, word, shorter, adj, raw
 
 
 def _batch(rows) -> pa.RecordBatch:
@@ -109,13 +130,13 @@ def _count(order: int, top: int, bits: int):
 
     def run(batches):
         for batch in batches:
-            for _, _, b, offs in slices(batch.column(0), 2 * BLOCK):
+            for _, _, b, offs in slices(batch.column(0), 4 * BLOCK):
                 tok, begin = _tokens(fold_case(b), offs)
                 ctx = _contexts(tok, order)
                 place = _place(begin)
                 at = np.flatnonzero(place >= max(order - 1, 1)) if order == top else np.flatnonzero(place == order - 1)
                 one = np.ones(len(at), np.int64)
-                if rows := list(_blocks(order, bits, ctx[order - 1][at], tok[at], ctx[max(order - 2, 0)][at], one, one)):
+                if rows := list(_blocks(order, top, bits, ctx[order - 1][at], tok[at], ctx[max(order - 2, 0)][at], one, one)):
                     yield _batch(rows)
 
     return run
@@ -173,8 +194,12 @@ class Model:
         return p, raw
 
 
-def _merge(order: int, grams: HashTable, sides: HashTable | None):
-    """Sum the blocks of a bucket, write its sorted arrays and say its counts of counts."""
+STATS = ["types", "adj", "raw", "n1", "n2", "n3", "n4", "n3up"]
+
+
+def _merge(order: int, top: int, bits: int, grams: HashTable, sides: HashTable):
+    """Sum the blocks of a bucket, write its sorted arrays and counts of counts; out go the n-grams of the next order
+    down: each distinct n-gram is one left extension of its suffix."""
 
     def run(batches):
         parts: dict[int, list] = {}
@@ -182,42 +207,24 @@ def _merge(order: int, grams: HashTable, sides: HashTable | None):
             for k, n, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 parts.setdefault(k, []).append((n, data.as_py()))
         for k in sorted(parts):
-            held = [np.concatenate(x) for x in zip(*(_unpack(order, n, d) for n, d in parts.pop(k)), strict=True)]
-            ctx, word, shorter, adj, raw = held
+            ctx, word, shorter, adj, raw = (np.concatenate(x) for x in zip(*(_unpack(order, top, n, d) for n, d in parts.pop(k)), strict=True))
             key = _keys(ctx, word) if order > 1 else word
             by = np.argsort(key)
             key = key[by]
             at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             first = by[at]
             key, adj, raw = key[at], np.add.reduceat(adj[by], at), np.add.reduceat(raw[by], at)
-            if order > 1:
-                grams.write(k, key, adj=adj, raw=raw, word=word[first], shorter=shorter[first])
-                ctx = ctx[first]
-                by = np.argsort(ctx)
-                c, a = ctx[by], adj[by]
-                at = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-                sides.write(k, c[at], total=np.add.reduceat(a, at), n1=np.add.reduceat(a == 1, at, dtype=np.int64), n2=np.add.reduceat(a == 2, at, dtype=np.int64), n3=np.add.reduceat(a > 2, at, dtype=np.int64))
-            else:
-                grams.write(k, key, adj=adj, raw=raw)
-            yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in (k, len(key), adj.sum(), raw.sum(), (adj == 1).sum(), (adj == 2).sum(), (adj == 3).sum(), (adj == 4).sum(), (adj > 2).sum())], _STATS)
-
-    return run
-
-
-_STATS = ["bucket", "types", "adj", "raw", "n1", "n2", "n3", "n4", "n3up"]
-
-
-def _lower(order: int, bits: int, grams: HashTable):
-    """From the arrays of ``order + 1``: each distinct n-gram is one left extension of its suffix."""
-
-    def run(batches):
-        for batch in batches:
-            for k in batch.column(0).to_pylist():
-                read = {c: np.fromfile(f"{grams.path}/{k}.{c}", t) for c, t in (("word", "<u8"), ("shorter", "<u8"), ("raw", "<u4"))}
-                one = np.ones(len(read["word"]), np.int64)
-                zero = np.zeros(len(one), U)
-                if rows := list(_blocks(order, bits, read["shorter"], read["word"], zero, one, read["raw"].astype(np.int64))):
-                    yield _batch(rows)
+            put_array(f"{grams.path}/{k}.stats", np.array([len(key), adj.sum(), raw.sum(), *((adj == i).sum() for i in (1, 2, 3, 4)), (adj > 2).sum()], "<i8"))
+            grams.write(k, key, adj=adj, raw=raw)
+            if order == 1:
+                continue
+            ctx, word, shorter = ctx[first], word[first], shorter[first]
+            by = np.argsort(ctx)
+            c, a = ctx[by], adj[by]
+            at = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+            sides.write(k, c[at], total=np.add.reduceat(a, at), n1=np.add.reduceat(a == 1, at, dtype=np.int64), n2=np.add.reduceat(a == 2, at, dtype=np.int64), n3=np.add.reduceat(a > 2, at, dtype=np.int64))
+            if rows := list(_blocks(order - 1, top, bits, shorter, word, np.zeros(len(word), U), np.ones(len(word), np.int64), raw)):
+                yield _batch(rows)
 
     return run
 
@@ -230,31 +237,20 @@ def train(docs: DataFrame, text: str = "text", order: int = 2, bits: int | None
     bits = bits_for(docs.count(), 4000) if bits is None else bits
     scratch = Scratch(spark, "lm")
     model = Model(order, {}, {}, {}, scratch)
-    import os
-
+    rows = None
     for m in range(order, 0, -1):
         for kind in ("grams", "sides"):
             os.makedirs(f"{scratch.path}/{m}/{kind}")
-        gram_cols = {"adj": "<u4", "raw": "<u4"}
-        model.grams[m] = HashTable(f"{scratch.path}/{m}/grams", bits, gram_cols | ({"word": "<u8", "shorter": "<u8"} if m > 1 else {}))
+        model.grams[m] = HashTable(f"{scratch.path}/{m}/grams", bits, {"adj": "<u4"} | ({"raw": "<u4"} if m == 1 else {}))
         model.sides[m] = HashTable(f"{scratch.path}/{m}/sides", bits, {"total": "<u4", "n1": "<u4", "n2": "<u4", "n3": "<u4"})
-        if m == order:
-            rows = docs.mapInArrow(_count(m, order, bits), _GRAM)
-        else:
-            buckets = spark.range(0, 1 << bits, 1, 1 << bits)
-            rows = buckets.mapInArrow(_lower(m, bits, model.grams[m + 1]), _GRAM)
-            if m > 1:
-                rows = rows.unionByName(docs.mapInArrow(_count(m, order, bits), _GRAM))
-        merged = rows.repartition(1 << bits, "bucket").mapInArrow(_merge(m, model.grams[m], model.sides[m]), ", ".join(f"{c} long" for c in _STATS))
-        total = merged.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _STATS[1:])).first()
-        model.stats[m] = total.asDict()
-        if m < order:  # the next order down needs these columns no more
-            for k in range(1 << bits):
-                for c in ("word", "shorter"):
-                    if os.path.exists(p := f"{model.grams[m + 1].path}/{k}.{c}"):
-                        os.remove(p)
-        for h in (model.grams[m], model.sides[m]):
-            h.cols = {c: t for c, t in h.cols.items() if c not in ("word", "shorter") and (m == 1 or c != "raw")}
+        if m > 1:
+            own = docs.mapInArrow(_count(m, order, bits), _GRAM)
+            rows = own if rows is None else rows.unionByName(own)
+        rows = rows.repartition(1 << bits, "bucket").mapInArrow(_merge(m, order, bits, model.grams[m], model.sides[m]), _GRAM)
+    rows.agg(F.count("*")).collect()
+    for m, table in model.grams.items():
+        held = [np.fromfile(p, "<i8") for k in range(1 << bits) if os.path.exists(p := f"{table.path}/{k}.stats")]
+        model.stats[m] = dict(zip(STATS, map(int, np.sum(held, axis=0)) if held else [0] * len(STATS), strict=True))
     model.sides.pop(1)
     return model
 
