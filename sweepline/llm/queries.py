@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import lm
+from . import lm, simhash
 
 QUERIES = {
     "op1_ngram_lm": lm.query,
+    "op7_simhash": simhash.query,
 }
 ORACLES: dict[str, str] = {}
