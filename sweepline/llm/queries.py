@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import lm, packing, separators, simhash
+from . import chat, lm, packing, separators, simhash
 
 QUERIES = {
     "op1_ngram_lm": lm.query,
     "op3_separator_scan": separators.query,
     "op5_sum_of_squares_packing": packing.query,
     "op7_simhash": simhash.query,
+    "op8_chat_roundtrip": chat.query,
 }
 ORACLES: dict[str, str] = {}
