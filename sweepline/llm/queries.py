@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, lm, packing, separators, simhash
+from . import chat, lm, packing, separators, simhash, toxicity
 
 QUERIES = {
     "op1_ngram_lm": lm.query,
@@ -10,5 +10,6 @@ QUERIES = {
     "op5_sum_of_squares_packing": packing.query,
     "op7_simhash": simhash.query,
     "op8_chat_roundtrip": chat.query,
+    "op9_toxicity": toxicity.query,
 }
 ORACLES: dict[str, str] = {}

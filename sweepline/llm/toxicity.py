@@ -164,9 +164,19 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ()) ->
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     least = max(4, int(0.01 * toxic))
     rows = counts.withColumn("odds", odds).where(f"toxic >= {least} and odds > 3").orderBy(F.desc("toxic"), "term").limit(4 * TERMS).collect()
+    # a beginning gives way to a longer one, or to a whole word, with nearly its toxic texts and fewer clean ones
+    better: dict[str, tuple[float, int]] = {}
+    for r in rows:
+        t = r["term"]
+        for n in range(PREFIXES[0], len(t.strip()) + (t[-1] == " ")):
+            if r["toxic"] > better.get(t[: n + 1], (0, 0))[0] or (r["toxic"] == better[t[: n + 1]][0] and r["clean"] < better[t[: n + 1]][1]):
+                better[t[: n + 1]] = (r["toxic"], r["clean"])
     terms: dict[str, float] = {}
     for r in sorted(rows, key=lambda r: (len(r["term"].strip()), r["term"])):
         t = r["term"]
+        more, fewer = better.get(t, (0, 0))
+        if more >= 0.9 * r["toxic"] and fewer < r["clean"]:
+            continue
         if len(terms) < TERMS and not any(t[: n + 1] in terms for n in PREFIXES if n < len(t.strip()) + (t[-1] == " ")):
             terms[t] = float(r["odds"])
     lexicon = Lexicon(terms, tuple(" " + " ".join(fold(p).split()) + " " for p in exceptions))
