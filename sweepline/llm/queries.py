@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, lm, packing, separators, simhash, toxicity
+from . import chat, ego, lm, packing, separators, simhash, toxicity
 
 QUERIES = {
     "op1_ngram_lm": lm.query,
@@ -11,5 +11,6 @@ QUERIES = {
     "op7_simhash": simhash.query,
     "op8_chat_roundtrip": chat.query,
     "op9_toxicity": toxicity.query,
+    "op10_ego_join": ego.query,
 }
 ORACLES: dict[str, str] = {}
