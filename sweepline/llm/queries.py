@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import cdc, chat, ego, lm, packing, separators, simhash, toxicity
+from . import cdc, chat, ego, lm, packing, separators, simhash, suffixes, toxicity
 
 QUERIES = {
     "op1_ngram_lm": lm.query,
     "op3_separator_scan": separators.query,
     "op4_gear_chunks": cdc.query,
     "op5_sum_of_squares_packing": packing.query,
+    "op6_suffix_merge": suffixes.query,
     "op7_simhash": simhash.query,
     "op8_chat_roundtrip": chat.query,
     "op9_toxicity": toxicity.query,
