@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import cdc, chat, ego, lm, packing, separators, simhash, suffixes, toxicity
+from . import cdc, chat, decontaminate, ego, lm, packing, separators, simhash, suffixes, toxicity
 
 QUERIES = {
     "op1_ngram_lm": lm.query,
+    "op2_latent_decontamination": decontaminate.query,
     "op3_separator_scan": separators.query,
     "op4_gear_chunks": cdc.query,
     "op5_sum_of_squares_packing": packing.query,
