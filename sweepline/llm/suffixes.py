@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesnp import BLOCK, U, Spans, ragged, slices
+from .bytesnp import U, Spans, mix, ragged, slices
 from .cdc import NO_ID, _ids
 from .shared import Scratch, bits_for, cut, store_table
 
@@ -72,7 +72,10 @@ def _head(b: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def repeated_grams(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, n, head): hashes of grams at two anchors or more; head is known for every 16th hash only, for splitters."""
+    """(h, n, head): hashes of grams at two anchors or more; head is known for some hashes only, for splitters.
+
+    Anchors have small hashes, so they are mixed anew: the leading bits of h deal evenly.
+    """
 
     def run(batches):
         for batch in batches:
@@ -80,7 +83,7 @@ def repeated_grams(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 a, _, _, h = anchors(b, offs, length, gram)
                 kinds, first, n = np.unique(h, return_index=True, return_counts=True)
                 head = np.where(kinds & U(15) == 0, _head(b, a[first]), 0) if len(a) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(head)], ["h", "n", "head"])
+                yield pa.RecordBatch.from_arrays([pa.array(mix(kinds).view(np.int64)), pa.array(n.astype(np.int32)), pa.array(head)], ["h", "n", "head"])
 
     rows = docs.select("doc_id", "text").mapInArrow(run, "h long, n int, head long")
     return rows.groupBy("h").agg(F.sum("n").alias("n"), F.max("head").alias("head")).where("n > 1")
@@ -292,7 +295,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     table = store_table(grams, "h", {}, scratch, bits_for(total["kinds"], 100_000))
     ranges = max(1, min(65_536, max(docs.sparkSession.sparkContext.defaultParallelism, total["n"] // PER_RANGE)))
     marks = [i / ranges for i in range(1, ranges)]
-    heads = grams.where("h & 15 = 0").agg(F.percentile_approx("head", F.array(*map(F.lit, marks)), 100 * ranges)).first()[0] if marks else None
+    heads = grams.where("head <> 0").agg(F.percentile_approx("head", F.array(*map(F.lit, marks)), 100 * ranges)).first()[0] if marks else None
     splitters = np.unique(np.array(heads or [], np.int64))
 
     def sort(batches):
@@ -307,7 +310,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             ids = _ids(batch.column(0))
             for s, e, b, offs in slices(batch.column(1)):
                 a, lo, hi, h = anchors(b, offs, length, gram)
-                found, _ = table.find(h)
+                found, _ = table.find(mix(h))
                 for k in range(0, len(a), RUN):
                     part = np.arange(k, min(k + RUN, len(a)))[found[k : k + RUN]]
                     if len(part):
