@@ -33,7 +33,7 @@ from .shared import cut
 FEATURES, RANK, BLOCK_WORDS = 1 << 14, 64, 16
 MOST_PASSAGES = 2_048
 ITEM_WORDS, FEWEST = 64, 8
-CANDIDATE, COPIED, PARAPHRASED, ANSWERED = 0.35, 0.75, 0.5, 0.5
+CANDIDATE, COPIED, PARAPHRASED, ANSWERED = 0.45, 0.75, 0.5, 0.5
 
 _APART = np.zeros(256, bool)
 _APART[[c for c in range(128) if not chr(c).isalnum()]] = True
@@ -63,6 +63,11 @@ def _blocks(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[row] + BLOCK_WORDS * (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)), row
 
 
+def _leads(start: np.ndarray, row: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Every other block of a text, where passages that don't overlap begin."""
+    return (start - first[row]) // BLOCK_WORDS % 2 == 0
+
+
 def _frequencies(batches):
     """Passages (pairs of blocks) that hold a feature, and their number at feature -1."""
     df, total = np.zeros(FEATURES, np.int64), 0
@@ -71,11 +76,13 @@ def _frequencies(batches):
             h, first = word_hashes(b, offs)
             if not len(h):
                 continue
-            start, _ = _blocks(first)
-            passage = np.searchsorted(start, np.arange(len(h)), "right") - 1
-            key = np.unique(passage // 2 * FEATURES + _features(h))
-            df += np.bincount(key % FEATURES, minlength=FEATURES)
-            total += len(np.unique(key // FEATURES))
+            start, row = _blocks(first)
+            at = start[_leads(start, row, first)]
+            key = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(h)])) * FEATURES + _features(h)
+            key.sort()
+            key = key[np.r_[True, key[1:] != key[:-1]]]
+            df += np.bincount(key & (FEATURES - 1), minlength=FEATURES)
+            total += len(at)
     at = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[total, df[at]])], ["f", "n"])
 
@@ -89,30 +96,37 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 
 
 def latent_space(docs: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """(vectors FEATURES x rank, singular values): randomised SVD of the TF-IDF passages of all texts."""
-    test = np.linalg.qr(np.random.default_rng(seed).standard_normal((FEATURES, rank)))[0].astype(np.float32)
+    """(vectors FEATURES x rank, singular values): randomised SVD of the TF-IDF passages of all texts.
+
+    The test matrix is a sparse sign embedding: each feature has one random column and sign.
+    """
+    rng = np.random.default_rng(seed)
+    column, sign = rng.integers(0, rank, FEATURES), rng.choice([-1.0, 1.0], FEATURES)
+    test = np.zeros((FEATURES, rank))
+    test[np.arange(FEATURES), column] = sign
     weight = idf.astype(np.float32)
 
     def run(batches):
-        z = np.zeros((FEATURES, rank), np.float32)
+        z = np.zeros((rank, FEATURES), np.float32)
         for batch in batches:
-            for _, _, b, offs in slices(batch.column(0), 1 << 18):
+            for _, _, b, offs in slices(batch.column(0), 1 << 19):
                 h, first = word_hashes(b, offs)
                 if not len(h):
                     continue
                 f = _features(h)
                 start, row = _blocks(first)
-                lead = (start - first[row]) // BLOCK_WORDS % 2 == 0  # every other block begins a passage
-                at = start[lead]
-                passage = np.searchsorted(at, np.arange(len(h)), "right") - 1
-                norm = np.sqrt(np.add.reduceat(weight[f] ** 2, at))
-                v = weight[f] / norm[passage]
-                y = np.add.reduceat(test[f] * v[:, None], at, axis=0)  # A W
+                at = start[_leads(start, row, first)]
+                size = np.diff(np.r_[at, len(h)])
+                passage = np.repeat(np.arange(len(at)), size)
+                v = weight[f] / np.repeat(np.sqrt(np.add.reduceat(weight[f] ** 2, at)), size)
+                y = np.bincount(column[f] * len(at) + passage, weights=v * sign[f], minlength=rank * len(at)).reshape(rank, -1).astype(np.float32)  # (A W)'
                 by = np.argsort(f, kind="stable")
-                new = np.flatnonzero(np.r_[True, np.diff(f[by]) > 0])
-                z[f[by][new]] += np.add.reduceat(y[passage[by]] * v[by, None], new, axis=0)  # A' y
-        for k in range(0, FEATURES, 1024):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([z[k : k + 1024].tobytes()])], ["k", "z"])
+                fs, v, passage = f[by], v[by], passage[by]
+                new = np.flatnonzero(np.r_[True, fs[1:] != fs[:-1]])
+                for k in range(rank):  # A' (A W), a column at a time
+                    z[k, fs[new]] += np.add.reduceat(y[k][passage] * v, new)
+        for k in range(rank):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([z[k].tobytes()])], ["k", "z"])
 
     def add(batches):
         held: dict[int, np.ndarray] = {}
@@ -124,11 +138,11 @@ def latent_space(docs: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int =
 
     parts = docs.select("text").mapInArrow(run, "k int, z binary")
     z = np.zeros((FEATURES, rank))
-    for r in parts.repartition(FEATURES // 1024, "k").mapInArrow(add, "k int, z binary").collect():  # FEATURES x rank numbers
-        z[r["k"] : r["k"] + 1024] = np.frombuffer(r["z"], np.float64).reshape(-1, rank)
+    for r in parts.repartition(rank, "k").mapInArrow(add, "k int, z binary").collect():  # FEATURES x rank numbers
+        z[:, r["k"]] = np.frombuffer(r["z"], np.float64)
     shift = 1e-7 * max(np.linalg.norm(z), 1e-12)
     z += shift * test
-    core = test.T.astype(np.float64) @ z
+    core = test.T @ z
     root = np.linalg.cholesky((core + core.T) / 2 + 1e-12 * np.eye(rank) * max(np.trace(core), 1e-12))
     u, s, _ = np.linalg.svd(np.linalg.solve(root, z.T).T, full_matrices=False)
     return u, np.sqrt(np.maximum(s**2 - shift, 0))
@@ -167,10 +181,31 @@ class Benchmark:
         basis = np.c_[space, v[s > 1e-6].T]
         back = (a @ basis) @ basis.T
         back[np.abs(back) < 1e-9] = 0
-        used = np.flatnonzero(np.abs(back).any(0))
-        self.row = np.full(FEATURES, -1, np.int64)
-        self.row[used] = np.arange(len(used))
-        self.weights = np.ascontiguousarray(back[:, used].T, np.float32) * self.idf[used, None]
+        self._index(np.ascontiguousarray(back.T, np.float32) * self.idf[:, None])
+
+    def __getstate__(self):
+        """Tasks are sent the weights that are not 0."""
+        f, p = np.nonzero(self.weights)
+        keep = ("idf", "item", "words", "whole", "answer", "of")
+        return {k: getattr(self, k) for k in keep} | {"entries": (f, p, self.weights[f, p])}
+
+    def __setstate__(self, state):
+        f, p, w = state.pop("entries")
+        self.__dict__ |= state
+        weights = np.zeros((FEATURES, len(self.of)), np.float32)
+        weights[f, p] = w
+        self._index(weights)
+
+    def _index(self, weights: np.ndarray) -> None:
+        self.weights, held = weights, weights != 0
+        count = held.sum(1)
+        # a feature of few passages is looked up, one of many is bounded first
+        self.many = count > 16
+        self.bound = np.where(self.many, np.abs(self.weights).max(1, initial=0), 0)
+        f, self.passage = np.nonzero(held & ~self.many[:, None])
+        self.weight = self.weights[f, self.passage]
+        self.count = np.where(self.many, 0, count)
+        self.first = np.cumsum(self.count) - self.count
 
     @staticmethod
     def _hash(text: str) -> np.ndarray:
@@ -178,34 +213,52 @@ class Benchmark:
         return word_hashes(raw, np.array([0, len(raw)]))[0] if len(raw) else np.zeros(0, U)
 
     def candidates(self, h: np.ndarray, first: np.ndarray, least: float):
-        """(first word of the passage, item passage, cosine) of what is near in the latent space."""
+        """(first word of the passage, item passage, cosine) of all that is near in the latent space.
+
+        Features that few benchmark passages hold are summed by (passage, benchmark passage); what those that many hold
+        could add is bounded by passage, and the whole sum is made only where the bound leaves it open.
+        """
         f = _features(h)
         start, row = _blocks(first)
-        norm2 = np.add.reduceat(self.idf[f] ** 2, start)
+        size = np.diff(np.r_[start, len(h)])
         pair = np.r_[row[1:] == row[:-1], False]  # this block and the next are a passage
-        norm2[:-1] += np.where(pair[:-1], norm2[1:], 0)
         lone = np.r_[True, ~pair[:-1]] & ~pair  # the only block of its text
+
+        def passages(by_block):
+            out = by_block.copy()
+            out[:-1] += np.where(pair[:-1], by_block[1:], 0)
+            return out
+
+        norm = np.sqrt(passages(np.add.reduceat(self.idf[f] ** 2, start)))
+        open_ = passages(np.add.reduceat(self.bound[f], start))
+        block = np.repeat(np.arange(len(start)), size)
+        use = np.flatnonzero(self.count[f])
+        n = self.count[f[use]]
+        entry = ragged(self.first[f[use]], n)
+        at, p, w = np.repeat(block[use], n), self.passage[entry], self.weight[entry]
+        also = np.flatnonzero((at > 0) & pair[at - 1])  # the passage that began a block before
+        kinds = len(self.of)
+        key = np.r_[at, at[also] - 1] * kinds + np.r_[p, p[also]]
+        by = np.argsort(key)
+        key = key[by]
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        dot = np.add.reduceat(np.r_[w, w[also]][by], new) if len(key) else np.zeros(0)
+        i, j = np.divmod(key[new], kinds)
+        maybe = (dot + open_[i] >= least * norm[i] - 1e-6) & (pair | lone)[i]
+        i, j = i[maybe], j[maybe]
+        wide = np.flatnonzero((open_ >= least * norm - 1e-6) & (pair | lone))  # common words alone could do: all passages
+        i, j = np.r_[i, np.repeat(wide, kinds)], np.r_[j, np.tile(np.arange(kinds), len(wide))]
+        if len(wide):
+            i, j = np.divmod(np.unique(i * kinds + j), kinds)
         out = []
-        step = max(64, 4_000_000 // max(len(self.of), 1) // BLOCK_WORDS)
-        for k in range(0, len(start), step):
-            e = min(k + step + 1, len(start))  # one block more, for the last pair
-            stop = start[e] if e < len(start) else len(h)
-            part = f[start[k] : stop]
-            at = self.row[part]
-            use = np.flatnonzero(at >= 0)
-            if not len(use):
-                continue
-            block = np.searchsorted(start[k:e], use + start[k], "right") - 1
-            new = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            dot = np.zeros((e - k, self.weights.shape[1]), np.float32)
-            dot[block[new]] = np.add.reduceat(self.weights[at[use]], new, axis=0)
-            dot[:-1] += np.where(pair[k : e - 1, None], dot[1:], 0)
-            live = (pair | lone)[k:e]
-            if e - k > step:
-                live[-1] = False
-            i, j = np.nonzero((dot >= least * np.sqrt(norm2[k:e, None])) & live[:, None])
-            if len(i):
-                out.append((start[k + i], self.of[j], dot[i, j] / np.sqrt(norm2[k + i])))
+        for k in range(0, len(i), 50_000):
+            a, q = i[k : k + 50_000], j[k : k + 50_000]
+            stop = np.where(pair[a], start[np.minimum(a + 1, len(start) - 1)] + size[np.minimum(a + 1, len(start) - 1)], start[a] + size[a])
+            n = stop - start[a]
+            terms = self.weights[f[ragged(start[a], n)], np.repeat(q, n)]
+            cosine = np.add.reduceat(terms, np.cumsum(n) - n) / norm[a]
+            near = cosine >= least
+            out.append((start[a][near], self.of[q][near], cosine[near]))
         if not out:
             z = np.zeros(0, np.int64)
             return z, z, np.zeros(0)
