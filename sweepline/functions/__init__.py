@@ -1 +1 @@
-
+"""Column expressions: points, boxes, geodesy, cameras, drawing."""

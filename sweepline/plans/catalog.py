@@ -1,6 +1,565 @@
-"""Registered queries and their DuckDB counterparts."""
+"""Registered queries and their DuckDB counterparts.
+
+Real numbers are put on a grid (``_q`` here, ``_s`` in SQL) before they are compared: floor(v * 10^d + offset) / 10^d, with an
+offset that keeps decimal fractions off the edges of the grid, so that the order of a sum cannot matter.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import boxes as box
+from ..functions import draw, geo, points
+from ..functions.camera import DAHENG_LEFT, Pinhole, rig
+from ..operators import clouds, cluster, merge, neighbors, plane, vision
+from ..operators import boxes as lidar_boxes
+from ..sources.clouds import decode_clouds, encode_clouds
+from ..sources.messages import describe, image_files
+from . import bindings as b
+from . import pipelines
+from .presets import LidarPipeline, calibration
+
+OFFSET = 0.31830988618
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def _q(c: Column | str, d: int = 4) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.floor(c * F.lit(float(10**d)) + F.lit(OFFSET)).cast("double") / F.lit(float(10**d))
+
+
+def _s(e: str, d: int = 4) -> str:
+    return f"floor(({e}) * {10**d}::DOUBLE + {OFFSET}::DOUBLE) / {10**d}::DOUBLE"
+
+
+def _sq(names: list[str], d: int = 4) -> str:
+    return ", ".join(f"{_s(n, d)} AS {n}" for n in names)
+
+
+def query(sql: str | None = None):
+    """Register a function of (spark, sf_dir) under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+BOX = ["xmin", "ymin", "zmin", "xmax", "ymax", "zmax"]
+_EXTENTS = ", ".join(f"{f}({c}) AS {c}{f}" for f in ("min", "max") for c in "xyz")
+
+
+# ---------------------------------------------------------------- voxel grid in SQL
+def _voxel_sql(source: str, leaves, intensity: str = "arg_max(intensity, point_idx)", name: str = "v") -> str:
+    """CTEs p, e, g and ``name``: cells of a cloud."""
+    dims = dict(zip("xyz", leaves, strict=True))
+    inv = ", ".join(f"CASE WHEN ({c}max - {c}min) / {n}::DOUBLE > 0 THEN 1.0::DOUBLE / (({c}max - {c}min) / {n}::DOUBLE) END AS i{c}" for c, n in dims.items())
+    low = ", ".join(f"i{c}, floor({c}min * i{c}) AS o{c}, coalesce(ceil({c}max * i{c}) - floor({c}min * i{c}) + 1, 1) AS d{c}" for c in "xyz")
+    cell = [f"coalesce(floor({c} * i{c} - o{c}), 0)" for c in "xyz"]
+    return f"""p AS ({source}), e AS (SELECT frame_id, {_EXTENTS} FROM p GROUP BY frame_id), i AS (SELECT *, {inv} FROM e),
+ g AS (SELECT frame_id, {low} FROM i), c AS (SELECT p.*, CAST({cell[0]} + {cell[1]} * dx + {cell[2]} * dx * dy AS BIGINT) AS box_idx FROM p JOIN g USING (frame_id)),
+ {name} AS (SELECT frame_id, box_idx, avg(x) AS x, avg(y) AS y, avg(z) AS z, {intensity} AS intensity, count(*) AS n_points FROM c GROUP BY frame_id, box_idx)"""
+
+
+LEAVES = (20, 15, 10)
+LOW, HIGH = (5.0, 5.0, 1.0), (45.0, 60.0, 8.0)
+
+
+def _inside_sql(low, high) -> str:
+    return " AND ".join(f"{c} BETWEEN {a} AND {z}" for c, a, z in zip("xyz", low, high, strict=True))
+
+
+@query(f"WITH {_voxel_sql(b.LARGE_SQL, LEAVES)} SELECT frame_id, count(*) AS n, {', '.join(f'{_s(f'{f}({c})')} AS {c}{f}' for f in ('min', 'max') for c in 'xyz')} FROM v WHERE {_inside_sql(LOW, HIGH)} GROUP BY frame_id")
+def flagship(spark, d) -> DataFrame:
+    """Voxel grid, crop, count and box of each frame."""
+    cells = clouds.voxel_grid(b.large(spark, d), LEAVES, number=False)
+    e = clouds.crop(cells, LOW, HIGH).groupBy("frame_id").agg(F.count("*").alias("n"), *(_q(f(c)).alias(f"{c}{n}") for n, f in (("min", F.min), ("max", F.max)) for c in "xyz"))
+    return e
+
+
+@query(f"WITH p AS ({b.LARGE_SQL}) SELECT frame_id, {_EXTENTS} FROM p GROUP BY frame_id")
+def point_minmax(spark, d) -> DataFrame:
+    return clouds.extents(b.large(spark, d))
+
+
+@query(f"WITH {_voxel_sql(b.LARGE_SQL, LEAVES)} SELECT frame_id, box_idx, {_sq(['x', 'y', 'z', 'intensity'])}, n_points, row_number() OVER (PARTITION BY frame_id ORDER BY box_idx DESC) - 1 AS point_idx FROM v")
+def voxel_downsample(spark, d) -> DataFrame:
+    v = clouds.voxel_grid(b.large(spark, d), LEAVES)
+    return v.select("frame_id", "box_idx", *(_q(c).alias(c) for c in ("x", "y", "z", "intensity")), "n_points", "point_idx")
+
+
+@query(f"WITH {_voxel_sql(b.LARGE_SQL, (8, 8, 4), 'avg(intensity)')} SELECT frame_id, box_idx, {_sq(['x', 'y', 'z', 'intensity'])}, n_points FROM v")
+def voxel_downsample_mean(spark, d) -> DataFrame:
+    v = clouds.voxel_grid(b.large(spark, d), (8, 8, 4), "mean", number=False)
+    return v.select("frame_id", "box_idx", *(_q(c).alias(c) for c in ("x", "y", "z", "intensity")), "n_points")
+
+
+_CROP = ((10.0, 20.0, 2.0), (30.0, 70.0, 6.0))
+
+
+@query(f"WITH p AS ({b.LARGE_SQL}) SELECT * FROM p WHERE {_inside_sql(*_CROP)}")
+def crop_keep(spark, d) -> DataFrame:
+    return clouds.crop(b.large(spark, d), *_CROP)
+
+
+@query(f"WITH p AS ({b.LARGE_SQL}) SELECT frame_id, count(*) AS n, min(point_idx) AS first_idx FROM p WHERE NOT ({_inside_sql(*_CROP)}) GROUP BY frame_id")
+def crop_drop(spark, d) -> DataFrame:
+    return clouds.crop(b.large(spark, d), *_CROP, drop=True).groupBy("frame_id").agg(F.count("*").alias("n"), F.min("point_idx").alias("first_idx"))
+
+
+@query(f"WITH p AS ({b.SMALL_SQL}) SELECT * FROM p WHERE x > 0 AND abs(atan2(y, x)) < radians(45)")
+def fov_filter(spark, d) -> DataFrame:
+    return b.small(spark, d).where(points.ahead())
+
+
+@query(f"""WITH p AS ({b.SMALL_SQL}) SELECT frame_id, point_idx, CAST(trunc(sqrt(x * x + y * y + z * z) * 1000) AS BIGINT) AS millimetres, CAST(trunc(intensity * 10) AS BIGINT) AS tenths,
+ row_number() OVER (PARTITION BY frame_id ORDER BY trunc(sqrt(x * x + y * y + z * z) * 1000), trunc(intensity * 10), point_idx) - 1 AS place FROM p""")
+def point_sort_key(spark, d) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("frame_id").orderBy(*points.sort_key(), "point_idx")
+    return b.small(spark, d).select("frame_id", "point_idx", points.scaled(points.norm(), 1000).alias("millimetres"), points.scaled(F.col("intensity"), 10).alias("tenths"), (F.row_number().over(w) - 1).cast("bigint").alias("place"))
+
+
+@query(f"WITH p AS ({b.SMALL_SQL}) SELECT frame_id, point_idx, {_s('sqrt(x * x + y * y + z * z)')} AS norm, {_s('sqrt((x - 1) * (x - 1) + (y + 2) * (y + 2) + (z - 3) * (z - 3))')} AS dist, coalesce(intensity, 0) AS payload, [x, y, z] = [x, y, z] AS same FROM p")
+def point_metrics(spark, d) -> DataFrame:
+    p = b.small(spark, d)
+    far = points.distance(F.col("x"), F.col("y"), F.col("z"), F.lit(1.0), F.lit(-2.0), F.lit(3.0))
+    return p.select("frame_id", "point_idx", _q(points.norm()).alias("norm"), _q(far).alias("dist"), points.payload().alias("payload"), (points.xyz() == points.xyz()).alias("same"))
+
+
+@query(f"WITH p AS ({b.LARGE_SQL}) SELECT frame_id, x, y, z, intensity, min(point_idx) AS point_idx FROM p GROUP BY ALL")
+def distinct_points(spark, d) -> DataFrame:
+    return clouds.distinct_points(b.large(spark, d))
+
+
+@query(f"WITH p AS ({b.LARGE_SQL}), o AS (SELECT DISTINCT frame_id, x, y, z, intensity FROM p WHERE point_idx % 3 = 0) SELECT p.frame_id, p.point_idx FROM p ANTI JOIN o USING (frame_id, x, y, z, intensity)")
+def cloud_difference(spark, d) -> DataFrame:
+    p = b.large(spark, d)
+    return clouds.difference(p, p.where("point_idx % 3 = 0")).select("frame_id", "point_idx")
+
+
+# ---------------------------------------------------------------- boxes
+_BOXES = f"p AS ({b.SMALL_SQL}), bb AS (SELECT frame_id, point_idx % 7 AS cluster_id, {_EXTENTS} FROM p GROUP BY 1, 2)"
+
+
+def _small_boxes(spark, d) -> DataFrame:
+    p = b.small(spark, d).withColumn("cluster_id", F.col("point_idx") % 7)
+    return clouds.bounding_boxes(p).drop("n_points")
+
+
+@query(f"WITH {_BOXES} SELECT frame_id, cluster_id, {_s('sqrt((xmin - xmax) * (xmin - xmax) + (ymin - ymax) * (ymin - ymax) + (zmin - zmax) * (zmin - zmax))')} AS diagonal, {_s('xmax - xmin')} AS dx, {_s('ymax - ymin')} AS dy, {_s('zmax - zmin')} AS dz FROM bb")
+def box_metrics(spark, d) -> DataFrame:
+    dx, dy, dz = box.extents()
+    return _small_boxes(spark, d).select("frame_id", "cluster_id", _q(box.diagonal()).alias("diagonal"), _q(dx).alias("dx"), _q(dy).alias("dy"), _q(dz).alias("dz"))
+
+
+def _wireframe_sql() -> str:
+    low, high = [f"{a}min" for a in "yzx"], [f"{a}max" for a in "yzx"]
+    corner = {k: [high[i] if k >> i & 1 else low[i] for i in range(3)] for k in range(8)}
+    pairs = [(a, a | 1 << i) for a in range(8) for i in range(3) if not a >> i & 1]
+    return " UNION ALL ".join(f"SELECT frame_id, cluster_id, {e} AS edge, {', '.join(f'{c} AS {n}' for n, c in zip(('ax', 'ay', 'az', 'bx', 'by', 'bz'), corner[x] + corner[y], strict=True))} FROM bb" for e, (x, y) in enumerate(pairs))
+
+
+@query(f"WITH {_BOXES} {_wireframe_sql()}")
+def box_wireframe(spark, d) -> DataFrame:
+    return _small_boxes(spark, d).select("frame_id", "cluster_id", F.inline(box.wireframe()))
+
+
+_RULE = lidar_boxes.Plausible(-30.0, 30.0, (0.3, 40.0), (0.3, 40.0), (0.2, 30.0))
+_RULE_SQL = "zmin >= -30 AND zmax <= 30 AND xmax - xmin BETWEEN 0.3 AND 40 AND ymax - ymin BETWEEN 0.3 AND 40 AND zmax - zmin BETWEEN 0.2 AND 30"
+_NUMBERED = f"{_BOXES}, nb AS (SELECT *, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY cluster_id) - 1 AS INTEGER) AS box_id FROM bb WHERE {_RULE_SQL})"
+
+
+@query(f"WITH {_NUMBERED} SELECT * FROM nb")
+def plausible_boxes(spark, d) -> DataFrame:
+    return lidar_boxes.plausible(_small_boxes(spark, d), _RULE)
+
+
+@query(f"WITH {_BOXES} SELECT * FROM bb WHERE NOT ({_RULE_SQL}) AND xmax > 0 AND ymax < 8")
+def rejected_boxes(spark, d) -> DataFrame:
+    return lidar_boxes.rejected_nearby(_small_boxes(spark, d), _RULE)
+
+
+_AHEAD = "xmin > -25 AND xmin < 0"
+_Y = "(CASE WHEN ymin < 0 THEN ymax ELSE ymin END)"
+
+
+@query(f"WITH {_NUMBERED}, s AS (SELECT frame_id, box_id, cluster_id, xmin + 25 AS xmin, ymin, zmin, xmax + 25 AS xmax, ymax, zmax FROM nb), f AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY box_id) AS r FROM s WHERE xmin > 0 AND xmin < 25 AND {_Y} > -15 AND {_Y} < 15) SELECT * EXCLUDE (r) FROM f WHERE r = 1")
+def ego_front(spark, d) -> DataFrame:
+    s = lidar_boxes.plausible(_small_boxes(spark, d), _RULE).withColumns({"xmin": F.col("xmin") + 25, "xmax": F.col("xmax") + 25})
+    return lidar_boxes.ego_front(s, side=15.0)
+
+
+# ---------------------------------------------------------------- merge
+def _merge_sql(ts: str) -> str:
+    return f"""m AS ({b.MESSAGES_SQL.format(ts=ts)}), r AS (SELECT *, max(ts_ns) OVER (PARTITION BY run_id, kind ORDER BY seq) AS eff FROM m),
+ n AS (SELECT run_id, kind, ts_ns, seq, row_number() OVER (PARTITION BY run_id ORDER BY eff, CASE WHEN kind = 'image' THEN 0 ELSE 1 END, seq) - 2 AS pos FROM r), mg AS (SELECT * FROM n WHERE pos >= 0)"""
+
+
+_STATE = """ls AS (SELECT run_id, pos, ts_ns, last_value(CASE WHEN kind = 'pc' THEN seq END IGNORE NULLS) OVER w AS pc_seq, last_value(CASE WHEN kind = 'image' THEN seq END IGNORE NULLS) OVER w AS image_seq
+ FROM mg WINDOW w AS (PARTITION BY run_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), fu AS (SELECT * FROM ls WHERE pc_seq IS NOT NULL AND image_seq IS NOT NULL)"""
+
+
+@query(f"WITH {_merge_sql(b.EXACT_TS)} SELECT * FROM mg")
+def msg_merge(spark, d) -> DataFrame:
+    return merge.ordered_merge(b.messages(spark, d))
+
+
+@query(f"WITH {_merge_sql(b.DAY_TS)} SELECT * FROM mg")
+def msg_merge_ties(spark, d) -> DataFrame:
+    return merge.ordered_merge(b.messages(spark, d, by_day=True))
+
+
+@query(f"WITH {_merge_sql(b.EXACT_TS)}, {_STATE} SELECT * FROM fu")
+def latest_state_join(spark, d) -> DataFrame:
+    return merge.latest_state(merge.ordered_merge(b.messages(spark, d)))
+
+
+@query(f"WITH m AS ({b.MESSAGES_SQL.format(ts=b.EXACT_TS)}), l AS (SELECT *, lag(ts_ns) OVER (PARTITION BY run_id, kind ORDER BY seq) AS prev_ts_ns FROM m) SELECT * FROM l WHERE ts_ns < prev_ts_ns")
+def out_of_order(spark, d) -> DataFrame:
+    return merge.out_of_order(b.messages(spark, d))
+
+
+@query(f"WITH {_merge_sql(b.EXACT_TS)}, {_STATE} SELECT run_id, pos, pos AS newest, lag(pos) OVER (PARTITION BY run_id ORDER BY pos) AS older FROM fu")
+def last_two_frames(spark, d) -> DataFrame:
+    two = merge.last_two(merge.latest_state(merge.ordered_merge(b.messages(spark, d))))
+    return two.select("run_id", "pos", F.element_at("recent", -1).alias("newest"), F.when(F.size("recent") == 2, F.col("recent")[0]).alias("older"))
+
+
+@query(f"WITH m AS ({b.MESSAGES_SQL.format(ts=b.EXACT_TS)}) SELECT kind, count(*) AS n FROM m GROUP BY kind")
+def kind_counts(spark, d) -> DataFrame:
+    return clouds.kind_counts(b.messages(spark, d))
+
+
+# ---------------------------------------------------------------- neighbours, planes, clusters
+_DIST = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
+
+
+@query(f"WITH p AS ({b.SMALL_SQL}) SELECT a.frame_id, a.point_idx AS target_idx, b.point_idx AS neighbour_idx, {_s(_DIST)} AS dist FROM p a JOIN p b ON a.frame_id = b.frame_id AND {_DIST} < 5")
+def radius_search(spark, d) -> DataFrame:
+    p = b.small(spark, d)
+    return neighbors.radius_search(p, p, 5.0).withColumn("dist", _q("dist"))
+
+
+ITERATIONS, LIMIT = 10, 2.5
+
+
+def _plane_sql(cloud: str, iterations: int, limit: float) -> str:
+    """CTEs over a relation ``cloud``: planes, their support, the best one (bp) and the points with is_inlier (sg)."""
+    v = {k: [f"(p{k}.{c} - p1.{c})" for c in "xyz"] for k in (2, 3)}
+    (ax, ay, az), (bx, by, bz) = v[2], v[3]
+    normal = (f"{ay} * {bz} - {az} * {by}", f"{az} * {bx} - {ax} * {bz}", f"{ax} * {by} - {ay} * {bx}")
+    near = "(CASE WHEN len <> 0 THEN coalesce(abs(a * x + b * y + c * z + d) / len <= {0}, false) ELSE false END OR point_idx IN (s1, s2, s3))".format(limit)
+    return f"""rk AS (SELECT frame_id, point_idx, x, y, z, row_number() OVER (PARTITION BY frame_id ORDER BY point_idx) - 1 AS rank, count(*) OVER (PARTITION BY frame_id) AS n FROM {cloud}),
+ it AS (SELECT DISTINCT frame_id, n, i.it FROM rk, (SELECT unnest(range({iterations})) AS it) i),
+ pk AS (SELECT it.frame_id, it.it, p1.point_idx AS s1, p2.point_idx AS s2, p3.point_idx AS s3, {', '.join(f'{e} AS {n}' for e, n in zip(normal, 'abc', strict=True))}, p1.x AS px, p1.y AS py, p1.z AS pz FROM it
+ {' '.join(f'JOIN rk p{k} ON p{k}.frame_id = it.frame_id AND p{k}.rank = (it.it * 7919 + {k * 104729} + it.frame_id * 31) % it.n' for k in (1, 2, 3))}),
+ pl AS (SELECT frame_id, it, s1, s2, s3, a, b, c, -(a * px + b * py + c * pz) AS d, sqrt(a * a + b * b + c * c) AS len FROM pk),
+ su AS (SELECT pl.frame_id, pl.it, count(*) FILTER (WHERE {near}) AS n FROM pl JOIN {cloud} q ON q.frame_id = pl.frame_id GROUP BY 1, 2),
+ bp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY n DESC, it) AS r FROM su) WHERE r = 1),
+ sg AS (SELECT q.*, {near} AS is_inlier FROM {cloud} q JOIN pl ON q.frame_id = pl.frame_id JOIN bp ON bp.frame_id = pl.frame_id AND bp.it = pl.it)"""
+
+
+_PLANE = f"p AS ({b.SMALL_SQL}), {_plane_sql('p', ITERATIONS, LIMIT)}"
+
+
+@query(f"WITH {_PLANE} SELECT frame_id, CAST(it AS INTEGER) AS it, s1, s2, s3, {_sq(['a', 'b', 'c', 'd', 'len'], 3)} FROM pl")
+def plane_candidates(spark, d) -> DataFrame:
+    c = plane.candidates(b.small(spark, d), ITERATIONS)
+    return c.select("frame_id", "it", "s1", "s2", "s3", *(_q(n, 3).alias(n) for n in ("a", "b", "c", "d", "len")))
+
+
+@query(f"WITH {_PLANE} SELECT frame_id, CAST(it AS INTEGER) AS it, n FROM su")
+def plane_support(spark, d) -> DataFrame:
+    p = b.small(spark, d)
+    return plane.support(p, plane.candidates(p, ITERATIONS), LIMIT)
+
+
+@query(f"WITH {_PLANE} SELECT frame_id, point_idx FROM sg WHERE is_inlier")
+def ransac_inliers(spark, d) -> DataFrame:
+    return plane.segment(b.small(spark, d), ITERATIONS, LIMIT).where("is_inlier").select("frame_id", "point_idx")
+
+
+@query(f"WITH {_PLANE} SELECT frame_id, point_idx FROM sg WHERE NOT is_inlier")
+def ransac_outliers(spark, d) -> DataFrame:
+    p = b.small(spark, d)
+    return clouds.difference(p, plane.segment(p, ITERATIONS, LIMIT).where("is_inlier"), by="index").select("frame_id", "point_idx")
+
+
+def _cluster_sql(cloud: str, tol: float, least: int) -> str:
+    """CTEs over ``cloud``: clusters (cl) of at least ``least`` points."""
+    return f"""ed AS MATERIALIZED (SELECT a.frame_id, a.point_idx AS u, b.point_idx AS v FROM {cloud} a JOIN {cloud} b ON a.frame_id = b.frame_id AND {_DIST} < {tol}),
+ rc AS (SELECT frame_id, point_idx AS node, point_idx AS root FROM {cloud} UNION SELECT ed.frame_id, ed.v, rc.root FROM rc JOIN ed ON ed.frame_id = rc.frame_id AND ed.u = rc.node),
+ lb AS (SELECT frame_id, node, min(root) AS root FROM rc GROUP BY 1, 2), sz AS (SELECT frame_id, root, count(*) AS n FROM lb GROUP BY 1, 2 HAVING count(*) >= {least}),
+ nm AS (SELECT frame_id, root, row_number() OVER (PARTITION BY frame_id ORDER BY root) - 1 AS cluster_id FROM sz),
+ cl AS (SELECT nm.frame_id, nm.cluster_id, lb.node AS point_idx FROM nm JOIN lb ON lb.frame_id = nm.frame_id AND lb.root = nm.root)"""
+
+
+TOL, LEAST = 5.0, 3
+_CLUSTERS = f"WITH RECURSIVE p AS ({b.SMALL_SQL}), {_cluster_sql('p', TOL, LEAST)}"
+
+
+@query(f"{_CLUSTERS} SELECT * FROM cl")
+def euclid_clusters(spark, d) -> DataFrame:
+    return cluster.clusters(b.small(spark, d), TOL, LEAST).select("frame_id", "cluster_id", "point_idx")
+
+
+@query(f"{_CLUSTERS} SELECT * FROM cl")
+def euclid_components(spark, d) -> DataFrame:
+    return cluster.components(b.small(spark, d), TOL, LEAST).select("frame_id", "cluster_id", "point_idx")
+
+
+@query()
+def euclid_clusters_capped(spark, d) -> DataFrame:
+    """With a size limit: the growth order decides, which SQL does not express."""
+    return cluster.clusters(b.small(spark, d), TOL, LEAST, 10).select("frame_id", "cluster_id", "point_idx")
+
+
+@query(f"{_CLUSTERS} SELECT cl.frame_id, cl.cluster_id, count(*) AS n_points, {_EXTENTS} FROM cl JOIN p ON p.frame_id = cl.frame_id AND p.point_idx = cl.point_idx GROUP BY 1, 2")
+def cluster_boxes(spark, d) -> DataFrame:
+    return clouds.bounding_boxes(cluster.clusters(b.small(spark, d), TOL, LEAST))
+
+
+PIPE = LidarPipeline((60, 40, 30), ((-20.0, -18.0, -18.0), (20.0, 18.0, 18.0)), ((-1.5, -1.5, -1.5), (1.5, 1.5, 1.5)), 5, 1.0, 7.0, 3, None)
+_PIPE = f"""WITH RECURSIVE {_voxel_sql(b.SMALL_SQL, PIPE.leaves)}, w AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY box_idx DESC) - 1 AS point_idx FROM v),
+ k AS MATERIALIZED (SELECT * FROM w WHERE {_inside_sql(*PIPE.keep)} AND NOT ({_inside_sql(*PIPE.drop)})), {_plane_sql('k', PIPE.iterations, PIPE.plane_limit)},
+ o AS MATERIALIZED (SELECT frame_id, point_idx, x, y, z FROM sg WHERE NOT is_inlier), {_cluster_sql('o', PIPE.tol, PIPE.least)},
+ cb AS (SELECT cl.frame_id, cl.cluster_id, count(*) AS n_points, {_EXTENTS} FROM cl JOIN o ON o.frame_id = cl.frame_id AND o.point_idx = cl.point_idx GROUP BY 1, 2)"""
+
+
+@query(f"{_PIPE} SELECT frame_id, cluster_id, n_points, {_sq(BOX)}, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY cluster_id) - 1 AS INTEGER) AS box_id FROM cb WHERE {_RULE_SQL}")
+def lidar_pipeline(spark, d) -> DataFrame:
+    """Points to plausible boxes."""
+    r = pipelines.lidar(b.small(spark, d), PIPE, _RULE).boxes
+    return r.select("frame_id", "cluster_id", "n_points", *(_q(c).alias(c) for c in BOX), "box_id")
+
+
+# ---------------------------------------------------------------- cameras
+_M = rig(calibration(), "left")
+_MR = rig(calibration(), "right")
+
+
+def _project_sql(m, ahead: float = 30.0) -> str:
+    row = [" + ".join(f"{float(m[i, j])!r}::DOUBLE * {c}" for j, c in enumerate((f"(x + {ahead})", "y", "z"))) + f" + {float(m[i, 3])!r}::DOUBLE" for i in range(3)]
+    return f"pp AS (SELECT frame_id, point_idx, x, y, z, ({row[0]}) / ({row[2]}) AS px, ({row[1]}) / ({row[2]}) AS py, ({row[2]}) AS depth FROM p)"
+
+
+def _projected(spark, d, m) -> DataFrame:
+    """The small cloud 30 m ahead, with pixels."""
+    p = b.small(spark, d)
+    moved = pipelines.project_points(p.withColumn("x", F.col("x") + 30.0), m)
+    return moved.withColumn("x", F.col("x") - 30.0)
+
+
+@query(f"WITH p AS ({b.SMALL_SQL}), {_project_sql(_M)} SELECT frame_id, point_idx, {_sq(['px', 'py', 'depth'], 3)} FROM pp")
+def project_points(spark, d) -> DataFrame:
+    return _projected(spark, d, _M).select("frame_id", "point_idx", *(_q(c, 3).alias(c) for c in ("px", "py", "depth")))
+
+
+@query(f"WITH p AS ({b.SMALL_SQL}), {_project_sql(_MR)} SELECT frame_id, point_idx, {_sq(['px', 'py', 'depth'], 2)} FROM pp")
+def project_points_right(spark, d) -> DataFrame:
+    return _projected(spark, d, _MR).select("frame_id", "point_idx", *(_q(c, 2).alias(c) for c in ("px", "py", "depth")))
+
+
+_C = DAHENG_LEFT
+_k1, _k2, _p1, _p2, _k3 = (f"({v!r}::DOUBLE)" for v in _C.distortion)
+
+
+@query(f"""WITH p AS ({b.SMALL_SQL}), n AS (SELECT frame_id, point_idx, y / (x + 40) AS a, z / (x + 40) AS b FROM p), r AS (SELECT *, a * a + b * b AS r2 FROM n), f AS (SELECT *, 1 + {_k1} * r2 + {_k2} * r2 * r2 + {_k3} * r2 * r2 * r2 AS rad FROM r)
+ SELECT frame_id, point_idx, {_s(f'{_C.fx!r}::DOUBLE * (a * rad + 2 * {_p1} * a * b + {_p2} * (r2 + 2 * a * a)) + {_C.cx!r}::DOUBLE', 3)} AS px, {_s(f'{_C.fy!r}::DOUBLE * (b * rad + {_p1} * (r2 + 2 * b * b) + 2 * {_p2} * a * b) + {_C.cy!r}::DOUBLE', 3)} AS py FROM f""")
+def pinhole_project(spark, d) -> DataFrame:
+    u, v = Pinhole(_C).project(F.col("y"), F.col("z"), F.col("x") + 40.0)
+    return b.small(spark, d).select("frame_id", "point_idx", _q(u, 3).alias("px"), _q(v, 3).alias("py"))
+
+
+# ---------------------------------------------------------------- image boxes
+_SHRUNK = """sb AS (SELECT *, "left" + CAST(trunc(width * 0.1::DOUBLE / 2) AS INTEGER) AS l, top + CAST(trunc(height * 0.1::DOUBLE / 2) AS INTEGER) AS t, CAST(trunc(width * 0.9::DOUBLE) AS INTEGER) AS w, CAST(trunc(height * 0.9::DOUBLE) AS INTEGER) AS h FROM ib)"""
+
+
+@query(f'WITH ib AS ({b.BOXES_SQL}), {_SHRUNK} SELECT frame_id, box_id, l AS "left", t AS top, w AS width, h AS height, 900 >= "left" AND 900 < "left" + width AND 700 >= top AND 700 < top + height AS has_point FROM sb')
+def box_contains(spark, d) -> DataFrame:
+    x = b.image_boxes(spark, d)
+    names = ("left", "top", "width", "height")
+    return x.select("frame_id", "box_id", *(c.alias(n) for c, n in zip(box.shrunk(0.1), names, strict=True)), box.contains(F.lit(900), F.lit(700)).alias("has_point"))
+
+
+@query(f"""WITH ib AS ({b.BOXES_SQL}) SELECT frame_id, box_id, c.corner, "left" + c.dx * width AS px, top + c.dy * height AS py FROM ib, (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1)) c(corner, dx, dy)""")
+def roi_corners(spark, d) -> DataFrame:
+    return b.image_boxes(spark, d).select("frame_id", "box_id", F.inline(box.roi_points()))
+
+
+_FUSED = f"""p AS ({b.SMALL_SQL}), {_project_sql(_M)}, ib AS ({b.BOXES_SQL}), {_SHRUNK}, hit AS (SELECT pp.frame_id, pp.point_idx, min(sb.box_id) AS box_id FROM pp JOIN sb ON sb.frame_id = pp.frame_id
+ AND trunc(px) >= l AND trunc(px) < l + w AND trunc(py) >= t AND trunc(py) < t + h GROUP BY 1, 2)"""
+
+
+def _fused(spark, d) -> DataFrame:
+    return vision.fuse(_projected(spark, d, _M), b.image_boxes(spark, d))
+
+
+@query(f"WITH {_FUSED} SELECT * FROM hit")
+def fuse_points_boxes(spark, d) -> DataFrame:
+    return _fused(spark, d).select("frame_id", "point_idx", "box_id")
+
+
+@query(f"WITH {_FUSED} SELECT frame_id, box_id, string_agg(CAST(point_idx AS VARCHAR), ',' ORDER BY point_idx) AS point_list FROM hit GROUP BY 1, 2")
+def box_point_lists(spark, d) -> DataFrame:
+    lists = vision.point_lists(_fused(spark, d))
+    return lists.select("frame_id", "box_id", F.array_join(F.transform("lidar_points", lambda p: p["point_idx"].cast("string")), ",").alias("point_list"))
+
+
+_BEST = f"rd AS ({b.SCORES_SQL}), bc AS (SELECT *, list_max(scores) AS confidence, CAST(list_position(scores, list_max(scores)) - 1 AS INTEGER) AS class_id FROM rd)"
+
+
+@query(f"WITH {_BEST} SELECT row_idx, image_oid, class_id, confidence FROM bc")
+def argmax_class(spark, d) -> DataFrame:
+    return vision.best_class(b.detections(spark, d)).select("row_idx", "image_oid", "class_id", "confidence")
+
+
+_BONNET = '630 >= "left" AND 630 < "left" + width AND 660 >= top AND 660 < top + height'
+
+
+@query(f"WITH {_BEST} SELECT row_idx, image_oid, class_id, confidence, CAST(row_number() OVER (PARTITION BY image_oid ORDER BY confidence DESC, row_idx) - 1 AS INTEGER) AS box_id FROM bc WHERE confidence > 0.9 AND NOT ({_BONNET})")
+def confidence_filter(spark, d) -> DataFrame:
+    kept = vision.number_boxes(vision.confident(vision.best_class(b.detections(spark, d)), 0.9))
+    return kept.select("row_idx", "image_oid", "class_id", "confidence", "box_id")
+
+
+_IOU = """(greatest(least(k.l + k.w, n."left" + n.width) - greatest(k.l, n."left"), 0) * greatest(least(k.t + k.h, n.top + n.height) - greatest(k.t, n.top), 0))"""
+
+
+@query(f"""WITH RECURSIVE {_BEST}, n AS (SELECT *, row_number() OVER (PARTITION BY image_oid ORDER BY confidence DESC, row_idx) AS r FROM bc WHERE confidence > 0.4),
+ g AS (SELECT image_oid, 0::BIGINT AS r, []::STRUCT(id BIGINT, l INTEGER, t INTEGER, w INTEGER, h INTEGER)[] AS kept FROM n GROUP BY image_oid
+ UNION ALL SELECT g.image_oid, n.r, CASE WHEN len(list_filter(g.kept, lambda k: {_IOU} > 0.5 * (k.w * k.h + n.width * n.height - {_IOU}))) = 0
+ THEN list_append(g.kept, {{'id': n.row_idx, 'l': n."left", 't': n.top, 'w': n.width, 'h': n.height}}) ELSE g.kept END FROM g JOIN n ON n.image_oid = g.image_oid AND n.r = g.r + 1)
+ SELECT image_oid, unnest(kept).id AS row_idx FROM (SELECT image_oid, arg_max(kept, r) AS kept FROM g GROUP BY image_oid)""")
+def nms(spark, d) -> DataFrame:
+    return vision.suppress(vision.best_class(b.detections(spark, d))).select("image_oid", "row_idx")
+
+
+@query(f"""WITH ib AS ({b.BOXES_SQL}) SELECT frame_id, box_id, n_name AS class, printf('%d %s %3.2f', box_id, n_name, confidence) AS label, CASE WHEN box_id % 5 = 0 THEN 256 ELSE 128 END AS blue FROM ib LEFT JOIN nation ON n_nationkey = class_id""")
+def box_labels(spark, d) -> DataFrame:
+    x = vision.with_class_names(b.image_boxes(spark, d), b.class_names(spark, d))
+    colour = draw.marker_colour(F.when(F.col("box_id") % 5 == 0, F.lit(1)).otherwise(F.lit(0)), F.lit(1))
+    return x.select("frame_id", "box_id", "class", draw.label(F.col("box_id"), F.col("class"), F.col("confidence")).alias("label"), colour[2].alias("blue"))
+
+
+@query("""SELECT p_partkey AS id, CAST(trunc((p_partkey % 97) / 97.0::DOUBLE * 1920) AS INTEGER) - CAST(trunc(trunc(0.25::DOUBLE * 1920) / 2) AS INTEGER) AS "left",
+ CAST(trunc((p_partkey % 89) / 89.0::DOUBLE * 1080) AS INTEGER) - CAST(trunc(trunc(0.2::DOUBLE * 1080) / 2) AS INTEGER) AS top, CAST(trunc(0.25::DOUBLE * 1920) AS INTEGER) AS width, CAST(trunc(0.2::DOUBLE * 1080) AS INTEGER) AS height FROM part""")
+def detector_boxes(spark, d) -> DataFrame:
+    raw = b.table(spark, d, "part").selectExpr("p_partkey AS id", "(p_partkey % 97) / 97D AS cx", "(p_partkey % 89) / 89D AS cy", "0.25D AS w", "0.2D AS h", "1920 AS img_w", "1080 AS img_h")
+    return vision.to_boxes(raw).select("id", "left", "top", "width", "height")
+
+
+@query(f"""WITH ib AS ({b.BOXES_SQL}), f AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY box_id) AS r FROM ib WHERE 1150 >= "left" AND 1150 < "left" + width AND 800 >= top AND 800 < top + height) SELECT frame_id, box_id, "left", top FROM f WHERE r = 1""")
+def image_front(spark, d) -> DataFrame:
+    return vision.image_front(b.image_boxes(spark, d)).select("frame_id", "box_id", "left", "top")
+
+
+# ---------------------------------------------------------------- geodesy
+_E = geo.WGS84
+_ECEF = """f AS ({0}), e AS (SELECT *, {1!r}::DOUBLE / sqrt(1 - {2!r}::DOUBLE * sin(radians(lat)) * sin(radians(lat))) AS n FROM f),
+ xyz AS (SELECT fix_id, (n + alt) * cos(radians(lat)) * cos(radians(lon)) AS x, (n + alt) * cos(radians(lat)) * sin(radians(lon)) AS y, (n * {3!r}::DOUBLE + alt) * sin(radians(lat)) AS z FROM e)""".format(b.FIXES_SQL, _E.a, _E.e2, 1 - _E.e2)
+ORIGIN = (52.5, 13.4, 34.0)
+
+
+def _origin() -> tuple[str, str]:
+    import math
+
+    lat, lon = math.radians(ORIGIN[0]), math.radians(ORIGIN[1])
+    n = _E.a / math.sqrt(1 - _E.e2 * math.sin(lat) ** 2)
+    o = ((n + ORIGIN[2]) * math.cos(lat) * math.cos(lon), (n + ORIGIN[2]) * math.cos(lat) * math.sin(lon), (n * (1 - _E.e2) + ORIGIN[2]) * math.sin(lat))
+    sl, cl, so, co = math.sin(lat), math.cos(lat), math.sin(lon), math.cos(lon)
+    delta = ", ".join(f"{c} - ({v!r}::DOUBLE) AS d{c}" for c, v in zip("xyz", o, strict=True))
+    east = f"({-so!r}::DOUBLE) * dx + ({co!r}::DOUBLE) * dy"
+    north = f"({-sl * co!r}::DOUBLE) * dx + ({-sl * so!r}::DOUBLE) * dy + ({cl!r}::DOUBLE) * dz"
+    up = f"({cl * co!r}::DOUBLE) * dx + ({cl * so!r}::DOUBLE) * dy + ({sl!r}::DOUBLE) * dz"
+    return delta, f"WITH {_ECEF}, dl AS (SELECT fix_id, {delta} FROM xyz), o AS (SELECT fix_id, {east} AS east, {north} AS north, {up} AS up FROM dl)"
+
+
+_ENU = _origin()[1]
+_LLA = (F.col, ("lat", "lon", "alt"))
+
+
+def _lla() -> tuple[Column, ...]:
+    return tuple(map(F.col, ("lat", "lon", "alt")))
+
+
+@query(f"WITH {_ECEF} SELECT fix_id, {_sq(['x', 'y', 'z'], 2)} FROM xyz")
+def lla_to_ecef(spark, d) -> DataFrame:
+    return b.fixes(spark, d).select("fix_id", *(_q(c, 2).alias(n) for c, n in zip(geo.ecef(*_lla()), "xyz", strict=True)))
+
+
+@query(f"{_ENU} SELECT fix_id, {_sq(['east', 'north', 'up'], 2)} FROM o")
+def lla_to_enu(spark, d) -> DataFrame:
+    return b.fixes(spark, d).select("fix_id", *(_q(c, 2).alias(n) for c, n in zip(geo.enu(*_lla(), ORIGIN), ("east", "north", "up"), strict=True)))
+
+
+@query(f"{_ENU}, dn AS (SELECT fix_id, north, east, -up AS down FROM o) SELECT fix_id, {_sq(['north', 'east', 'down'], 2)} FROM dn")
+def lla_to_ned(spark, d) -> DataFrame:
+    return b.fixes(spark, d).select("fix_id", *(_q(c, 2).alias(n) for c, n in zip(geo.ned(*_lla(), ORIGIN), ("north", "east", "down"), strict=True)))
+
+
+@query(f"WITH f AS ({b.FIXES_SQL}) SELECT fix_id, {_s('radians(lat)', 6)} AS phi, {_s('radians(lon)', 6)} AS lambda, alt FROM f")
+def lla_radians(spark, d) -> DataFrame:
+    v = geo.lla_vec(*_lla())
+    return b.fixes(spark, d).select("fix_id", _q(v[0], 6).alias("phi"), _q(v[1], 6).alias("lambda"), v[2].alias("alt"))
+
+
+# ---------------------------------------------------------------- payloads, files, views
+@query("""SELECT CAST(label AS BIGINT) AS frame_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS point_idx, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, CAST(embedding[4] AS DOUBLE) AS intensity FROM embeddings""")
+def cloud_decode(spark, d) -> DataFrame:
+    """Dimensions packed into payloads with stride 32, and decoded again."""
+    p = b.table(spark, d, "embeddings").select(F.col("label").cast("bigint").alias("frame_id"), F.col("vec_id").alias("point_idx"), *(F.element_at("embedding", k).alias(n) for k, n in enumerate(("x", "y", "z", "intensity"), 1)))
+    return decode_clouds(encode_clouds(p)).select("frame_id", "point_idx", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "z", "intensity")))
+
+
+@query("SELECT event_id AS oid_number, 'WEBP' AS kind, '/data/images/' || event_id || '.webp' AS file_name, 'BGR8' AS encoding FROM events WHERE event_type = 'click'")
+def image_file_names(spark, d) -> DataFrame:
+    m = b.messages(spark, d).where("kind = 'image'").select("ts_ns", F.col("seq").cast("string").alias("image_oid"), F.lit(1536).alias("height"), F.lit(2048).alias("width"))
+    return image_files(m, "/data/images").select(F.col("oid").cast("bigint").alias("oid_number"), "kind", "file_name", "encoding")
+
+
+@query("SELECT * FROM (VALUES (0, 'r_regionkey', 'int'), (1, 'r_name', 'string')) t(pos, name, type)")
+def schema_dump(spark, d) -> DataFrame:
+    return describe(spark, b.table(spark, d, "region")).drop("nullable")
+
+
+@query(f"WITH p AS ({b.SMALL_SQL}) SELECT frame_id, point_idx, {_s('y * -5 + 60.0::DOUBLE')} AS px, {_s('x * -5 + 250.0::DOUBLE')} AS py, {_s('(z + 4.75::DOUBLE) * (255 / 7.75::DOUBLE)')} AS c0, {_s('sqrt(x * x + y * y) * 5.1::DOUBLE')} AS c1, {_s('(50.0::DOUBLE - abs(x)) * 5.1::DOUBLE')} AS c2 FROM p")
+def topview_coords(spark, d) -> DataFrame:
+    x, y, z = map(F.col, "xyz")
+    (px, py), colour = draw.top_view(x, y), draw.top_view_colour(x, y, z)
+    return b.small(spark, d).select("frame_id", "point_idx", _q(px).alias("px"), _q(py).alias("py"), *(_q(c).alias(f"c{i}") for i, c in enumerate(colour)))
+
+
+@query("SELECT i AS marker, CAST(500 - i * 50 AS INTEGER) AS y FROM range(10) t(i)")
+def range_markers(spark, d) -> DataFrame:
+    return draw.range_markers(spark)
+
+
+@query(f"""WITH p AS ({b.SMALL_SQL}), f AS (SELECT * FROM p WHERE x > 0 AND abs(atan2(y, x)) < radians(45)), e AS (SELECT frame_id, {_EXTENTS} FROM f GROUP BY 1)
+ SELECT f.frame_id, point_idx, {', '.join(f'coalesce({_s(f"255.0::DOUBLE * ({c} - xmin) / nullif({c}max - {c}min, 0)")}, 0) AS c{i}' for i, c in enumerate('xyz'))} FROM f JOIN e USING (frame_id)""")
+def overlay_colours(spark, d) -> DataFrame:
+    dots, _ = pipelines.overlay_list(b.small(spark, d), _small_boxes(spark, d).withColumn("box_id", F.lit(0)), _M)
+    return dots.select("frame_id", "point_idx", *(_q(F.col("colour")[i]).alias(f"c{i}") for i in range(3)))
+
+
+_FRAMES = f"""WITH {_NUMBERED}, ib AS ({b.BOXES_SQL}), fr AS (SELECT DISTINCT frame_id FROM p),
+ tg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY box_id) AS r FROM nb WHERE xmin > 0 AND xmin < 25 AND {_Y} > -1.5 AND {_Y} < 1.5) WHERE r = 1),
+ im AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY box_id) AS r FROM ib WHERE 1150 >= "left" AND 1150 < "left" + width AND 800 >= top AND 800 < top + height) WHERE r = 1)"""
+
+
+@query(f"""{_FRAMES} SELECT fr.frame_id, (SELECT count(*) FROM nb WHERE nb.frame_id = fr.frame_id) AS n_lidar, tg.box_id AS lidar_target, (SELECT count(*) FROM ib WHERE ib.frame_id = fr.frame_id) AS n_image, im.box_id AS image_target,
+ CASE WHEN tg.box_id IS NULL THEN 0 ELSE (SELECT count(*) FROM p WHERE p.frame_id = fr.frame_id AND p.point_idx % 7 = tg.cluster_id) END AS n_target_points FROM fr LEFT JOIN tg ON tg.frame_id = fr.frame_id LEFT JOIN im ON im.frame_id = fr.frame_id""")
+def fused_frames(spark, d) -> DataFrame:
+    p = b.small(spark, d).withColumn("cluster_id", F.col("point_idx") % 7)
+    boxes = lidar_boxes.plausible(_small_boxes(spark, d), _RULE)
+    f = pipelines.fused_frames(p.select("frame_id").distinct(), boxes, p, b.image_boxes(spark, d))
+    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
+    count = lambda c: F.when(F.col(c).isNull(), F.lit(0).cast("bigint")).otherwise(n(c))
+    return f.select("frame_id", count("lidar_bbs").alias("n_lidar"), F.col("target_lidar_bb.box_id").alias("lidar_target"), count("image_bbs").alias("n_image"), F.col("target_image_bb.box_id").alias("image_target"), count("target_lidar_points").alias("n_target_points"))
