@@ -24,7 +24,7 @@ from .shared import components, cut
 from .simhash import SEGMENTS, golay_indices, shingles
 
 SHINGLE, LEAST, NEAR, SKETCH = 5, 0.8, 12, 400
-CROWD, BLOCK = 192, 8_192
+CROWD, BLOCK = 64, 8_192
 _PAIRS = ((0, 1), (1, 2), (2, 0))
 
 
@@ -147,7 +147,7 @@ def _pairs(batches):
         k, f, r = (c.to_numpy() for c in batch.columns)
         key, fp, rep = np.r_[key, k], np.r_[fp, f.view(U)], np.r_[rep, r]
         done = np.searchsorted(key, key[-1]) if len(key) else 0
-        if done > 100_000:
+        if done > 20_000:
             yield from out(key[:done], fp[:done], rep[:done])
             key, fp, rep = key[done:], fp[done:], rep[done:]
     yield from out(key, fp, rep)
