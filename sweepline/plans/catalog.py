@@ -563,3 +563,21 @@ def fused_frames(spark, d) -> DataFrame:
     n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
     count = lambda c: F.when(F.col(c).isNull(), F.lit(0).cast("bigint")).otherwise(n(c))
     return f.select("frame_id", count("lidar_bbs").alias("n_lidar"), F.col("target_lidar_bb.box_id").alias("lidar_target"), count("image_bbs").alias("n_image"), F.col("target_image_bb.box_id").alias("image_target"), count("target_lidar_points").alias("n_target_points"))
+
+
+# ---------------------------------------------------------------- streaming
+@query(ORACLES["latest_state_join"])
+def stream_latest_state(spark, d) -> DataFrame:
+    """The latest-state join of the recorded messages, played as a stream."""
+    import tempfile
+    import uuid
+
+    from ..streaming import live
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    folder = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    m = b.messages(spark, d).select("run_id", "kind", "ts_ns", "seq")
+    m.repartition(1).write.parquet(f"{folder}/in")
+    m.select("run_id").distinct().selectExpr("run_id", f"'{live.END}' AS kind", f"cast({live.END_TS} AS bigint) AS ts_ns", "cast(0 AS bigint) AS seq").repartition(1).write.mode("append").parquet(f"{folder}/in")
+    live.run_available(live.latest_state(live.merge_stream(live.read_messages(spark, f"{folder}/in"))), f"{folder}/out", f"{folder}/state")
+    return spark.read.parquet(f"{folder}/out")
