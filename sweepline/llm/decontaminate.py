@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesnp import U, Spans, fold_case, ragged, slices
+from .bytesnp import U, Spans, fold_case, mix, ragged, slices
 from .shared import cut
 
 FEATURES, RANK, BLOCK_WORDS = 1 << 14, 64, 16
@@ -264,28 +264,38 @@ class Benchmark:
             return z, z, np.zeros(0)
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def align(self, h: np.ndarray, begin: np.ndarray, end: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
-        """Shares of item passage ``p`` and of its answer found, in order, in some stretches of words."""
-        words = self.words[p]
-        gain = self.idf[_features(words)].astype(np.float64)
+    def align(self, h: np.ndarray, begin: np.ndarray, end: np.ndarray, passage: np.ndarray, answers: bool = False) -> np.ndarray:
+        """Share of each item passage (or of its answer) found, in order, in a stretch of words."""
+        longest = max(len(self.words[p]) for p in passage)
+        words, gain = np.zeros((len(passage), longest), U), np.zeros((len(passage), longest), np.float32)
+        for i, p in enumerate(passage.tolist()):
+            n = len(self.words[p])
+            words[i, :n] = self.words[p]
+            gain[i, :n] = self.idf[_features(self.words[p])] * (self.answer[p] if answers else 1)
         width = int((end - begin).max())
         grid = np.zeros((len(begin), width), U)
         mask = np.arange(width) < (end - begin)[:, None]
         grid[mask] = h[ragged(begin, end - begin)]
-
-        def share(chosen):
-            best = np.zeros((len(begin), width + 1))
-            for w, g in zip(words[chosen], gain[chosen], strict=True):
-                hit = (grid == w) & mask
-                step = best.copy()
-                np.maximum(step[:, 1:], np.where(hit, best[:, :-1] + g, 0), out=step[:, 1:])
-                best = np.maximum.accumulate(step, axis=1)
-            total = gain[chosen].sum()
-            return best[:, -1] / total if total > 0 else np.ones(len(begin))
-
-        whole = share(np.ones(len(words), bool))
-        answer = self.answer[p]
-        return whole, share(answer) if answer.any() else np.ones(len(begin))
+        best = np.zeros((len(begin), width + 1), np.float32)
+        for j in range(longest):
+            hit = (grid == words[:, j, None]) & mask
+            more = np.where(hit, best[:, :-1] + gain[:, j, None], 0)
+            np.maximum(best[:, 1:], more, out=best[:, 1:])
+            np.maximum.accumulate(best, axis=1, out=best)
+        total = gain.sum(1)
+        return np.where(total > 0, np.minimum(best[:, -1] / np.maximum(total, 1e-9), 1), 1.0)
+
+    def possible(self, h: np.ndarray, begin: np.ndarray, end: np.ndarray, passage: np.ndarray) -> np.ndarray:
+        """Upper bound of ``align``: the words found in any order."""
+        n = end - begin
+        who = np.repeat(np.arange(len(n)), n)
+        there = mix(h[ragged(begin, n)] ^ mix(who.astype(U)))
+        m = np.array([len(self.words[p]) for p in passage])
+        own = np.concatenate([self.words[p] for p in passage])
+        of = np.repeat(np.arange(len(m)), m)
+        found = np.isin(mix(own ^ mix(of.astype(U))), there)
+        gain = self.idf[_features(own)]
+        return np.bincount(of, weights=gain * found, minlength=len(m)) / np.maximum(np.bincount(of, weights=gain, minlength=len(m)), 1e-9)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, candidate: float = CANDIDATE) -> DataFrame:
@@ -310,20 +320,38 @@ def matches(docs: DataFrame, benchmark: DataFrame, candidate: float = CANDIDATE)
                     if not len(at):
                         continue
                     row = np.searchsorted(first, at, "right") - 1
+                    # windows next to each other look at the same words: the nearest of them will do
+                    by = np.lexsort((at, passage, row))
+                    at, passage, cosine, row = at[by], passage[by], cosine[by], row[by]
+                    new = np.r_[True, (row[1:] != row[:-1]) | (passage[1:] != passage[:-1]) | (at[1:] > at[:-1] + BLOCK_WORDS)]
+                    # a long run is cut, so that no place is far from the window that stands for it
+                    start = np.flatnonzero(new)
+                    rank = np.arange(len(at)) - np.repeat(start, np.diff(np.r_[start, len(at)]))
+                    group = np.cumsum(new | (rank % 3 == 0))
+                    by = np.lexsort((-cosine, group))
+                    keep = by[np.flatnonzero(np.r_[True, group[by][1:] != group[by][:-1]])]
+                    at, passage, cosine, row = at[keep], passage[keep], cosine[keep], row[keep]
+                    size = np.array([len(held.words[p]) for p in passage])
+                    begin = np.maximum(at - size - BLOCK_WORDS, first[row])
+                    end = np.minimum(at + 3 * BLOCK_WORDS + size, first[row + 1])
                     found: dict[tuple[int, int], tuple] = {}
-                    for p in np.unique(passage):
-                        mine = np.flatnonzero(passage == p)
-                        n = len(held.words[p])
-                        for k in range(0, len(mine), 2_000):
-                            m = mine[k : k + 2_000]
-                            begin = np.maximum(at[m] - n, first[row[m]])
-                            end = np.minimum(at[m] + 2 * BLOCK_WORDS + n, first[row[m] + 1])
-                            lcs, answer = held.align(h, begin, end, int(p))
-                            leak = np.where(held.whole[p], lcs > 0.999, (lcs >= COPIED) | ((lcs >= PARAPHRASED) & (answer >= ANSWERED)))
-                            for i in np.flatnonzero(leak):
-                                key = int(row[m[i]]), held.item[p]
-                                hit = float(lcs[i]), float(cosine[m[i]]), float(answer[i]), int(at[m[i]] - first[row[m[i]]])
-                                found[key] = max(found.get(key, hit), hit)
+                    for k in range(0, len(at), 512):
+                        m = np.arange(k, min(k + 512, len(at)))
+                        m = m[held.possible(h, begin[m], end[m], passage[m]) >= PARAPHRASED]
+                        if not len(m):
+                            continue
+                        lcs = held.align(h, begin[m], end[m], passage[m])
+                        whole = np.array([held.whole[p] for p in passage[m]])
+                        leak = np.where(whole, lcs > 0.999, lcs >= COPIED)
+                        answer = np.ones(len(m))
+                        ask = np.flatnonzero(lcs >= PARAPHRASED)
+                        if len(ask):
+                            answer[ask] = held.align(h, begin[m[ask]], end[m[ask]], passage[m[ask]], answers=True)
+                        leak |= ~whole & (lcs >= PARAPHRASED) & (answer >= ANSWERED)
+                        for i in np.flatnonzero(leak):
+                            key = int(row[m[i]]), held.item[passage[m[i]]]
+                            hit = float(lcs[i]), float(cosine[m[i]]), float(answer[i]), int(at[m[i]] - first[row[m[i]]])
+                            found[key] = max(found.get(key, hit), hit)
                     if found:
                         rows, values = list(found), list(found.values())
                         yield pa.RecordBatch.from_arrays(
@@ -349,7 +377,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, candidate: float = CANDIDATE)
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without leaked items, every column as it is."""
     leaked = cut(matches(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct())
-    return docs.join(leaked, docs.doc_id == F.col("_leaked"), "left_anti")
+    return docs.join(leaked.hint("merge"), docs.doc_id == F.col("_leaked"), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
