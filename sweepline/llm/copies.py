@@ -190,15 +190,15 @@ def groups(docs: DataFrame) -> DataFrame:
     pairs = cut(keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_pairs, "u long, v long").distinct())
     needed = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
     sketches = text.where("doc_id is not null").mapInArrow(_sketches, f"doc_id {kind}, sketch binary").withColumn("id", F.col("doc_id").cast("long"))
-    held = cut(sketches.join(needed, "id", "left_semi").groupBy("id").agg(F.first("sketch").alias("sketch")))
+    held = cut(sketches.join(needed.hint("merge"), "id", "left_semi").groupBy("id").agg(F.first("sketch").alias("sketch")))
     left, right = held.select(F.col("id").alias("u"), F.col("sketch").alias("x")), held.select(F.col("id").alias("v"), F.col("sketch").alias("y"))
-    links = pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(_alike, "u long, v long")
+    links = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "x", "y").mapInArrow(_alike, "u long, v long")
     comp = components(links)
-    label = classes.join(comp, classes.rep == comp.node, "left").select("class", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(label, "class").select("doc_id", "component_id")
+    label = classes.join(comp.hint("merge"), classes.rep == comp.node, "left").select("class", F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(label.hint("merge"), "class").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are the first of their group, every column as it is."""
     gone = cut(groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti")
+    return docs.join(gone.hint("merge"), docs.doc_id == F.col("_gone"), "left_anti")

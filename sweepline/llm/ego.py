@@ -218,10 +218,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, vec_id: str = "vec_
         more = found.where("kind = 0").groupBy("u").agg(F.sum("n").alias("more"))
         comp = components(found.where("kind = 1").select("u", F.col("n").alias("v")))
         table = (
-            classes.join(more, classes.rep == more.u, "left").join(comp, classes.rep == comp.node, "left")
+            classes.join(more.hint("merge"), classes.rep == more.u, "left").join(comp.hint("merge"), classes.rep == comp.node, "left")
             .select("_key", "embedding", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
         )
-        out = members.join(table, ["_key", "embedding"]).select("vec_id", "n_links", "component_id").unionByName(alone)
+        out = members.join(table.hint("merge"), ["_key", "embedding"]).select("vec_id", "n_links", "component_id").unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 

@@ -101,6 +101,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op3: all documents written as flat token files, then counted by the scan."""
     folder = Scratch(spark, "flat")
     where = write_flat(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder.path)
-    out = cut(where.join(scan(spark, folder.path), ["file", "place"]).select("doc_id", "n_tokens", "file", "place", "start"))
+    out = cut(where.join(scan(spark, folder.path).hint("merge"), ["file", "place"]).select("doc_id", "n_tokens", "file", "place", "start"))
     folder.drop()
     return out

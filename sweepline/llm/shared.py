@@ -180,11 +180,11 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # every node and its larger neighbours hang on the smallest of the neighbourhood
-        large = both.join(low, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(low.hint("merge"), "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         keep = low.where("u != m").select("u", F.col("m").alias("v"))
         e = cut(large.unionByName(keep).where("u != v").repartition("u").mapInArrow(_contract, "u long, v long"))
         now = e.agg(F.count("*"), F.countDistinct("u"), F.countDistinct("v"), F.sum(F.hash("u", "v").cast("long"))).first()
-        roots = e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count() if now[0] == now[1] else 1
+        roots = e.join(e.select(F.col("u").alias("v")).distinct().hint("merge"), "v", "left_semi").limit(1).count() if now[0] == now[1] else 1
         if roots == 0 and now[0] == now[1] or tuple(now) == last:
             break
         last = tuple(now)

@@ -216,8 +216,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, doc_id: str = "doc_id", text
     fps = cut(fingerprint(docs, size, doc_id, text))
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     comp = components(links(distinct))
-    label = distinct.join(comp, distinct.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(label, "fp").select("doc_id", "fp", "component_id")
+    label = distinct.join(comp.hint("merge"), distinct.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(label.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
