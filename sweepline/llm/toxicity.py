@@ -102,6 +102,19 @@ class Lexicon:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] + x @ np.array(self.curve[1:]), -30, 30)))
 
 
+ROWS = 250  # texts taken out of a batch at a time
+
+
+def _parts(batch, *columns):
+    """Slices of a batch as lists of the given columns."""
+    for s in range(0, batch.num_rows, ROWS):
+        yield tuple(batch.column(c).slice(s, ROWS).to_pylist() for c in columns)
+
+
+def _features(lexicon: Lexicon, automaton, batch, column: int) -> np.ndarray:
+    return np.array([lexicon.feature(automaton, t) for (part,) in _parts(batch, column) for t in part]).reshape(-1, 2)
+
+
 def _family(folded: str) -> int:
     """Smallest hash of five words in a row: near copies mostly share it."""
     w = folded.split()
@@ -117,8 +130,9 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def families(batches):
         for batch in batches:
-            text = [fold(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(text), batch.column(1), pa.array([_family(t) for t in text], pa.int64())], ["folded", "toxic", "family"])
+            for texts, toxic in _parts(batch, 0, 1):
+                folded = [fold(t) for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(folded, pa.string()), pa.array(toxic, pa.int32()), pa.array([_family(t) for t in folded], pa.int64())], ["folded", "toxic", "family"])
 
     found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", F.col("toxic").cast("int"))
     return cut(found.mapInArrow(families, "folded string, toxic int, family long").dropDuplicates(["family", "toxic"]))
@@ -126,17 +140,18 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _term_counts(batches):
     for batch in batches:
-        count: dict[str, list[int]] = {}
-        for folded, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            seen = set()
-            for w in set(folded.split()):
-                seen.add(f" {w} ")
-                seen.update(" " + w[:n] for n in PREFIXES if len(w) > n)
-            for t in seen:
-                count.setdefault(t, [0, 0])[y] += 1
-        if count:
-            clean, toxic = zip(*count.values(), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.string()), pa.array(clean), pa.array(toxic)], ["term", "clean", "toxic"])
+        for texts, toxic in _parts(batch, 0, 1):
+            count: dict[str, list[int]] = {}
+            for folded, y in zip(texts, toxic, strict=True):
+                seen = set()
+                for w in set(folded.split()):
+                    seen.add(f" {w} ")
+                    seen.update(" " + w[:n] for n in PREFIXES if len(w) > n)
+                for t in seen:
+                    count.setdefault(t, [0, 0])[y] += 1
+            if count:
+                clean, bad = zip(*count.values(), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.string()), pa.array(clean), pa.array(bad)], ["term", "clean", "toxic"])
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
@@ -207,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ()) ->
     def features(batches):
         a = lexicon.automaton()
         for batch in batches:
-            x = np.array([lexicon.feature(a, t) for t in batch.column(0).to_pylist()]).reshape(-1, 2)
+            x = _features(lexicon, a, batch, 0)
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column(1)], ["x", "any", "y"])
 
     table = texts.select("folded", "toxic").mapInArrow(features, "x double, any double, y int").groupBy("x", "any", "y").count().toPandas()
@@ -223,7 +238,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     def run(batches):
         a = lexicon.automaton()
         for batch in batches:
-            x = np.array([lexicon.feature(a, t) for t in batch.column(1).to_pylist()]).reshape(-1, 2)
+            x = _features(lexicon, a, batch, 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lexicon.probability(x))], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -237,7 +252,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         a = lexicon.automaton()
         for batch in batches:
-            x = np.array([lexicon.feature(a, t) for t in batch.column(at).to_pylist()]).reshape(-1, 2)
+            x = _features(lexicon, a, batch, at)
             yield batch.filter(pa.array(lexicon.probability(x) < THRESHOLD))
 
     at = docs.columns.index("text")
