@@ -8,7 +8,7 @@ The latent space comes from a randomised SVD of all passages in one distributed
 (FEATURES x RANK) the tasks sum Z = A'(A W), and the Nystrom form of Z gives the leading singular vectors. The space is
 then updated with the directions of the benchmark's passages that it lacks (an orthogonal basis of both), so none
 is lost by truncation. Projecting a benchmark passage into the space and back gives its weight by feature; the cosine
-with every passage of every text is a sum of such weights, block by block. What reaches ``CANDIDATE`` is aligned word
+with every passage of every text is a sum of such weights, block by block. What reaches ``CANDIDATE`` (less for passages under ``BLOCK_WORDS`` words) is aligned word
 by word with the benchmark passage: the longest common subsequence, each word counting its IDF, as a share
 of the whole. A share of ``COPIED`` is a leak; one of ``PARAPHRASED`` is one if the passage's answer (its last sentence) is
 found to ``ANSWERED`` as well.
@@ -170,6 +170,8 @@ class Benchmark:
                 for k in range(0, max(1, len(w) - BLOCK_WORDS), BLOCK_WORDS):
                     vectors.append((len(self.item) - 1, w[k : k + 2 * BLOCK_WORDS]))
         self.of = np.array([p for p, _ in vectors], np.int64)
+        # a short passage is a small part of the text's passage that holds it
+        self.share = np.sqrt(np.minimum([len(w) / BLOCK_WORDS for _, w in vectors], 1.0))
         a = np.zeros((len(vectors), FEATURES))
         for i, (_, w) in enumerate(vectors):
             f, n = np.unique(_features(w), return_counts=True)
@@ -186,7 +188,7 @@ class Benchmark:
     def __getstate__(self):
         """Tasks are sent the weights that are not 0."""
         f, p = np.nonzero(self.weights)
-        keep = ("idf", "item", "words", "whole", "answer", "of")
+        keep = ("idf", "item", "words", "whole", "answer", "of", "share")
         return {k: getattr(self, k) for k in keep} | {"entries": (f, p, self.weights[f, p])}
 
     def __setstate__(self, state):
@@ -244,9 +246,9 @@ class Benchmark:
         new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         dot = np.add.reduceat(np.r_[w, w[also]][by], new) if len(key) else np.zeros(0)
         i, j = np.divmod(key[new], kinds)
-        maybe = (dot + open_[i] >= least * norm[i] - 1e-6) & (pair | lone)[i]
+        maybe = (dot + open_[i] >= least * self.share[j] * norm[i] - 1e-6) & (pair | lone)[i]
         i, j = i[maybe], j[maybe]
-        wide = np.flatnonzero((open_ >= least * norm - 1e-6) & (pair | lone))  # common words alone could do: all passages
+        wide = np.flatnonzero((open_ >= least * self.share.min() * norm - 1e-6) & (pair | lone))  # common words alone could do: all passages
         i, j = np.r_[i, np.repeat(wide, kinds)], np.r_[j, np.tile(np.arange(kinds), len(wide))]
         if len(wide):
             i, j = np.divmod(np.unique(i * kinds + j), kinds)
@@ -257,7 +259,7 @@ class Benchmark:
             n = stop - start[a]
             terms = self.weights[f[ragged(start[a], n)], np.repeat(q, n)]
             cosine = np.add.reduceat(terms, np.cumsum(n) - n) / norm[a]
-            near = cosine >= least
+            near = cosine >= least * self.share[q]
             out.append((start[a][near], self.of[q][near], cosine[near]))
         if not out:
             z = np.zeros(0, np.int64)
