@@ -164,7 +164,7 @@ def _verify(batches):
             at = at[key[at] == key[at + s]]
             if not len(at):
                 break
-            near = at[np.bitwise_count(fp[at] ^ fp[at + s]) <= RADIUS]
+            near = at[np.bitwise_count((fp[at] ^ fp[at + s]).view(U)) <= RADIUS]  # of signed numbers it counts the absolute value's
             us.append(rep[near])
             vs.append(rep[near + s])
         if us:
