@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 CLOUD, IMAGE = "pc", "image"
 
 
+def tagged_union(**kinds: DataFrame) -> DataFrame:
+    """Messages of several kinds as one table with ``kind``; columns that a kind lacks are null."""
+    out = None
+    for kind, rows in kinds.items():
+        rows = rows.withColumn("kind", F.lit(kind))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
 def ordered_merge(messages: DataFrame, second: str = IMAGE, drop_first: bool = True) -> DataFrame:
     """Interleave two kinds by time, adding ``pos``.
 

@@ -206,6 +206,13 @@ _STATE = """ls AS (SELECT run_id, pos, ts_ns, last_value(CASE WHEN kind = 'pc' T
  FROM mg WINDOW w AS (PARTITION BY run_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), fu AS (SELECT * FROM ls WHERE pc_seq IS NOT NULL AND image_seq IS NOT NULL)"""
 
 
+@query("SELECT event_id AS seq, value AS range_m, NULL::VARCHAR AS oid, 'pc' AS kind FROM events WHERE event_type = 'view' UNION ALL SELECT event_id, NULL, CAST(user_id AS VARCHAR), 'image' FROM events WHERE event_type = 'click'")
+def tagged_union(spark, d) -> DataFrame:
+    e = b.table(spark, d, "events")
+    clouds_ = e.where("event_type = 'view'").selectExpr("event_id AS seq", "value AS range_m")
+    return merge.tagged_union(pc=clouds_, image=e.where("event_type = 'click'").selectExpr("event_id AS seq", "cast(user_id AS string) AS oid"))
+
+
 @query(f"WITH {_merge_sql(b.EXACT_TS)} SELECT * FROM mg")
 def msg_merge(spark, d) -> DataFrame:
     return merge.ordered_merge(b.messages(spark, d))
