@@ -61,7 +61,7 @@ def words(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offs)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         inverse = U(pow(int(STEP), -1, 1 << 64))
@@ -89,10 +89,8 @@ class Spans:
     """Equal bytes, equal 64-bit hash, for any spans of ``b``, after one prefix sum."""
 
     def __init__(self, b: np.ndarray, seed: int = 11):
-        size = BLOCK + 1
-        while size < len(b) + 1:
-            size *= 2
-        self.up, self.down = _powers(size)
+        # one pair of tables is kept; longer texts have their own for a while
+        self.up, self.down = _powers(BLOCK + 1) if len(b) <= BLOCK else _powers.__wrapped__(len(b) + 1)
         self.sums = np.zeros(len(b) + 1, U)
         np.cumsum(byte_codes(seed)[b] * self.up[: len(b)], out=self.sums[1:])
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesnp import BLOCK, Spans, byte_codes, slices
-from .shared import HashTable, Scratch, bits_for, cut, store_table
+from .shared import HashTable, Scratch, bits_for, cut, store_table, tidy
 
 WINDOW, AVERAGE, SHORTEST, LEAST = 16, 24, 8, 100
 NO_ID = -(1 << 63)
@@ -76,7 +76,7 @@ def repeated_chunks(docs: DataFrame, average: int = AVERAGE) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = _ids(batch.column(0))
-            for s, e, b, offs in slices(batch.column(1), 4 * BLOCK):
+            for s, e, b, offs in slices(batch.column(1), BLOCK):
                 digest, row, at, _ = _chunks(b, offs, average)
                 doc = ids[s:e][row]
                 by = np.lexsort((at, doc, digest))
@@ -85,7 +85,7 @@ def repeated_chunks(docs: DataFrame, average: int = AVERAGE) -> DataFrame:
                 n = np.diff(np.r_[new, len(digest)])
                 yield pa.RecordBatch.from_arrays([pa.array(digest[new]), pa.array(doc[new]), pa.array(at[new].astype(np.int32)), pa.array(n.astype(np.int32))], ["digest", "doc", "at", "n"])
 
-    chunks = docs.select("doc_id", "text").mapInArrow(run, "digest long, doc long, at int, n int")
+    chunks = docs.select("doc_id", "text").mapInArrow(tidy(run), "digest long, doc long, at int, n int")
     seen = chunks.groupBy("digest").agg(F.min(F.struct("doc", "at")).alias("first"), F.sum("n").alias("n")).where("n > 1")
     return seen.select("digest", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), "n")
 
@@ -146,8 +146,8 @@ def deduplicate(docs: DataFrame, average: int = AVERAGE, least: int = LEAST, rep
                 yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
     if report:
-        return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, text string")
-    return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, text string")
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

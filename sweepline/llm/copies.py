@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesnp import U, Spans, fold_case, mix, slices, words
-from .shared import components, cut
+from .shared import components, cut, tidy
 from .simhash import SEGMENTS, golay_indices, shingles
 
 SHINGLE, LEAST, NEAR, SKETCH = 5, 0.8, 12, 400
@@ -184,15 +184,15 @@ def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) of every row: the smallest id of its group of near copies."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = docs.select("doc_id", "text")
-    fps = cut(text.mapInArrow(_fingerprints, f"doc_id {kind}, class long, fp long"))
+    fps = cut(text.mapInArrow(tidy(_fingerprints), f"doc_id {kind}, class long, fp long"))
     classes = fps.groupBy("class").agg(F.min("doc_id").cast("long").alias("rep"), F.min("fp").alias("fp"))
-    keyed = classes.where("rep is not null").select("fp", "rep").mapInArrow(_emit, "key int, fp long, rep long")
-    pairs = cut(keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_pairs, "u long, v long").distinct())
+    keyed = classes.where("rep is not null").select("fp", "rep").mapInArrow(tidy(_emit), "key int, fp long, rep long")
+    pairs = cut(keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(tidy(_pairs), "u long, v long").distinct())
     needed = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    sketches = text.where("doc_id is not null").mapInArrow(_sketches, f"doc_id {kind}, sketch binary").withColumn("id", F.col("doc_id").cast("long"))
+    sketches = text.where("doc_id is not null").mapInArrow(tidy(_sketches), f"doc_id {kind}, sketch binary").withColumn("id", F.col("doc_id").cast("long"))
     held = cut(sketches.join(needed.hint("merge"), "id", "left_semi").groupBy("id").agg(F.first("sketch").alias("sketch")))
     left, right = held.select(F.col("id").alias("u"), F.col("sketch").alias("x")), held.select(F.col("id").alias("v"), F.col("sketch").alias("y"))
-    links = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "x", "y").mapInArrow(_alike, "u long, v long")
+    links = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "x", "y").mapInArrow(tidy(_alike), "u long, v long")
     comp = components(links)
     label = classes.join(comp.hint("merge"), classes.rep == comp.node, "left").select("class", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(label.hint("merge"), "class").select("doc_id", "component_id")

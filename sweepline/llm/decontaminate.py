@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesnp import U, Spans, fold_case, mix, ragged, slices
-from .shared import cut
+from .shared import cut, tidy
 
 FEATURES, RANK, BLOCK_WORDS = 1 << 14, 64, 16
 MOST_PASSAGES = 2_048
@@ -89,7 +89,7 @@ def _frequencies(batches):
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     """IDF by feature, over all passages."""
-    rows = docs.select("text").mapInArrow(_frequencies, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toPandas()  # FEATURES + 1 rows
+    rows = docs.select("text").mapInArrow(tidy(_frequencies), "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toPandas()  # FEATURES + 1 rows
     df = np.zeros(FEATURES + 1)
     df[rows["f"]] = rows["n"]
     return np.log((df[-1] + 1) / (df[:-1] + 1)) + 0.01
@@ -136,9 +136,9 @@ def latent_space(docs: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int =
         for k, z in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([z.tobytes()])], ["k", "z"])
 
-    parts = docs.select("text").mapInArrow(run, "k int, z binary")
+    parts = docs.select("text").mapInArrow(tidy(run), "k int, z binary")
     z = np.zeros((FEATURES, rank))
-    for r in parts.repartition(rank, "k").mapInArrow(add, "k int, z binary").collect():  # FEATURES x rank numbers
+    for r in parts.repartition(rank, "k").mapInArrow(tidy(add), "k int, z binary").collect():  # FEATURES x rank numbers
         z[:, r["k"]] = np.frombuffer(r["z"], np.float64)
     shift = 1e-7 * max(np.linalg.norm(z), 1e-12)
     z += shift * test
@@ -362,7 +362,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, candidate: float = CANDIDATE)
                             names,
                         )
 
-        return docs.select("doc_id", "text").mapInArrow(run, schema)
+        return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
     for r in benchmark.select("item_id", "text").where("item_id is not null and text is not null").orderBy("item_id", "text").toLocalIterator():
         block.append((r["item_id"], r["text"]))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, _mapped, components, cut, forest, put_array
+from .shared import Scratch, _mapped, components, cut, forest, put_array, tidy
 
 AXES, BLOCK_ROWS, MOST_BLOCKS, LEAF = 8, 2048, 4096, 256
 
@@ -50,7 +50,7 @@ def _matrices(column, most: int = 4096):
 
 def _axes(classes: DataFrame, dim: int) -> np.ndarray:
     """Leading principal axes of the unit vectors (dim x AXES), from the sum of their outer products."""
-    rows = classes.select("embedding").mapInArrow(_gram, "d long, i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toPandas()
+    rows = classes.select("embedding").mapInArrow(tidy(_gram), "d long, i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toPandas()
     gram = np.zeros((dim, dim))
     gram[rows["i"], rows["j"]] = rows["s"]
     _, vectors = np.linalg.eigh(gram)
@@ -166,8 +166,8 @@ def _class_links(classes: DataFrame, dim: int, cosine: float) -> DataFrame:
 
     kind = f"rep long, n long, embedding {classes.schema['embedding'].dataType.simpleString()}, cell array<int>"
     parts = max(1, min(-(-total // rows), 4 * spark.sparkContext.defaultParallelism))
-    ordered = classes.select("rep", "n", "embedding").mapInArrow(project, kind).repartitionByRange(parts, "cell", "rep").sortWithinPartitions("cell", "rep")
-    held = ordered.mapInArrow(write, "part long, k long, name string, low array<double>, high array<double>").orderBy("part", "k").collect()  # at most MOST_BLOCKS and a block a partition
+    ordered = classes.select("rep", "n", "embedding").mapInArrow(tidy(project), kind).repartitionByRange(parts, "cell", "rep").sortWithinPartitions("cell", "rep")
+    held = ordered.mapInArrow(tidy(write), "part long, k long, name string, low array<double>, high array<double>").orderBy("part", "k").collect()  # at most MOST_BLOCKS and a block a partition
     names = [r["name"] for r in held]
     low, high = np.array([r["low"] for r in held]).reshape(len(held), -1), np.array([r["high"] for r in held]).reshape(len(held), -1)
     pairs = [(names[a], names[b]) for a, b in _boxes(len(held), low, high, eps)]
@@ -192,7 +192,7 @@ def _class_links(classes: DataFrame, dim: int, cosine: float) -> DataFrame:
 
     tasks = max(1, min(len(pairs), 16 * spark.sparkContext.defaultParallelism))
     work = spark.createDataFrame(pairs, "a string, b string").repartition(tasks)
-    out = cut(work.mapInArrow(compare, "kind int, u long, n long"))
+    out = cut(work.mapInArrow(tidy(compare), "kind int, u long, n long"))
     folder.drop()
     return out
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesnp import BLOCK, U, Spans, fold_case, mix, slices, words
-from .shared import HashTable, Scratch, bits_for, cut, put_array
+from .shared import HashTable, Scratch, bits_for, cut, put_array, tidy
 
 BOS, EOS = U(0x5D1E0F3B2C4A6978), U(0x7A3C5E9F1B2D4860)
 _GRAM = "order int, bucket int, n int, data binary"
@@ -244,9 +244,9 @@ def train(docs: DataFrame, text: str = "text", order: int = 2, bits: int | None
         model.grams[m] = HashTable(f"{scratch.path}/{m}/grams", bits, {"adj": "<u4"} | ({"raw": "<u4"} if m == 1 else {}))
         model.sides[m] = HashTable(f"{scratch.path}/{m}/sides", bits, {"total": "<u4", "n1": "<u4", "n2": "<u4", "n3": "<u4"})
         if m > 1:
-            own = docs.mapInArrow(_count(m, order, bits), _GRAM)
+            own = docs.mapInArrow(tidy(_count(m, order, bits)), _GRAM)
             rows = own if rows is None else rows.unionByName(own)
-        rows = rows.repartition(1 << bits, "bucket").mapInArrow(_merge(m, order, bits, model.grams[m], model.sides[m]), _GRAM)
+        rows = rows.repartition(1 << bits, "bucket").mapInArrow(tidy(_merge(m, order, bits, model.grams[m], model.sides[m])), _GRAM)
     rows.agg(F.count("*")).collect()
     for m, table in model.grams.items():
         held = [np.fromfile(p, "<i8") for k in range(1 << bits) if os.path.exists(p := f"{table.path}/{k}.stats")]
@@ -275,7 +275,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                 )
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def held_out(doc_id="doc_id", folds: int = 10, fold: int = 0):

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesnp import BLOCK, slices
+from .shared import tidy
 from .tokens import default_path, encode
 
 CAPACITY = 2048
@@ -34,7 +35,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     def run(batches):
         for batch in batches:
             names = batch.column(0)
-            for s, e, b, offs in slices(batch.column(1), 4 * BLOCK):
+            for s, e, b, offs in slices(batch.column(1), BLOCK):
                 ids, first = encode(b, offs, path)
                 first = first + np.arange(e - s + 1)  # a closing 0 after each document
                 flat = np.zeros(first[-1], "<u4")
@@ -60,7 +61,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
 
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), schema)
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

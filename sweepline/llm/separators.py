@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytesnp import BLOCK, slices
-from .shared import Scratch, cut
+from .shared import Scratch, cut, tidy
 from .tokens import default_path, encode
 
 SEPARATOR = 50256  # <|endoftext|>
@@ -38,7 +38,7 @@ def write_flat(docs: DataFrame, folder: str, separator: int = SEPARATOR, dtype:
         part, place = f"{folder}/{name}.{uuid.uuid4().hex}", 0
         with open(part, "wb") as out:
             for batch in batches:
-                for s, e, b, offs in slices(batch.column(1), 4 * BLOCK):
+                for s, e, b, offs in slices(batch.column(1), BLOCK):
                     ids, first = encode(b, offs, path)
                     first = first + np.arange(e - s + 1)
                     flat = np.full(first[-1], separator, dtype)
@@ -51,7 +51,7 @@ def write_flat(docs: DataFrame, folder: str, separator: int = SEPARATOR, dtype:
         os.replace(part, f"{folder}/{name}")
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"file string, place long, doc_id {kind}"))
+    return cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), f"file string, place long, doc_id {kind}"))
 
 
 def scan(spark: SparkSession, folder: str, separator: int = SEPARATOR, dtype: str = "<u2", block_bytes: int = BLOCK_BYTES, suffix: str = ".bin") -> DataFrame:
@@ -77,7 +77,7 @@ def scan(spark: SparkSession, folder: str, separator: int = SEPARATOR, dtype: st
                     ["file", "at", "ids", "seps", "last", "found"],
                 )
 
-    found = blocks.repartition(count, "file", "at").mapInArrow(find, "file string, at long, ids long, seps long, last long, found binary")
+    found = blocks.repartition(count, "file", "at").mapInArrow(tidy(find), "file string, at long, ids long, seps long, last long, found binary")
     before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     last_block = F.lead("at").over(Window.partitionBy("file").orderBy("at")).isNull()
     scanned = found.select("file", "ids", "found", F.coalesce(F.sum("seps").over(before), F.lit(0)).alias("place"), F.coalesce(F.max("last").over(before) + 1, F.lit(0)).alias("start"), last_block.alias("tail"))
@@ -94,7 +94,7 @@ def scan(spark: SparkSession, folder: str, separator: int = SEPARATOR, dtype: st
                     ["file", "place", "start", "n_tokens", "terminated"],
                 )
 
-    return scanned.mapInArrow(stitch, "file string, place long, start long, n_tokens long, terminated boolean")
+    return scanned.mapInArrow(tidy(stitch), "file string, place long, start long, n_tokens long, terminated boolean")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

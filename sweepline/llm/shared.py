@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
 import tempfile
@@ -14,6 +15,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# ---------------------------------------------------------------- workers
+def tidy(run):
+    """A partition function that gives freed memory back when it ends: Spark keeps its Python workers."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def _libc_trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another libc
+        return None
+
+
+_TRIM = _libc_trim()
+
+
 # ---------------------------------------------------------------- shared folder
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one is set only where none is configured (tests)."""
@@ -122,7 +152,7 @@ def store_table(df: DataFrame, key: str, cols: dict[str, str], scratch: Scratch,
             yield pa.RecordBatch.from_arrays([pa.array([len(k)], pa.int64())], ["n"])
 
     rows = df.select(key, *cols, bucket.alias("_b")).repartition(1 << bits, "_b")
-    rows.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    rows.mapInArrow(tidy(write), "n long").agg(F.sum("n")).collect()
     return table
 
 
@@ -174,7 +204,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     the shuffle. Empty in, empty out.
     """
     e = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u != v")
-    e = cut(e.mapInArrow(_contract, "u long, v long"))
+    e = cut(e.mapInArrow(tidy(_contract), "u long, v long"))
     last = None
     for _ in range(rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -182,7 +212,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         # every node and its larger neighbours hang on the smallest of the neighbourhood
         large = both.join(low.hint("merge"), "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         keep = low.where("u != m").select("u", F.col("m").alias("v"))
-        e = cut(large.unionByName(keep).where("u != v").repartition("u").mapInArrow(_contract, "u long, v long"))
+        e = cut(large.unionByName(keep).where("u != v").repartition("u").mapInArrow(tidy(_contract), "u long, v long"))
         now = e.agg(F.count("*"), F.countDistinct("u"), F.countDistinct("v"), F.sum(F.hash("u", "v").cast("long"))).first()
         roots = e.join(e.select(F.col("u").alias("v")).distinct().hint("merge"), "v", "left_semi").limit(1).count() if now[0] == now[1] else 1
         if roots == 0 and now[0] == now[1] or tuple(now) == last:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesnp import U, fold_case, ragged, slices, words
-from .shared import components, cut, forest
+from .shared import components, cut, forest, tidy
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))  # first bit and width
 RADIUS = 2
@@ -76,7 +76,7 @@ def fingerprint(docs: DataFrame, size: int = 3, doc_id: str = "doc_id", text: st
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(fp)], ["doc_id", "fp"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, fp long")
 
 
 # ---------------------------------------------------------------- Golay keys
@@ -199,8 +199,8 @@ def _verify(batches):
 def links(distinct: DataFrame) -> DataFrame:
     """Edges (u, v) between the ids of distinct fingerprints (fp, rep), with the components of all links within two bits."""
     pairs = (
-        distinct.where("rep is not null").select("fp", "rep").mapInArrow(_emit_keys, "key long, fp long, rep long")
-        .repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_verify, "crowd boolean, u long, v long")
+        distinct.where("rep is not null").select("fp", "rep").mapInArrow(tidy(_emit_keys), "key long, fp long, rep long")
+        .repartition("key").sortWithinPartitions("key", "fp").mapInArrow(tidy(_verify), "crowd boolean, u long, v long")
     )
     pairs = cut(pairs)
     crowds = pairs.where("crowd").select(F.col("u").alias("fp"), F.col("v").alias("rep")).distinct()

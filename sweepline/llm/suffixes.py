@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .bytesnp import U, Spans, mix, ragged, slices
 from .cdc import NO_ID, _ids
-from .shared import Scratch, bits_for, cut, store_table
+from .shared import Scratch, bits_for, cut, store_table, tidy
 
 LENGTH, GRAM = 100, 40
 RUN, RESOLVE, PER_RANGE = 60_000, 20_000, 30_000
@@ -85,7 +85,7 @@ def repeated_grams(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 head = np.where(kinds & U(15) == 0, _head(b, a[first]), 0) if len(a) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(mix(kinds).view(np.int64)), pa.array(n.astype(np.int32)), pa.array(head)], ["h", "n", "head"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "h long, n int, head long")
+    rows = docs.select("doc_id", "text").mapInArrow(tidy(run), "h long, n int, head long")
     return rows.groupBy("h").agg(F.sum("n").alias("n"), F.max("head").alias("head")).where("n > 1")
 
 
@@ -340,8 +340,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     def spans(items):
         return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in _spans_of(items, length)], ["doc", "s", "e"])
 
-    sorted_runs = docs.select("doc_id", "text").mapInArrow(sort, "range int, n int, places int, data binary")
-    out = cut(sorted_runs.repartition(ranges, "range").mapInArrow(join, "doc long, s long, e long"))
+    sorted_runs = docs.select("doc_id", "text").mapInArrow(tidy(sort), "range int, n int, places int, data binary")
+    out = cut(sorted_runs.repartition(ranges, "range").mapInArrow(tidy(join), "doc long, s long, e long"))
     scratch.drop()
     return out
 
@@ -385,9 +385,9 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, report:
     own = to_arrow_type(docs.schema["doc_id"].dataType)
     if report:
         names, kinds = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], [own, long, long, long, pa.string()]
-        return both.mapInArrow(apply, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        return both.mapInArrow(tidy(apply), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     names, kinds = ["doc_id", "kept", "removed"], [own, pa.binary(), pa.list_(pa.struct([("start", long), ("end", long)]))]
-    return both.mapInArrow(apply, f"doc_id {kind}, kept binary, removed array<struct<start: long, end: long>>")
+    return both.mapInArrow(tidy(apply), f"doc_id {kind}, kept binary, removed array<struct<start: long, end: long>>")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

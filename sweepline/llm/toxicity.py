@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lm import held_out
-from .shared import cut
+from .shared import cut, tidy
 
 TOXIC_ROWS, CLEAN_ROWS, TERMS = 8_000, 24_000, 2_000
 PREFIXES = range(4, 8)
@@ -135,7 +135,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(folded, pa.string()), pa.array(toxic, pa.int32()), pa.array([_family(t) for t in folded], pa.int64())], ["folded", "toxic", "family"])
 
     found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", F.col("toxic").cast("int"))
-    return cut(found.mapInArrow(families, "folded string, toxic int, family long").dropDuplicates(["family", "toxic"]))
+    return cut(found.mapInArrow(tidy(families), "folded string, toxic int, family long").dropDuplicates(["family", "toxic"]))
 
 
 def _term_counts(batches):
@@ -175,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ()) ->
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic:
         return Lexicon()
-    counts = texts.select("folded", "toxic").mapInArrow(_term_counts, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = texts.select("folded", "toxic").mapInArrow(tidy(_term_counts), "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     least = max(4, int(0.01 * toxic))
     rows = counts.withColumn("odds", odds).where(f"toxic >= {least} and odds > 3").orderBy(F.desc("toxic"), "term").limit(4 * TERMS).collect()
@@ -215,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ()) ->
                 n0, n1 = zip(*count.values(), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.string()), pa.array(n0), pa.array(n1)], ["term", "clean", "toxic"])
 
-    phrases = texts.select("folded", "toxic").mapInArrow(contexts, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    phrases = texts.select("folded", "toxic").mapInArrow(tidy(contexts), "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     learned = phrases.where("clean >= 5 and clean >= 20 * toxic").orderBy(F.desc("clean"), "term").limit(TERMS).collect()
     lexicon.exceptions += tuple(r["term"] for r in learned)
 
@@ -225,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ()) ->
             x = _features(lexicon, a, batch, 0)
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column(1)], ["x", "any", "y"])
 
-    table = texts.select("folded", "toxic").mapInArrow(features, "x double, any double, y int").groupBy("x", "any", "y").count().toPandas()
+    table = texts.select("folded", "toxic").mapInArrow(tidy(features), "x double, any double, y int").groupBy("x", "any", "y").count().toPandas()
     n = table["count"].to_numpy()
     xy = np.repeat(table[["x", "any", "y"]].to_numpy(), n, axis=0)
     lexicon.curve = _curve(xy[:, :2], xy[:, 2])
@@ -242,7 +242,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lexicon.probability(x))], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, score double")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -256,7 +256,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(lexicon.probability(x) < THRESHOLD))
 
     at = docs.columns.index("text")
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
