@@ -2,7 +2,8 @@
 
 A document's ids (and a closing id 0) are cut into pieces of at most ``capacity`` ids, the first being
 the shorter one. Pieces are placed one by one, the longest first, where the sum over residual gaps of the
-squared number of open bins with that gap becomes smallest; a full piece is a sequence of its own.
+squared number of open bins with that gap becomes smallest; a bin is opened only where no open one has room (in this
+order that saves bins), and a full piece is a sequence of its own.
 
 Pieces are dealt by a hash of (doc_id, piece) into groups of about ``GROUP`` documents, each packed by one
 task, so neither a source nor a group of copies gathers in a task; each group leaves a few open bins.
@@ -76,7 +77,7 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
         after[0] = 0
         gain = after + 1 - 2 * open_[s:]
         gain[open_[s:] == 0] = np.iinfo(np.int64).max
-        gain[-1] = after[-1]  # a new bin
+        gain[-1] = np.iinfo(np.int64).max - 1  # a new bin, where no open one has room
         k = int(gain.argmin())
         gap = k + s
         if gap == capacity:

@@ -301,7 +301,9 @@ def test_sum_of_squares_rule():
     squares = lambda gaps: sum(v * v for v in Counter(g for g in gaps if 0 < g < 32).values())
     for s, b, o in zip(sizes.tolist(), bins.tolist(), offsets.tolist(), strict=True):
         gaps = list(open_.values())
-        best = min([squares([*gaps, 32 - s]), *(squares([*(g for k, g in enumerate(gaps) if k != i), gaps[i] - s]) for i in range(len(gaps)) if gaps[i] >= s)])
+        best = min((squares([*(g for k, g in enumerate(gaps) if k != i), gaps[i] - s]) for i in range(len(gaps)) if gaps[i] >= s), default=None)
+        if best is None:
+            best = squares([*gaps, 32 - s])
         assert o == 32 - open_.get(b, 32)
         open_[b] = open_.get(b, 32) - s
         assert open_[b] >= 0 and squares(open_.values()) == best
