@@ -1,11 +1,18 @@
-"""SimHash near-dedup for the pipeline: one document of each group of near copies stays.
+"""Near-dedup for the pipeline: one document of each group of near copies stays.
 
-Near copies share at least ``LEAST`` of their shingles of five words (Jaccard). Their sets of words then differ little, so
-the SimHash of a text's distinct words finds them: it is cut into the three segments of the Golay-code hashing of
-``simhash``; a join key is the codewords near two of the segments, so each of these may be off by two bits
-and the third by any number. Within a bucket a text is paired with the nearest ones and with the first one within
-``NEAR`` bits; pairs are verified on their shingles: a text of at most ``SKETCH`` of them exactly, a longer one by
-its ``SKETCH`` smallest shingle hashes, which estimate the share to 0.02. Links join to groups by ``components``.
+Near copies share at least ``LEAST`` (4 of 5) of their shingles of five words (Jaccard). The links are exact: every pair that
+could reach this share is counted on all its shingles, up to collisions of 64-bit hashes.
+
+Each task writes the shingle sets of its texts to a file of the shared folder; rows carry the place of a set, no set
+is shuffled. Two steps find the pairs:
+
+* Stars: the classes with an equal minimum of one of ``STARS`` hash functions meet the smallest of them. This joins most of a
+  large group by a number of pairs in proportion to its size; it is there for speed only.
+* Prefixes: of two sets that share 4 of 5 in all, each has a shared shingle among its first ``n - ceil(4 n / 5) + 1``, in any one
+  order of all shingles (prefix filter). The order puts shingles of many texts last, so what templates have in common meets
+  nowhere unless a text is nearly all template. All members of a bucket are paired but those that the stars have joined and those
+  whose sizes or places leave too few shingles to share. A bucket over ``BLOCK`` members is dealt into blocks, and each two
+  blocks meet in a task of their own.
 
 Texts with the same words in the same order are one class, compared once. Texts without words are one class. Null ids
 are never removed; rows with equal ids stay or go together. An empty table gives an empty result; all columns are
@@ -14,188 +21,275 @@ kept as they are.
 
 from __future__ import annotations
 
+import glob
+import os
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesnp import U, Spans, fold_case, mix, slices, words
-from .shared import components, cut, tidy
-from .simhash import SEGMENTS, golay_indices, shingles
+from .shared import HashTable, Scratch, bits_for, components, cut, forest, store_table, tidy
+from .simhash import shingles
 
-SHINGLE, LEAST, NEAR, SKETCH = 5, 0.8, 12, 400
-CROWD, BLOCK = 64, 8_192
-_PAIRS = ((0, 1), (1, 2), (2, 0))
+SHINGLE, LEAST, STARS = 5, 0.8, 3
+BLOCK, SLOTS = 4_096, 20
+_SET = "file long, at long, n int"
 
 
-# ---------------------------------------------------------------- fingerprints
-def _fingerprints(batches):
-    """(doc_id, class, fp): hash of the word sequence, SimHash of the distinct words."""
-    for batch in batches:
-        for s, e, b, offs in slices(batch.column(1)):
-            b = fold_case(b)
-            starts, ends, first = words(b, offs)
-            h = Spans(b, 61).of(starts, ends)
-            n = np.diff(first)
-            row = np.repeat(np.arange(len(n)), n)
-            fp, cls = np.zeros(len(n), U), np.zeros(len(n), U)
-            full = np.flatnonzero(n)
-            if len(full):
-                with np.errstate(over="ignore"):
-                    place = (np.arange(len(h)) - np.repeat(first[:-1], n)).astype(U)
-                    cls[full] = mix(np.add.reduceat(mix(h + mix(place + U(1))), first[:-1][full]))
-                by = np.lexsort((h, row))
-                new = np.flatnonzero(np.r_[True, (h[by][1:] != h[by][:-1]) | (row[by][1:] != row[by][:-1])])
-                kinds, of = h[by][new], row[by][new]
-                at = np.searchsorted(of, full)
-                size = np.diff(np.r_[at, len(of)])
-                bits = np.unpackbits(kinds.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-                fp[full] = np.packbits(np.add.reduceat(bits, at, axis=0, dtype=np.int32) * 2 > size[:, None], axis=1).view(">u8").ravel()
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(cls.view(np.int64)), pa.array(fp.view(np.int64))], ["doc_id", "class", "fp"])
+# ---------------------------------------------------------------- shingle sets
+def _sets(path: str):
+    """(doc_id, class, file, at, n, m0...): hash of the word sequence, place of the sorted shingle hashes, their minima."""
+
+    def run(batches):
+        name, at, count, total = uuid.uuid4().int >> 65, 0, np.zeros(1 << SLOTS, np.int64), 0
+        with open(f"{path}/{name}.sets", "wb") as out:
+            for batch in batches:
+                for s, e, b, offs in slices(batch.column(1)):
+                    b = fold_case(b)
+                    starts, ends, first = words(b, offs)
+                    h = Spans(b, 61).of(starts, ends)
+                    n = np.diff(first)
+                    cls = np.zeros(len(n), U)
+                    full = np.flatnonzero(n)
+                    if len(full):
+                        with np.errstate(over="ignore"):
+                            place = (np.arange(len(h)) - np.repeat(first[:-1], n)).astype(U)
+                            cls[full] = mix(np.add.reduceat(mix(h + mix(place + U(1))), first[:-1][full]))
+                    flat, starts, ends, first = shingles(b, offs, SHINGLE)
+                    h = Spans(flat, 67).of(starts, ends)
+                    row = np.repeat(np.arange(e - s), np.diff(first))
+                    by = np.lexsort((h, row))
+                    h, row = h[by], row[by]
+                    if len(h):
+                        new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]
+                        h, row = h[new], row[new]
+                    size = np.bincount(row, minlength=e - s)
+                    begin = np.cumsum(size) - size
+                    low = np.zeros((STARS, e - s), U)
+                    if len(full):
+                        with np.errstate(over="ignore"):
+                            for k in range(STARS):
+                                low[k, full] = np.minimum.reduceat(mix(h ^ mix(np.array([k + 1], U))), begin[full])
+                    count += np.bincount((h >> U(64 - SLOTS)).astype(np.int64), minlength=1 << SLOTS)
+                    total += len(h)
+                    out.write(h.astype("<u8", copy=False).tobytes())
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(s, e - s), pa.array(cls.view(np.int64)), pa.array(np.full(e - s, name)), pa.array(at + 8 * begin), pa.array(size.astype(np.int32))]
+                        + [pa.array(x.view(np.int64)) for x in low],
+                        ["doc_id", "class", "file", "at", "n"] + [f"m{k}" for k in range(STARS)],
+                    )
+                    at += 8 * len(h)
+        # slots of shingles that many texts hold, for the order
+        often = np.flatnonzero(count > 4 + 4 * total / (1 << SLOTS))
+        np.save(f"{path}/{name}.part.npy", np.c_[often, count[often]])
+        os.replace(f"{path}/{name}.part.npy", f"{path}/{name}.often.npy")
+
+    return run
+
+
+def _order(path: str) -> None:
+    """By slot, how often its shingles are seen (a logarithm). Any table gives right results; this one gives small buckets."""
+    seen = np.zeros(1 << SLOTS)
+    for f in glob.glob(f"{path}/*.often.npy"):
+        slot, n = np.load(f).T
+        seen[slot] += n
+    np.save(f"{path}/order.npy", np.minimum(255, 4 * np.log2(1 + seen)).astype(np.uint8))
+
+
+class _Reader:
+    """Sets by place; files are read, not mapped, so that a worker holds only what it works on."""
+
+    def __init__(self, path: str):
+        self.path, self.open = path, {}
+
+    def __call__(self, file: int, at: int, n: int) -> np.ndarray:
+        if file not in self.open:
+            if len(self.open) >= 200:
+                os.close(self.open.pop(next(iter(self.open))))
+            self.open[file] = os.open(f"{self.path}/{file}.sets", os.O_RDONLY)
+        got = os.pread(self.open[file], 8 * n, at)
+        if len(got) != 8 * n:
+            raise OSError(f"{self.path}/{file}.sets: {len(got)} bytes at {at}, not {8 * n}")
+        return np.frombuffer(got, "<u8")
+
+    def close(self) -> None:
+        while self.open:
+            os.close(self.open.popitem()[1])
 
 
 # ---------------------------------------------------------------- candidates
-def _keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    index = [golay_indices((fp >> U(s) & U((1 << w) - 1)).astype(np.int64)) for s, w in SEGMENTS]
-    rows, keys = [], []
-    for t, (i, j) in enumerate(_PAIRS):
-        both = (index[i][:, :, None] >= 0) & (index[j][:, None, :] >= 0)
-        row, x, y = np.nonzero(both)
-        rows.append(row)
-        keys.append(t << 24 | index[i][row, x] << 12 | index[j][row, y])
-    return np.concatenate(rows), np.concatenate(keys)
-
-
-def _emit(batches):
-    for batch in batches:
-        fp, rep = batch.column(0).to_numpy().view(U), batch.column(1).to_numpy()
-        for s in range(0, len(fp), 5_000):
-            row, key = _keys(fp[s : s + 5_000])
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(fp[s + row].view(np.int64)), pa.array(rep[s + row])], ["key", "fp", "rep"])
-
-
-def _choose(member, other, far, rep):
-    """Of near pairs: each member's three nearest and its first one, as (smaller id, larger id)."""
-    m, o, d = np.r_[member, other], np.r_[other, member], np.r_[far, far]
-    take = []
-    for by, most in ((np.lexsort((rep[o], d, m)), 3), (np.lexsort((rep[o], m)), 1)):
-        ms = m[by]
-        new = np.flatnonzero(np.r_[True, ms[1:] != ms[:-1]]) if len(ms) else np.zeros(0, np.int64)
-        rank = np.arange(len(ms)) - np.repeat(new, np.diff(np.r_[new, len(ms)]))
-        take.append(by[rank < most])
-    t = np.unique(np.concatenate(take))
-    return np.minimum(rep[m[t]], rep[o[t]]), np.maximum(rep[m[t]], rep[o[t]])
-
-
-def _pairs(batches):
-    """Rows sorted by (key, rep): candidate pairs of each bucket."""
-    key, fp, rep = np.zeros(0, np.int32), np.zeros(0, U), np.zeros(0, np.int64)
-
-    def small(key, fp, rep):
-        ms, os_, ds = [], [], []
-        at = np.arange(len(key) - 1)
-        for s in range(1, CROWD):
-            at = at[at + s < len(key)]
-            at = at[key[at] == key[at + s]]
-            if not len(at):
-                break
-            d = np.bitwise_count(fp[at] ^ fp[at + s])
-            near = d <= NEAR
-            ms.append(at[near])
-            os_.append(at[near] + s)
-            ds.append(d[near])
-        return tuple(np.concatenate(x) for x in (ms, os_, ds)) if ms else None
-
-    def crowd(fp):
-        """Each member against the block it is in and the bucket's first ones."""
-        ms, os_, ds = [], [], []
-        for s in range(0, len(fp), BLOCK):
-            pool = np.arange(s, min(s + BLOCK, len(fp)))
-            if s:
-                pool = np.r_[np.arange(64), pool]
-            for k in range(s, min(s + BLOCK, len(fp)), 512):
-                mine = np.arange(k, min(k + 512, s + BLOCK, len(fp)))
-                d = np.bitwise_count(fp[mine][:, None] ^ fp[pool][None]).astype(np.uint8)
-                d[mine[:, None] == pool[None]] = 255
-                first = (d <= NEAR).argmax(1)
-                best = np.argpartition(d, min(3, len(pool) - 1), axis=1)[:, :3]
-                for c in (first, *best.T):
-                    near = d[np.arange(len(mine)), c] <= NEAR
-                    ms.append(mine[near])
-                    os_.append(pool[c[near]])
-                    ds.append(d[np.arange(len(mine)), c][near])
-        return tuple(np.concatenate(x) for x in (ms, os_, ds))
-
-    def out(key, fp, rep):
-        if not len(key):
+def _prefixes(path: str, table: HashTable | None = None):
+    """(key, class, component, n, i): the first shingles of sets in the common order; with ``table``, those it holds."""
+
+    def run(batches):
+        read, order = _Reader(path), np.load(f"{path}/order.npy")
+        try:
+            for batch in batches:
+                cls, comp, file, at, size = (c.to_numpy() for c in batch.columns)
+                ends = np.cumsum(size.astype(np.int64))
+                s = 0
+                while s < len(cls):
+                    e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + 400_000, "right")))
+                    h = np.concatenate([read(*x) for x in zip(file[s:e].tolist(), at[s:e].tolist(), size[s:e].tolist(), strict=True)])
+                    n = size[s:e].astype(np.int64)
+                    row = np.repeat(np.arange(e - s), n)
+                    by = np.argsort(row << 8 | order[(h >> U(64 - SLOTS)).astype(np.int64)], kind="stable")  # sets are sorted by hash
+                    i = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+                    take = i < (n + 4 * n // -5 + 1)[row]
+                    key, row, i = h[by][take], row[take], i[take]
+                    if table is not None:
+                        held, value = table.find(key)
+                        key, row, i, blocks = key[held], row[held], i[held], value["blocks"][held]
+                    out = [key.view(np.int64), cls[s:e][row], comp[s:e][row], n[row].astype(np.int32), i.astype(np.int32)]
+                    names = ["key", "class", "comp", "n", "i"]
+                    if table is not None:
+                        out, names = [*out, blocks], [*names, "blocks"]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names)
+                    s = e
+        finally:
+            read.close()
+
+    return run
+
+
+def _meet(batches):
+    """Rows sorted by bucket: all pairs whose sizes and places allow the share, but for pairs of one component."""
+    held = None
+
+    def pairs(x, y, col):
+        """Of candidate places x, y: (smaller class, larger class) of those that may be near copies."""
+        _, a, b, own, cls, comp, n, i = col
+        ok = (comp[x] != comp[y]) & ((a[x] == b[x]) | (own[x] != own[y])) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
+        ok &= 9 * np.minimum(n[x] - i[x], n[y] - i[y]) >= 4 * (n[x] + n[y])
+        x, y = cls[x[ok]], cls[y[ok]]
+        return np.c_[np.minimum(x, y), np.maximum(x, y)]
+
+    def send(found):
+        uv = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(uv[:, 0].copy()), pa.array(uv[:, 1].copy())], ["u", "v"])
+
+    def out(col):
+        if not len(col[0]):
             return
-        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[at, len(key)])
-        found = []
-        big = np.repeat(size > CROWD, size)
-        if (got := small(key[~big], fp[~big], rep[~big])) is not None:
-            found.append(_choose(*got, rep[~big]))
-        for s, n in zip(at[size > CROWD], size[size > CROWD], strict=True):
-            found.append(_choose(*crowd(fp[s : s + n]), rep[s : s + n]))
-        if found:
-            u, v = (np.concatenate(x) for x in zip(*found, strict=True))
-            if len(u):
-                u, v = np.unique(np.c_[u, v], axis=0).T
-                yield pa.RecordBatch.from_arrays([pa.array(u.copy()), pa.array(v.copy())], ["u", "v"])
+        at = np.flatnonzero(np.r_[True, _differ(col)])
+        size = np.diff(np.r_[at, len(col[0])])
+        found, many = [], 0
+        few = np.repeat(size <= 64, size)
+        group = np.repeat(np.arange(len(at)), size)
+        x = np.flatnonzero(few)
+        for s in range(1, 64):
+            x = x[x + s < len(group)]
+            x = x[group[x] == group[x + s]]
+            if not len(x):
+                break
+            found.append(pairs(x, x + s, col))
+            many += len(found[-1])
+            if many > 500_000:
+                yield send(found)
+                found, many = [], 0
+        for s, n in zip(at[size > 64], size[size > 64], strict=True):
+            by = s + np.argsort(col[5][s : s + n], kind="stable")
+            end = np.searchsorted(col[5][by], col[5][by], "right")  # what follows the member's own component
+            for k in range(n):
+                if end[k] == n:
+                    break
+                y = by[end[k] :]
+                found.append(pairs(np.full(len(y), by[k]), y, col))
+                many += len(found[-1])
+                if many > 500_000:
+                    yield send(found)
+                    found, many = [], 0
+        if many:
+            yield send(found)
 
     for batch in batches:
-        k, f, r = (c.to_numpy() for c in batch.columns)
-        key, fp, rep = np.r_[key, k], np.r_[fp, f.view(U)], np.r_[rep, r]
-        done = np.searchsorted(key, key[-1]) if len(key) else 0
-        if done > 20_000:
-            yield from out(key[:done], fp[:done], rep[:done])
-            key, fp, rep = key[done:], fp[done:], rep[done:]
-    yield from out(key, fp, rep)
+        col = [c.to_numpy().astype(np.int64) for c in batch.columns]
+        if held is not None:
+            col = [np.r_[p, q] for p, q in zip(held, col, strict=True)]
+        if not len(col[0]):
+            continue
+        last = np.flatnonzero(np.r_[True, _differ(col)])[-1]
+        yield from out([c[:last] for c in col])
+        held = [c[last:] for c in col]
+    if held is not None:
+        yield from out(held)
+
+
+def _differ(col) -> np.ndarray:
+    key, a, b = col[:3]
+    return (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
 
 
 # ---------------------------------------------------------------- verification
-def _sketches(batches):
-    """(doc_id, sketch): the smallest hashes of a text's shingles, 32 bits each."""
-    for batch in batches:
-        for s, e, b, offs in slices(batch.column(1)):
-            flat, starts, ends, first = shingles(fold_case(b), offs, SHINGLE)
-            h = (Spans(flat, 67).of(starts, ends) >> U(32)).astype("<u4")
-            out = []
-            for i in range(e - s):
-                out.append(np.unique(h[first[i] : first[i + 1]])[:SKETCH].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(out, pa.binary())], ["doc_id", "sketch"])
+def _alike(path: str):
+    """Forests of the pairs that share at least LEAST, counted on whole sets."""
 
+    def run(batches):
+        read = _Reader(path)
+        try:
+            for batch in batches:
+                keep, last, x = [], None, None
+                for u, v in zip(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True), zip(*(batch.column(k).to_pylist() for k in (5, 6, 7)), strict=True), strict=True):
+                    if u != last:
+                        last, x = u, read(*u)
+                    both = np.sort(np.concatenate([x, read(*v)]), kind="stable")
+                    keep.append(9 * int((both[1:] == both[:-1]).sum()) >= 4 * len(both))  # shared / (all - shared) >= 4 / 5
+                near = pa.array(keep, pa.bool_())
+                u, v = forest(*(batch.column(k).filter(near).to_numpy() for k in (0, 4)))
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        finally:
+            read.close()
 
-def _alike(batches):
-    """Pairs whose shared part is at least LEAST: exact for short texts, over the smallest hashes of the union else."""
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
-            both = np.union1d(x, y)
-            if len(x) == SKETCH or len(y) == SKETCH:
-                both = both[:SKETCH]
-            shared = len(np.intersect1d(np.intersect1d(x, y, True), both, True))
-            keep.append(shared >= LEAST * len(both))
-        yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+    return run
+
+
+def _links(pairs: DataFrame, classes: DataFrame, path: str) -> DataFrame:
+    """Edges between the first ids of the classes in ``pairs(u, v)`` that are near copies."""
+    side = lambda c: classes.select(F.col("class").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("rep", "file", "at", "n")))
+    both = pairs.join(side("v").hint("merge"), "v").join(side("u").hint("merge"), "u")
+    return both.select(*(f"{x}_{c}" for c in "uv" for x in ("rep", "file", "at", "n"))).mapInArrow(tidy(_alike(path)), "u long, v long")
+
+
+def links(classes: DataFrame, path: str) -> DataFrame:
+    """Edges (u, v) whose components are those of all near copies of ``classes(class, rep, file, at, n, m0...)``."""
+    near = classes.where("rep is not null and n > 0")
+    stars = near.select("class", "n", F.explode(F.array(*(F.xxhash64(F.lit(k), f"m{k}") for k in range(STARS)))).alias("key"))
+    low = stars.groupBy("key").agg(F.min(F.struct("class", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
+    met = stars.join(low.hint("merge"), "key").where("class != p.class and 5 * least(n, p.n) >= 4 * greatest(n, p.n)")
+    star = cut(_links(met.select(F.least("class", "p.class").alias("u"), F.greatest("class", "p.class").alias("v")).distinct(), classes, path))
+
+    comp = components(star)
+    held = cut(near.join(comp.hint("merge"), near.rep == comp.node, "left").select("class", F.coalesce("component", "rep").alias("comp"), "file", "at", "n"))
+    row = "key long, class long, comp long, n int, i int"
+    keys = held.mapInArrow(tidy(_prefixes(path)), row).groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("c"))
+    keys = cut(keys.where("a != b").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")))
+    scratch = Scratch(classes.sparkSession, "prefixes")
+    table = store_table(keys, "key", {"blocks": "<i4"}, scratch, bits_for(keys.count(), 50_000))
+    rows = held.mapInArrow(tidy(_prefixes(path, table)), row + ", blocks int")
+    rows = rows.withColumn("own", F.expr("cast(pmod(xxhash64(class), blocks) as int)")).withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select("key", F.least("own", "o").alias("a"), F.greatest("own", "o").alias("b"), "own", "class", "comp", "n", "i")
+    pairs = rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(tidy(_meet), "u long, v long").distinct()
+    rest = cut(_links(pairs, classes, path))
+    scratch.drop()
+    return star.unionByName(rest)
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) of every row: the smallest id of its group of near copies."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    text = docs.select("doc_id", "text")
-    fps = cut(text.mapInArrow(tidy(_fingerprints), f"doc_id {kind}, class long, fp long"))
-    classes = fps.groupBy("class").agg(F.min("doc_id").cast("long").alias("rep"), F.min("fp").alias("fp"))
-    keyed = classes.where("rep is not null").select("fp", "rep").mapInArrow(tidy(_emit), "key int, fp long, rep long")
-    pairs = cut(keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(tidy(_pairs), "u long, v long").distinct())
-    needed = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    sketches = text.where("doc_id is not null").mapInArrow(tidy(_sketches), f"doc_id {kind}, sketch binary").withColumn("id", F.col("doc_id").cast("long"))
-    held = cut(sketches.join(needed.hint("merge"), "id", "left_semi").groupBy("id").agg(F.first("sketch").alias("sketch")))
-    left, right = held.select(F.col("id").alias("u"), F.col("sketch").alias("x")), held.select(F.col("id").alias("v"), F.col("sketch").alias("y"))
-    links = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "x", "y").mapInArrow(tidy(_alike), "u long, v long")
-    comp = components(links)
+    scratch = Scratch(docs.sparkSession, "sets")
+    lows = [f"m{k}" for k in range(STARS)]
+    sets = cut(docs.select("doc_id", "text").mapInArrow(tidy(_sets(scratch.path)), f"doc_id {kind}, class long, {_SET}, " + ", ".join(f"{m} long" for m in lows)))
+    _order(scratch.path)
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").cast("long").alias("rep"), "file", "at", "n"))).alias("p")
+    classes = cut(sets.groupBy("class").agg(first, *(F.min(m).alias(m) for m in lows)).select("class", "p.*", *lows))
+    comp = components(links(classes, scratch.path))
+    scratch.drop()
     label = classes.join(comp.hint("merge"), classes.rep == comp.node, "left").select("class", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(label.hint("merge"), "class").select("doc_id", "component_id")
+    return sets.select("doc_id", "class").join(label.hint("merge"), "class").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
