@@ -1,12 +1,14 @@
 """Operator 4: substring dedup by content-defined chunking with a gear rolling hash.
 
 The gear hash of the last ``WINDOW`` bytes sets the chunk boundaries, so an insertion moves only the chunks
-around it. A chunk is known by its digest; the first one in (doc_id, place) order stays. A later chunk is removed
-when the run of such chunks in a row that holds it has at least ``least`` bytes: a phrase or a short line that
-happens to repeat stays, a repeated passage goes but for what of its edges shares a chunk with other text.
+around it. A passage is a run of whole chunks of a text that has ``least`` bytes, and no fewer chunks would do; it
+is known by the digest of all its bytes. Of each chunk there are two, the one that begins with it and the one that ends
+with it, so every repeated run of chunks of ``least`` bytes is covered to both its ends. The first place of a passage in
+(doc_id, place) order stays; what later ones hold is removed. Only text that stood in one piece before goes:
+chunks that were seen in different places do not add up to a passage, and a phrase or a short line that happens to repeat stays.
 
 The rolling hash of all bytes of a batch takes log2(WINDOW) vector steps. Digests are summed before the shuffle, so
-a chunk shared by any number of documents is a row a batch; those seen more than once become sorted hash
+a passage shared by any number of documents is a row a batch; those seen more than once become sorted hash
 arrays that a second pass over the texts maps into memory: no text is ever shuffled.
 
 Boundaries never split a UTF-8 character. Null and empty texts have no chunk (a null text stays null). Rows with
@@ -56,12 +58,21 @@ def boundaries(b: np.ndarray, offs: np.ndarray, average: int = AVERAGE) -> np.nd
     return np.flatnonzero(first)
 
 
-def _chunks(b, offs, average):
-    """Digest, document row, start within the document and length of all chunks."""
+def _passages(b, offs, average, least):
+    """Digest, document row, start within the document and length of all passages."""
     edge = boundaries(b, offs, average)
     starts, ends = edge[:-1], edge[1:]
     row = np.searchsorted(offs, starts, "right") - 1
-    return Spans(b, 23).of(starts, ends).view(np.int64), row, starts - offs[row], ends - starts
+    # from each chunk on, and up to each chunk: as few chunks as have ``least`` bytes
+    stop = np.searchsorted(ends, starts + least)
+    begin = np.searchsorted(starts, ends - least, "right") - 1
+    on = np.flatnonzero(stop < len(ends))
+    on = on[row[stop[on]] == row[on]]
+    up = np.flatnonzero(begin >= 0)
+    up = up[row[begin[up]] == row[up]]
+    both = np.unique(np.r_[on * len(ends) + stop[on], begin[up] * len(ends) + up])
+    i, j = np.divmod(both, max(len(ends), 1))
+    return Spans(b, 23).of(starts[i], ends[j]).view(np.int64), row[i], starts[i] - offs[row[i]], ends[j] - starts[i]
 
 
 def _ids(column) -> np.ndarray:
@@ -70,14 +81,14 @@ def _ids(column) -> np.ndarray:
     return pc.fill_null(column.cast(pa.int64()), NO_ID).to_numpy(zero_copy_only=False)
 
 
-def repeated_chunks(docs: DataFrame, average: int = AVERAGE) -> DataFrame:
-    """(digest, doc, at, n): chunks seen at two places or more, and the first place."""
+def repeated_passages(docs: DataFrame, average: int = AVERAGE, least: int = LEAST) -> DataFrame:
+    """(digest, doc, at, n): passages seen at two places or more, and the first place."""
 
     def run(batches):
         for batch in batches:
             ids = _ids(batch.column(0))
             for s, e, b, offs in slices(batch.column(1), BLOCK):
-                digest, row, at, _ = _chunks(b, offs, average)
+                digest, row, at, _ = _passages(b, offs, average, least)
                 doc = ids[s:e][row]
                 by = np.lexsort((at, doc, digest))
                 digest, doc, at = digest[by], doc[by], at[by]
@@ -85,25 +96,25 @@ def repeated_chunks(docs: DataFrame, average: int = AVERAGE) -> DataFrame:
                 n = np.diff(np.r_[new, len(digest)])
                 yield pa.RecordBatch.from_arrays([pa.array(digest[new]), pa.array(doc[new]), pa.array(at[new].astype(np.int32)), pa.array(n.astype(np.int32))], ["digest", "doc", "at", "n"])
 
-    chunks = docs.select("doc_id", "text").mapInArrow(tidy(run), "digest long, doc long, at int, n int")
-    seen = chunks.groupBy("digest").agg(F.min(F.struct("doc", "at")).alias("first"), F.sum("n").alias("n")).where("n > 1")
+    passages = docs.select("doc_id", "text").mapInArrow(tidy(run), "digest long, doc long, at int, n int")
+    seen = passages.groupBy("digest").agg(F.min(F.struct("doc", "at")).alias("first"), F.sum("n").alias("n")).where("n > 1")
     return seen.select("digest", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), "n")
 
 
 def _spans(table: HashTable, b, offs, ids, average, least):
     """Removed byte spans (starts, ends) of some texts."""
-    digest, row, at, size = _chunks(b, offs, average)
-    if not len(digest):
+    digest, row, at, size = _passages(b, offs, average, least)
+    found, first = table.find(digest.view(np.uint64))
+    later = np.flatnonzero(found & ((first["doc"] != ids[row]) | (first["at"] != at)))
+    if not len(later):
         z = np.zeros(0, np.int64)
         return z, z
-    found, first = table.find(digest.view(np.uint64))
-    later = found & ((first["doc"] != ids[row]) | (first["at"] != at))
-    new = np.r_[True, (later[1:] != later[:-1]) | (row[1:] != row[:-1])]
-    k = np.flatnonzero(new)
-    length = np.add.reduceat(size, k)
-    take = later[k] & (length >= least)
-    start = (offs[row] + at)[k]
-    return start[take], (start + length)[take]
+    start = (offs[row] + at)[later]
+    end = start + size[later]
+    by = np.argsort(start, kind="stable")
+    start, end, row = start[by], np.maximum.accumulate(end[by]), row[later][by]
+    new = np.flatnonzero(np.r_[True, (start[1:] > end[:-1]) | (row[1:] != row[:-1])])
+    return start[new], end[np.r_[new[1:] - 1, len(end) - 1]]
 
 
 def deduplicate(docs: DataFrame, average: int = AVERAGE, least: int = LEAST, report: bool = False) -> DataFrame:
@@ -111,7 +122,7 @@ def deduplicate(docs: DataFrame, average: int = AVERAGE, least: int = LEAST, rep
 
     ``report`` gives (doc_id, n_bytes, n_removed, n_spans, text) instead.
     """
-    found = cut(repeated_chunks(docs, average))
+    found = cut(repeated_passages(docs, average, least))
     scratch = Scratch(docs.sparkSession, "chunks")
     atexit.register(scratch.drop)  # the result reads it as long as the session may
     table = store_table(found, "digest", {"doc": "<i8", "at": "<i4"}, scratch, bits_for(found.count(), 50_000))

@@ -389,6 +389,36 @@ def test_repeated_passages_go_and_the_rest_stays(spark):
     assert report[0].n_removed == 0 and report[1].n_removed > 0.85 * report[1].n_bytes
 
 
+def test_chunks_of_different_places_are_no_passage(spark):
+    """Each piece of the last text stood in another document; only the last 60 words stood somewhere as they are."""
+    rng = random.Random(16)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(4000)]
+    pieces = [" ".join(rng.choices(vocabulary, k=11)) for _ in range(40)]  # under 100 bytes each
+    assert max(map(len, pieces)) < 100
+    passage = " ".join(rng.choices(vocabulary, k=60))
+    rows = [(i, f"{' '.join(rng.choices(vocabulary, k=30))} {p} {' '.join(rng.choices(vocabulary, k=30))}") for i, p in enumerate(pieces)]
+    rows += [(50, passage), (60, " ".join(pieces)), (70, " ".join(pieces[::-1]) + " " + passage)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in cdc.deduplicate(docs).collect()}
+    source = dict(rows)
+    whole = len(" ".join(pieces))
+    assert all(got[i] == source[i] for i in source if i != 70)
+    assert got[70].startswith(source[70][:whole]) and len(got[70]) - whole < 60
+
+
+def test_only_repeated_bytes_go(spark):
+    """On the table: what is cut out lies in strings of 100 bytes that stand elsewhere too."""
+    rows = {r.doc_id: r.text.encode() for r in text_of(spark).collect()}
+    seen = Counter(t[k : k + 100] for t in rows.values() for k in range(len(t) - 99))
+    for r in cdc.deduplicate(text_of(spark)).collect():
+        t, kept = rows[r.doc_id], r.text.encode()
+        covered = bytearray(len(t))
+        for k in range(len(t) - 99):
+            if seen[t[k : k + 100]] > 1:
+                covered[k : k + 100] = b"\x01" * 100
+        assert len(t) - len(kept) <= sum(covered)
+
+
 def test_chunks_odd_rows(spark):
     docs = odd_docs(spark)
     out = cdc.deduplicate(docs)
