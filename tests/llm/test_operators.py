@@ -201,6 +201,31 @@ def test_decontamination_finds_copies_and_paraphrases(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in texts} - set(leaked) and kept.columns == docs.columns
 
 
+def test_paraphrases_at_any_offset_are_candidates(spark):
+    """Items with two words in five replaced, at random places of texts: all that the rule calls leaks are found."""
+    rng = random.Random(15)
+    texts = [r.text for r in text_of(spark).collect() if r.text]
+    items = [(r.item_id, r.text) for r in text_of(spark, "benchmark").collect() if r.text]
+    vocabulary = sorted({w for t in texts[:300] for w in t.split()})
+    idf = decontaminate.inverse_frequencies(text_of(spark))
+    held = decontaminate.Benchmark(items, idf, np.zeros((decontaminate.FEATURES, 1)))
+    rows, leaked = [], set()
+    for i in range(400):
+        item, text = rng.choice(items)
+        own = " ".join(rng.choice(vocabulary) if rng.random() < 0.42 else w for w in text.split())
+        w = rng.choice(texts).split()
+        at = rng.randint(0, len(w))
+        rows.append((i, " ".join([*w[:at], own, *w[at:]])))
+        h = held._hash(own)
+        for p in np.flatnonzero(np.array(held.item) == item):
+            where = np.array([0]), np.array([len(h)]), np.array([p])
+            lcs, answer = held.align(h, *where)[0], held.align(h, *where, answers=True)[0]
+            if not held.whole[p] and (lcs >= 0.78 or lcs >= 0.53 and answer >= 0.53):  # IDF differs a little with the planted texts
+                leaked.add((i, item))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(spark.createDataFrame(rows, "doc_id bigint, text string").unionByName(text_of(spark).selectExpr("doc_id + 1000 as doc_id", "text")), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert len(leaked) > 100 and leaked <= got
+
+
 def test_latent_space_is_the_svd(spark):
     docs = text_of(spark)
     idf = decontaminate.inverse_frequencies(docs)
