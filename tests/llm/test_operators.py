@@ -623,6 +623,40 @@ def test_reorderings_hide_no_near_copy(spark):
     assert len(want) == 20 and got == components_of(range(len(texts)), want)
 
 
+@pytest.mark.parametrize("stars", [True, False])
+def test_every_pair_of_a_hot_bucket_meets(spark, monkeypatch, stars):
+    """With blocks of 16 and all shingles equally rare, one template puts all texts into the same buckets."""
+    rng = random.Random(12)
+    words = vocabulary_of(rng)
+    template = rng.sample(words, 150)
+    texts = []
+    for k in range(90):
+        own = rng.sample(words, 60)
+        texts.append(" ".join(template + own))
+        if k % 3 == 0:
+            texts.append(" ".join(template + own[:-9]))
+    rng.shuffle(texts)
+    monkeypatch.setattr(copies, "BLOCK", 16)
+    monkeypatch.setattr(copies, "_order", lambda path: np.save(f"{path}/order.npy", np.zeros(1 << copies.SLOTS, np.uint8)))
+    if not stars:
+        monkeypatch.setattr(copies, "_links", _without_first(copies._links))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in copies.groups(docs).collect()}
+    want = close_pairs(texts)
+    assert len(want) >= 30 and got == components_of(range(len(texts)), want)
+
+
+def _without_first(f):
+    """The links of the stars left out, so that the prefixes have to find all."""
+    calls = []
+
+    def run(pairs, classes, path):
+        calls.append(1)
+        return f(pairs.where("false") if len(calls) == 1 else pairs, classes, path)
+
+    return run
+
+
 def test_copies_odd_rows(spark):
     docs = odd_docs(spark)
     out = copies.keep_one(docs)
