@@ -657,6 +657,22 @@ def _without_first(f):
     return run
 
 
+def test_cut_and_extended_copies_are_found(spark):
+    """Texts of the table without their tail, or with a paragraph more, at a share of 0.8 to 0.9: all are linked."""
+    rng = random.Random(13)
+    words = vocabulary_of(rng)
+    source = [w for r in text_of(spark).collect() for w in [WORDS.findall(lower(r.text))] if len(w) >= 30][:150]
+    rows, want = [], 0
+    for k, w in enumerate(source):
+        for other in (w[: len(w) - int(len(w) * rng.choice((0.1, 0.15, 0.18)))], w + rng.choices(words, k=int(len(w) * rng.choice((0.1, 0.15, 0.2))))):
+            if close_pairs([" ".join(w), " ".join(other)]):
+                rows += [(2 * want, " ".join(w)), (2 * want + 1, " ".join(other))]
+                want += 1
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in copies.groups(docs).collect()}
+    assert want > 200 and all(got[2 * k] == got[2 * k + 1] for k in range(want))
+
+
 def test_copies_odd_rows(spark):
     docs = odd_docs(spark)
     out = copies.keep_one(docs)
