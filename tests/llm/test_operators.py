@@ -673,6 +673,20 @@ def test_cut_and_extended_copies_are_found(spark):
     assert want > 200 and all(got[2 * k] == got[2 * k + 1] for k in range(want))
 
 
+def test_long_texts_are_counted_whole(spark):
+    """Texts of over 400 shingles just over and just under the share, where an estimate errs both ways."""
+    rng = random.Random(14)
+    words = vocabulary_of(rng, 20_000)
+    texts = []
+    for k in range(40):
+        w = rng.sample(words, 1200)
+        texts += [" ".join(w), " ".join(w[: 967 if k % 2 else 953])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in copies.groups(docs).collect()}
+    want = close_pairs(texts)
+    assert len(want) == 20 and got == components_of(range(len(texts)), want)
+
+
 def test_copies_odd_rows(spark):
     docs = odd_docs(spark)
     out = copies.keep_one(docs)
