@@ -1,4 +1,4 @@
-"""Operator 2: benchmark decontamination by latent semantic retrieval, then subsequence and answer checks.
+"""Operator 2: benchmark decontamination by TF-IDF retrieval, then subsequence and answer checks.
 
 Words are runs of letters and digits (A-Z folded, bytes above 127 count as letters), hashed to ``FEATURES``
 features. A passage is ``2 * BLOCK_WORDS`` words of a text, one beginning every ``BLOCK_WORDS``; it is weighted by TF-IDF
@@ -7,7 +7,7 @@ with document frequencies counted over the passages of the whole corpus.
 The latent space comes from a randomised SVD of all passages in one distributed pass: with random test vectors W
 (FEATURES x RANK) the tasks sum Z = A'(A W), and the Nystrom form of Z gives the leading singular vectors. The space is
 then updated with the directions of the benchmark's passages that it lacks (an orthogonal basis of both), so none
-is lost by truncation. Projecting a benchmark passage into the space and back gives its weight by feature; the cosine
+is lost by truncation: projecting and going back changes nothing but rounding, and the cosine is that of plain TF-IDF. Projecting a benchmark passage into the space and back gives its weight by feature; the cosine
 with every passage of every text is a sum of such weights, block by block. What reaches ``CANDIDATE`` (less for passages under ``BLOCK_WORDS`` words) is aligned word
 by word with the benchmark passage: the longest common subsequence, each word counting its IDF, as a share
 of the whole. A share of ``COPIED`` is a leak; one of ``PARAPHRASED`` is one if the passage's answer (its last sentence) is
