@@ -202,7 +202,7 @@ class Benchmark:
         self.weights, held = weights, weights != 0
         count = held.sum(1)
         # a feature of few passages is looked up, one of many is bounded first
-        self.many = count > 16
+        self.many = count > 64
         self.bound = np.where(self.many, np.abs(self.weights).max(1, initial=0), 0)
         f, self.passage = np.nonzero(held & ~self.many[:, None])
         self.weight = self.weights[f, self.passage]
