@@ -431,6 +431,26 @@ def test_chunks_of_different_places_are_no_passage(spark):
     assert got[70].startswith(source[70][:whole]) and len(got[70]) - whole < 60
 
 
+def test_single_chunks_seen_before_are_no_passage(spark):
+    """A text of whole chunks, each from another document: every chunk was seen, no 100 bytes of it were."""
+    rng = random.Random(17)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(4000)]
+    sources = [" ".join(rng.choices(vocabulary, k=60)) for _ in range(120)]
+    edges = lambda t: cdc.boundaries(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])).tolist()
+    mixed, at = "", [0]
+    for t in sources:
+        e = edges(t)
+        for x, y in zip(e[1:-2], e[2:-1], strict=True):
+            if 24 <= y - x < 90 and edges(mixed + t[x:y]) == [*at, len(mixed) + y - x]:
+                mixed += t[x:y]
+                at.append(len(mixed))
+                break
+    assert len(at) > 20
+    docs = spark.createDataFrame([*enumerate(sources), (500, mixed)], "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in cdc.deduplicate(docs).collect()}
+    assert got[500] == mixed
+
+
 def test_only_repeated_bytes_go(spark):
     """On the table: what is cut out lies in strings of 100 bytes that stand elsewhere too."""
     rows = {r.doc_id: r.text.encode() for r in text_of(spark).collect()}
