@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesnp import U, Spans, fold_case, mix, ragged, slices
-from .shared import cut, tidy
+from .shared import cut, fresh, tidy
 
 FEATURES, RANK, BLOCK_WORDS = 1 << 14, 64, 16
 MOST_PASSAGES = 2_048
@@ -378,8 +378,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, candidate: float = CANDIDATE)
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without leaked items, every column as it is."""
-    leaked = cut(matches(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct())
-    return docs.join(leaked.hint("merge"), docs.doc_id == F.col("_leaked"), "left_anti")
+    name = fresh(docs, "leaked")
+    leaked = cut(matches(docs, benchmark).select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(leaked.hint("merge"), docs["doc_id"] == leaked[name], "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -250,6 +250,8 @@ def train(docs: DataFrame, text: str = "text", order: int = 2, bits: int | None
     rows.agg(F.count("*")).collect()
     for m, table in model.grams.items():
         held = [np.fromfile(p, "<i8") for k in range(1 << bits) if os.path.exists(p := f"{table.path}/{k}.stats")]
+        for t in (table, model.sides[m]):
+            t.sizes = np.array([os.path.getsize(p) // 8 if os.path.exists(p := f"{t.path}/{k}.key") else 0 for k in range(1 << bits)])
         model.stats[m] = dict(zip(STATS, map(int, np.sum(held, axis=0)) if held else [0] * len(STATS), strict=True))
     model.sides.pop(1)
     return model

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -50,6 +51,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = getattr(checkpoint_dir, "own", None)
         if root is None or not os.path.isdir(root):
             root = checkpoint_dir.own = tempfile.mkdtemp(prefix="sweepline-ckpt-")
@@ -64,6 +67,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 class Scratch:
     """A folder of plain files on the shared storage, seen alike by the driver and all executors.
 
@@ -89,18 +100,21 @@ def put_array(path: str, array: np.ndarray) -> None:
     os.replace(part, path)
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=1024)
 def _mapped(path: str, dtype: str):
-    if not os.path.exists(path) or not os.path.getsize(path):
-        return np.zeros(0, dtype)
-    return np.memmap(path, dtype=dtype, mode="r")
+    """A file's numbers, mapped; an absent file is an error, never an empty array."""
+    return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.zeros(0, dtype)
 
 
 class HashTable:
-    """Sorted uint64 keys with value columns, one file per column and bucket (top ``bits`` bits of the key)."""
+    """Sorted uint64 keys with value columns, one file per column and bucket (top ``bits`` bits of the key).
+
+    ``sizes`` has the rows of each bucket; a bucket that has rows but no file raises.
+    """
 
     def __init__(self, path: str, bits: int, cols: dict[str, str]):
         self.path, self.bits, self.cols = path, bits, cols
+        self.sizes = np.zeros(1 << bits, np.int64)
 
     def write(self, bucket: int, keys: np.ndarray, **values: np.ndarray) -> None:
         put_array(f"{self.path}/{bucket}.key", keys.astype("<u8", copy=False))
@@ -119,9 +133,11 @@ class HashTable:
         edges = np.searchsorted(ks >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)) if self.bits else np.array([0, n])
         for b in np.flatnonzero(edges[1:] > edges[:-1]):
             s, e = edges[b], edges[b + 1]
-            held = _mapped(f"{self.path}/{b}.key", "<u8")
-            if not len(held):
+            if not self.sizes[b]:
                 continue
+            held = _mapped(f"{self.path}/{b}.key", "<u8")
+            if len(held) != self.sizes[b]:
+                raise OSError(f"{self.path}/{b}.key holds {len(held)} keys, not {self.sizes[b]}")
             at = np.searchsorted(held, ks[s:e])
             np.minimum(at, len(held) - 1, out=at)
             hit = held[at] == ks[s:e]
@@ -149,10 +165,11 @@ def store_table(df: DataFrame, key: str, cols: dict[str, str], scratch: Scratch,
             starts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
             for s, e in zip(starts, np.r_[starts[1:], len(b)], strict=True):
                 table.write(int(b[s]), k[s:e], **{c: v[s:e] for c, v in vals.items()})
-            yield pa.RecordBatch.from_arrays([pa.array([len(k)], pa.int64())], ["n"])
+            yield pa.RecordBatch.from_arrays([pa.array(b[starts], pa.int32()), pa.array(np.diff(np.r_[starts, len(b)]), pa.int64())], ["bucket", "n"])
 
     rows = df.select(key, *cols, bucket.alias("_b")).repartition(1 << bits, "_b")
-    rows.mapInArrow(tidy(write), "n long").agg(F.sum("n")).collect()
+    for r in rows.mapInArrow(tidy(write), "bucket int, n long").collect():  # a row a bucket
+        table.sizes[r["bucket"]] = r["n"]
     return table
 
 
@@ -201,14 +218,15 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     A round is a large-star step (a node and its larger neighbours hang on the smallest of the
     neighbourhood) and a contraction of the edges that share their upper node, which does the
     small-star step; then a checkpoint. A hot node's neighbours are reduced by ``min`` before
-    the shuffle. Empty in, empty out.
+    the shuffle; the smallest neighbours are cut off before they are joined with the edges, so that
+    Spark can split the join at a hot node. Empty in, empty out; more than ``rounds`` rounds raise.
     """
     e = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u != v")
     e = cut(e.mapInArrow(tidy(_contract), "u long, v long"))
     last = None
     for _ in range(rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         # every node and its larger neighbours hang on the smallest of the neighbourhood
         large = both.join(low.hint("merge"), "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         keep = low.where("u != m").select("u", F.col("m").alias("v"))
@@ -218,5 +236,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if roots == 0 and now[0] == now[1] or tuple(now) == last:
             break
         last = tuple(now)
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     stars = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return stars.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

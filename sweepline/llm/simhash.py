@@ -55,14 +55,24 @@ def fingerprints(b: np.ndarray, offs: np.ndarray, size: int) -> np.ndarray:
     flat, starts, ends, first = shingles(fold_case(b), offs, size)
     raw = flat.tobytes()
     h = np.fromiter(map(xxhash.xxh64_intdigest, [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], repeat(42)), U, len(starts))
+    return majority(h, first)
+
+
+def majority(h: np.ndarray, first: np.ndarray, most: int = 1 << 18) -> np.ndarray:
+    """By text, the bits that are set in over half of its hashes; texts are taken ``most`` hashes at a time."""
     count = np.diff(first)
     out = np.zeros(len(count), U)
-    if full := np.flatnonzero(count).tolist():
-        full = np.array(full)
-        bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        set_ = np.add.reduceat(bits, first[:-1][full], axis=0, dtype=np.int32)
-        major = set_ * 2 > count[full, None]
-        out[full] = np.packbits(major, axis=1).view(">u8").ravel()
+    s = 0
+    while s < len(count):
+        e = max(s + 1, int(np.searchsorted(first, first[s] + most, "right")) - 1)
+        own = np.flatnonzero(count[s:e]) + s
+        if len(own):
+            set_ = np.zeros((len(own), 64), np.int64)
+            for a in range(first[s], first[e], most):  # more than once for a long text only, which is alone
+                bits = np.unpackbits(h[a : min(a + most, first[e])].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+                set_ += bits.sum(0, dtype=np.int64) if len(own) == 1 else np.add.reduceat(bits, first[:-1][own] - first[s], axis=0, dtype=np.int64)
+            out[own] = np.packbits(set_ * 2 > count[own, None], axis=1).view(">u8").ravel()
+        s = e
     return out
 
 

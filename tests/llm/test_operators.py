@@ -19,7 +19,7 @@ from sweepline.llm import bytesnp, cdc, chat, copies, decontaminate, ego, lm, pa
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-CLASH = "doc_id bigint, text string, lang string, fp string, component string, u int, class string, _b string, key string, n int"
+CLASH = "doc_id bigint, text string, lang string, fp string, gone string, leaked int, class string, _g string, key string, n int"
 
 
 def lower(t):
