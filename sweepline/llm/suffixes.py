@@ -6,16 +6,19 @@ its smallest hash of ``GRAM`` bytes, which depends on the window alone, so equal
 anchors whose gram is repeated somewhere can hold a repeated window, and only their suffixes are sorted:
 
 1. Grams at anchors are counted; the repeated ones become a sorted hash array on the shared storage.
-2. Each task sorts the suffixes at repeated anchors into runs, cut at splitters, identical ones folded into one that
-   lists its places. A run is exchanged front-coded: a suffix is its common prefix with the one before, and the rest.
+2. Each task sorts the suffixes at repeated anchors into runs, cut at splitters. Of identical ones the first place goes on and
+   the others are known to be repeats: their spans go out at once, so a passage with any number of places is a suffix a
+   run. A run is exchanged front-coded: a suffix is its common prefix with the one before, and the rest.
 3. The runs of a range are merged by a loser tree that keeps each run's common prefix with the last suffix
    that came out: a longer known prefix wins without a look at the bytes, equal ones are compared
    behind it only. Suffixes that come out with a whole gram in common are neighbours, and their windows
    (anchor minus offset) are held against each other; all but the first of equal windows are removed.
-4. Removed spans meet the texts again by doc_id.
+4. Removed spans meet the texts again by doc_id and a hash of the text.
 
-Nulls and empty texts have no window. Rows with equal doc_id are the same document and don't remove each other
-at the same place. Null ids come first. An empty table gives an empty result; extra columns are ignored.
+Nulls and empty texts have no window. Ids are whole numbers (others raise); null ids come first. Rows with equal ids
+and different texts are documents of their own, in the order of the hash of their text; rows with equal ids and texts
+are one document, each treated alike. Long texts are worked on in overlapping stretches of ``STRETCH`` windows. An
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +31,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesnp import U, Spans, mix, ragged, slices
-from .cdc import NO_ID, _ids
+from .cdc import NO_ID
 from .shared import Scratch, bits_for, cut, store_table, tidy
 
 LENGTH, GRAM = 100, 40
 RUN, RESOLVE, PER_RANGE = 60_000, 20_000, 30_000
+STRETCH = 2 << 20
+
+
+def _keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """Texts with the two numbers that order documents: the id (null: the smallest long) and a hash of the text."""
+    if docs.schema["doc_id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError("doc_id has to be a whole number: it sets the order of the documents")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("sub"), "text", *more)
+
+
+def _stretches(column, length: int):
+    """As ``slices``, with the place of the first byte; a text over STRETCH comes in parts that share length - 1 bytes."""
+    for s, e, b, offs in slices(column):
+        if len(b) <= STRETCH + length or e - s > 1:
+            yield s, e, b, offs, 0
+            continue
+        for at in range(0, len(b) - length + 1, STRETCH):
+            part = b[at : at + STRETCH + length - 1]
+            yield s, e, part, np.array([0, len(part)]), at
 
 
 # ---------------------------------------------------------------- anchors
@@ -79,13 +101,13 @@ def repeated_grams(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for _, _, b, offs in slices(batch.column(1)):
+            for _, _, b, offs, _ in _stretches(batch.column(0), length):
                 a, _, _, h = anchors(b, offs, length, gram)
                 kinds, first, n = np.unique(h, return_index=True, return_counts=True)
                 head = np.where(kinds & U(15) == 0, _head(b, a[first]), 0) if len(a) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(mix(kinds).view(np.int64)), pa.array(n.astype(np.int32)), pa.array(head)], ["h", "n", "head"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(tidy(run), "h long, n int, head long")
+    rows = docs.select("text").mapInArrow(tidy(run), "h long, n int, head long")
     return rows.groupBy("h").agg(F.sum("n").alias("n"), F.max("head").alias("head")).where("n > 1")
 
 
@@ -106,35 +128,40 @@ class _Run:
         self.held: list[tuple] = []
         self.n = 0
 
-    def add(self, b, a, lo, hi, doc, base):
+    def add(self, b, a, lo, hi, doc, sub, base):
         """Right parts (anchor to the end of the last window) and left parts (first window to anchor) with their places."""
         right = _matrix(b, a, hi + self.length - a, self.length)
         left = _matrix(b, lo, a - lo, self.length)
-        self.held.append((right, left, hi + self.length - a, a - lo, doc, a - base))
+        self.held.append((right, left, hi + self.length - a, a - lo, doc, sub, a + base))
         self.n += len(a)
 
     def blocks(self):
+        """(range, n, data): sorted runs; with a negative n, as many spans of repeats, dealt over the ranges."""
         if not self.n:
             return
-        right, left, rn, ln, doc, place = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        right, left, rn, ln, doc, sub, place = (np.concatenate(x) for x in zip(*self.held, strict=True))
         self.held, self.n = [], 0
         width = self.length
         text = np.ascontiguousarray(right).view(f"S{width}").ravel()
         rest = np.ascontiguousarray(left).view(f"S{width}").ravel()
-        by = np.lexsort((place, doc, ln, rn, rest, text))
-        right, left, rn, ln, doc, place = right[by], left[by], rn[by], ln[by], doc[by], place[by]
+        by = np.lexsort((place, sub, doc, ln, rn, rest, text))
+        right, left, rn, ln, doc, sub, place = (x[by] for x in (right, left, rn, ln, doc, sub, place))
         differs = np.ones(len(by), bool)
         differs[1:] = (rn[1:] != rn[:-1]) | (ln[1:] != ln[:-1]) | (right[1:] != right[:-1]).any(1) | (left[1:] != left[:-1]).any(1)
         new = np.flatnonzero(differs)
-        copies = np.diff(np.r_[new, len(by)])
-        right, left, rn, ln = right[new], left[new], rn[new], ln[new]
+        head = new[np.cumsum(differs) - 1]
+        late = np.flatnonzero((doc != doc[head]) | (sub != sub[head]) | (place != place[head]))
+        ranges = len(self.splitters) + 1
+        for k in range(0, len(late), 4096):
+            o = late[k : k + 4096]
+            yield int((doc[o[0]] ^ place[o[0]]) % ranges), -len(o), b"".join(x.astype("<i8").tobytes() for x in (doc[o], sub[o], place[o] - ln[o], place[o] + rn[o]))
+        right, left, rn, ln, doc, sub, place = (x[new] for x in (right, left, rn, ln, doc, sub, place))
         same = right[1:] == right[:-1]
         common = np.where(same.all(1), width, same.argmin(1))
         common = np.minimum(common, np.minimum(rn[1:], rn[:-1]))
         lcp = np.r_[0, common]
         range_ = np.searchsorted(self.splitters, _heads(right), "right")
         edges = np.r_[0, np.flatnonzero(range_[1:] != range_[:-1]) + 1, len(range_)]
-        item = np.r_[0, np.cumsum(copies)]
         for s, e in zip(edges[:-1], edges[1:], strict=True):
             if e > s:
                 k = lcp[s:e].copy()
@@ -142,9 +169,8 @@ class _Run:
                 cols = np.arange(width)
                 tail = right[s:e][(cols >= k[:, None]) & (cols < rn[s:e, None])]
                 before = left[s:e][cols < ln[s:e, None]]
-                o = slice(item[s], item[e])
-                parts = [k.astype("u1"), rn[s:e].astype("u1"), ln[s:e].astype("u1"), copies[s:e].astype("<u4"), doc[o].astype("<i8"), place[o].astype("<i8"), tail, before]
-                yield int(range_[s]), int(e - s), int(o.stop - o.start), b"".join(p.tobytes() for p in parts)
+                parts = [k.astype("u1"), rn[s:e].astype("u1"), ln[s:e].astype("u1"), *(x[s:e].astype("<i8") for x in (doc, sub, place)), tail, before]
+                yield int(range_[s]), int(e - s), b"".join(p.tobytes() for p in parts)
 
 
 def _heads(right: np.ndarray) -> np.ndarray:
@@ -154,7 +180,7 @@ def _heads(right: np.ndarray) -> np.ndarray:
 class _Front:
     """Reader of a front-coded run."""
 
-    def __init__(self, n: int, places: int, data: bytes):
+    def __init__(self, n: int, data: bytes):
         at = 0
 
         def take(dtype, count):
@@ -164,9 +190,7 @@ class _Front:
             return out
 
         self.lcp, self.rn, self.ln = (take("u1", n).tolist() for _ in range(3))
-        self.copies = take("<u4", n).astype(np.int64)
-        self.doc, self.place = take("<i8", places), take("<i8", places)
-        self.first = np.r_[0, np.cumsum(self.copies)]
+        self.doc, self.sub, self.place = (take("<i8", n).tolist() for _ in range(3))
         self.data, self.at = data, at
         self.left_at = at + sum(self.rn) - sum(self.lcp)
         self.i = -1
@@ -246,13 +270,10 @@ def merge(runs: list[_Front]):
 
 # ---------------------------------------------------------------- windows
 def _spans_of(items: list[tuple], length: int):
-    """Removed spans (doc, start, end) among neighbouring suffixes: (text, left, docs, places) each."""
+    """Removed spans (doc, sub, start, end) among neighbouring suffixes: (text, left, doc, sub, place) each."""
     ln = np.array([len(x[1]) for x in items])
     rn = np.array([len(x[0]) for x in items])
-    copies = np.array([len(x[2]) for x in items])
-    docs, places = np.concatenate([x[2] for x in items]), np.concatenate([x[3] for x in items])
-    first = np.cumsum(copies) - copies
-    doc, place = docs[first], places[first]
+    doc, sub, place = (np.array([x[k] for x in items], np.int64) for k in (2, 3, 4))
     buf = np.frombuffer(b"".join(x[1] + x[0] for x in items), np.uint8)
     begin = np.cumsum(ln + rn) - (ln + rn)
     per = ln + rn - length + 1  # windows, from the leftmost
@@ -260,32 +281,23 @@ def _spans_of(items: list[tuple], length: int):
     shift = np.arange(len(item)) - np.repeat(np.cumsum(per) - per, per)
     h = Spans(buf, 31).of(begin[item] + shift, begin[item] + shift + length)
     start = place[item] - ln[item] + shift
-    by = np.lexsort((start, doc[item], h))
+    by = np.lexsort((start, sub[item], doc[item], h))
     hs = h[by]
     group = np.cumsum(np.r_[True, hs[1:] != hs[:-1]]) - 1
     head = by[np.flatnonzero(np.r_[True, hs[1:] != hs[:-1]])][group]
     later = np.zeros(len(item), bool)
-    later[by] = (doc[item[by]] != doc[item[head]]) | (start[by] != start[head])
+    later[by] = (doc[item[by]] != doc[item[head]]) | (sub[item[by]] != sub[item[head]]) | (start[by] != start[head])
     new = np.flatnonzero(np.r_[True, (later[1:] != later[:-1]) | (item[1:] != item[:-1])])
     stop = np.r_[new[1:], len(item)] - 1
     take = later[new]
     new, stop = new[take], stop[take]
-    # all windows at the other places of a folded suffix have an earlier copy
-    rest = np.ones(len(docs), bool)
-    rest[first] = False
-    of = np.repeat(np.arange(len(items)), copies)
-    rest &= (docs != doc[of]) | (places != place[of])
-    return (
-        np.r_[doc[item[new]], docs[rest]],
-        np.r_[start[new], (places - ln[of])[rest]],
-        np.r_[start[stop] + length, (places + rn[of])[rest]],
-    )
+    return doc[item[new]], sub[item[new]], start[new], start[stop] + length
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc, s, e): byte spans of the documents whose windows of ``length`` bytes all start earlier elsewhere.
+    """(doc, sub, s, e): byte spans of the documents whose windows of ``length`` bytes all start earlier elsewhere.
 
-    ``doc`` is the id, or the smallest long for null ids. Spans may overlap.
+    ``doc`` is the id, or the smallest long for null ids, ``sub`` a hash of the text. Spans may overlap.
     """
     if not 8 <= gram <= length <= 255:
         raise ValueError("8 <= gram <= length <= 255")
@@ -304,44 +316,46 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         def out():
             rows = list(run.blocks())
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["range", "n", "places", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["range", "n", "data"])
 
         for batch in batches:
-            ids = _ids(batch.column(0))
-            for s, e, b, offs in slices(batch.column(1)):
+            doc, sub = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for s, e, b, offs, base in _stretches(batch.column(2), length):
                 a, lo, hi, h = anchors(b, offs, length, gram)
                 found, _ = table.find(mix(h))
                 for k in range(0, len(a), RUN):
                     part = np.arange(k, min(k + RUN, len(a)))[found[k : k + RUN]]
                     if len(part):
                         row = np.searchsorted(offs, lo[part], "right") - 1
-                        run.add(b, a[part], lo[part], hi[part], ids[s:e][row], offs[row])
+                        run.add(b, a[part], lo[part], hi[part], doc[s:e][row], sub[s:e][row], base - offs[row])
                     if run.n >= RUN:
                         yield from out()
         yield from out()
 
     def join(batches):
-        runs: dict[int, list[_Front]] = {}
+        runs: dict[int, list[tuple[int, bytes]]] = {}
         for batch in batches:
-            for r, n, places, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                runs.setdefault(r, []).append((n, places, data))
+            for r, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if n < 0:
+                    yield rows(np.frombuffer(data, "<i8").reshape(4, -n))
+                else:
+                    runs.setdefault(r, []).append((n, data))
         for r in sorted(runs):
             items: list[tuple] = []
             for common, front in merge([_Front(*x) for x in runs.pop(r)]):
                 if common < gram and len(items) >= RESOLVE:
-                    yield spans(items)
+                    yield rows(_spans_of(items, length))
                     items = []
                 i = front.i
-                o = slice(front.first[i], front.first[i + 1])
-                items.append((front.text, front.left, front.doc[o], front.place[o]))
+                items.append((front.text, front.left, front.doc[i], front.sub[i], front.place[i]))
             if items:
-                yield spans(items)
+                yield rows(_spans_of(items, length))
 
-    def spans(items):
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in _spans_of(items, length)], ["doc", "s", "e"])
+    def rows(spans):
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in spans], ["doc", "sub", "s", "e"])
 
-    sorted_runs = docs.select("doc_id", "text").mapInArrow(tidy(sort), "range int, n int, places int, data binary")
-    out = cut(sorted_runs.repartition(ranges, "range").mapInArrow(tidy(join), "doc long, s long, e long"))
+    sorted_runs = _keyed(docs).mapInArrow(tidy(sort), "range int, n int, data binary")
+    out = cut(sorted_runs.repartition(ranges, "range").mapInArrow(tidy(join), "doc long, sub long, s long, e long"))
     scratch.drop()
     return out
 
@@ -356,9 +370,8 @@ def _union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, report: bool = False) -> DataFrame:
     """(doc_id, text as bytes without removed ones, removed spans); ``report`` gives digests instead of the bytes."""
     spans = repeated_spans(docs, length, gram)
-    by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("gone"))
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"))
-    both = rows.join(by_doc, "doc", "left").select("doc_id", "text", "gone")
+    by_doc = spans.groupBy("doc", "sub").agg(F.collect_set(F.struct("s", "e")).alias("gone"))  # repeated rows have equal spans
+    both = _keyed(docs, "doc_id").join(by_doc.hint("merge"), ["doc", "sub"], "left").select("doc_id", "text", "gone")
 
     def apply(batches):
         for batch in batches:
