@@ -6,9 +6,10 @@ consecutive vectors. Sequence intervals are joined recursively: two intervals wh
 axes are more than eps apart hold no pair and are skipped, others are halved down to ``LEAF`` vectors and then
 compared: a float32 product with a safety margin, then the cosine in double precision for what is near.
 
-Equal vectors are compared once, as a class. Blocks are files of the shared folder that tasks map into
-memory; a task gets a pair of blocks and sends back the number of links by class and a spanning forest, never
-the pairs. The driver holds the box of each block only, at most ``MOST_BLOCKS`` of them.
+Equal vectors are compared once, as a class. Blocks of ``BLOCK_ROWS`` vectors are files of the shared folder that tasks
+map into memory. A partition of the sorted vectors is an interval of the sequence, at most ``BLOCKS`` blocks or so: the driver
+holds the box of each partition only. A task takes one of them against all later ones and passes the pairs of blocks on; a task
+that gets a pair of blocks sends back the number of links by class and a spanning forest, never the pairs.
 
 Vectors that are null, zero or hold null or non-finite components link with nothing and are rows of their
 own. Vectors of different lengths never link. Repeated ids are rows of their own. An empty table gives an empty
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch, _mapped, components, cut, forest, put_array, tidy
 
-AXES, BLOCK_ROWS, MOST_BLOCKS, LEAF = 8, 2048, 4096, 256
+AXES, BLOCK_ROWS, BLOCKS, LEAF = 8, 2048, 64, 256
+SLACK = 1e-9  # of distances that are rounded
 
 
 def _gram(batches):
@@ -45,6 +47,7 @@ def _matrices(column, most: int = 4096):
         part = column.slice(s, most)
         flat = part.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         x = flat.reshape(len(part), -1)
+        x = x / np.abs(x).max(1, keepdims=True)  # else squares of very large or small numbers are infinite or 0
         yield x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -57,34 +60,31 @@ def _axes(classes: DataFrame, dim: int) -> np.ndarray:
     return vectors[:, ::-1][:, : min(AXES, dim)]
 
 
-def _boxes(blocks: int, low: np.ndarray, high: np.ndarray, eps: float) -> list[tuple[int, int]]:
-    """Block pairs (a <= b) that may hold a link: intervals of blocks joined recursively, distant ones skipped."""
-    found, todo = [], [(0, blocks, 0, blocks)] if blocks else []
-    cache: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+def _apart(low1, high1, low2, high2, eps: float) -> bool:
+    gap = np.maximum(0, np.maximum(low1 - high2, low2 - high1))
+    return bool((gap * gap).sum() > eps * eps * (1 + SLACK) + SLACK)
 
-    def box(s: int, e: int):
-        if (s, e) not in cache:
-            cache[s, e] = low[s:e].min(0), high[s:e].max(0)
-        return cache[s, e]
 
+def _boxes(one: np.ndarray, two: np.ndarray, same: bool, eps: float):
+    """Pairs (a, c) of blocks that may hold a link (``same``: a <= c): intervals are joined recursively, distant ones skipped.
+
+    ``one`` and ``two``: by block, the lowest and the highest coordinate on each axis.
+    """
+    todo = [(0, len(one), 0, len(two))]
     while todo:
         a, b, c, d = todo.pop()
-        if (a, b) != (c, d):
-            (l1, h1), (l2, h2) = box(a, b), box(c, d)
-            if (np.maximum(0, np.maximum(l1 - h2, l2 - h1)) ** 2).sum() > eps * eps:
-                continue
+        if same and a >= d:
+            continue
+        if _apart(one[a:b, 0].min(0), one[a:b, 1].max(0), two[c:d, 0].min(0), two[c:d, 1].max(0), eps):
+            continue
         if b - a == 1 and d - c == 1:
-            found.append((a, c))
-        elif (a, b) == (c, d):
-            m = (a + b) // 2
-            todo += [(a, m, a, m), (a, m, m, b), (m, b, m, b)]
+            yield a, c
         elif b - a >= d - c:
             m = (a + b) // 2
             todo += [(a, m, c, d), (m, b, c, d)]
         else:
             m = (c + d) // 2
             todo += [(a, b, c, m), (a, b, m, d)]
-    return found
 
 
 def _join(x, y, px, py, same: bool, eps: float, cosine: float):
@@ -95,8 +95,7 @@ def _join(x, y, px, py, same: bool, eps: float, cosine: float):
         a, b, c, d = todo.pop()
         if same and a >= d:
             continue
-        gap = np.maximum(0, np.maximum(px[a:b].min(0) - py[c:d].max(0), py[c:d].min(0) - px[a:b].max(0)))
-        if (gap * gap).sum() > eps * eps * (1 + 1e-9):
+        if _apart(px[a:b].min(0), px[a:b].max(0), py[c:d].min(0), py[c:d].max(0), eps):
             continue
         if b - a > LEAF or d - c > LEAF:
             if b - a >= d - c:
@@ -124,8 +123,7 @@ def _class_links(classes: DataFrame, dim: int, cosine: float) -> DataFrame:
     spark = classes.sparkSession
     eps = float(np.sqrt(2 - 2 * cosine))
     axes = _axes(classes, dim)
-    total = classes.count()
-    rows = max(BLOCK_ROWS, -(-total // MOST_BLOCKS))
+    total, rows = classes.count(), BLOCK_ROWS
     folder = Scratch(spark, "ego")
 
     def project(batches):
@@ -149,7 +147,7 @@ def _class_links(classes: DataFrame, dim: int, cosine: float) -> DataFrame:
             put_array(f"{folder.path}/{name}.vec", x)
             put_array(f"{folder.path}/{name}.id", t.column(0).to_numpy().astype("<i8"))
             put_array(f"{folder.path}/{name}.n", t.column(1).to_numpy().astype("<i8"))
-            out.append((part, k, name, p.min(0).tolist(), p.max(0).tolist()))
+            out.append((p.min(0), p.max(0)))
 
         for batch in batches:
             held.append(batch)
@@ -162,15 +160,29 @@ def _class_links(classes: DataFrame, dim: int, cosine: float) -> DataFrame:
         if t is not None and len(t):
             block(t)
         if out:
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*out, strict=True))), ["part", "k", "name", "low", "high"])
+            box = np.array(out)
+            put_array(f"{folder.path}/{part}.boxes", box)
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([k]), pa.array([box[:, 0].min(0).tolist()]), pa.array([box[:, 1].max(0).tolist()])], ["part", "blocks", "low", "high"])
 
     kind = f"rep long, n long, embedding {classes.schema['embedding'].dataType.simpleString()}, cell array<int>"
-    parts = max(1, min(-(-total // rows), 4 * spark.sparkContext.defaultParallelism))
+    parts = max(min(-(-total // rows), 4 * spark.sparkContext.defaultParallelism), -(-total // (rows * BLOCKS)), 1)
     ordered = classes.select("rep", "n", "embedding").mapInArrow(tidy(project), kind).repartitionByRange(parts, "cell", "rep").sortWithinPartitions("cell", "rep")
-    held = ordered.mapInArrow(tidy(write), "part long, k long, name string, low array<double>, high array<double>").orderBy("part", "k").collect()  # at most MOST_BLOCKS and a block a partition
-    names = [r["name"] for r in held]
-    low, high = np.array([r["low"] for r in held]).reshape(len(held), -1), np.array([r["high"] for r in held]).reshape(len(held), -1)
-    pairs = [(names[a], names[b]) for a, b in _boxes(len(held), low, high, eps)]
+    held = ordered.mapInArrow(tidy(write), "part long, blocks long, low array<double>, high array<double>").orderBy("part").collect()  # a row a partition
+    boxes = np.array([(r["low"], r["high"]) for r in held])
+    names, blocks = [r["part"] for r in held], sum(r["blocks"] for r in held)
+
+    def meet(batches):
+        def load(i):
+            return _mapped(f"{folder.path}/{names[i]}.boxes", "<f8").reshape(-1, 2, axes.shape[1])
+
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                one = load(i)
+                for j in range(i, len(names)):
+                    if not _apart(*boxes[i], *boxes[j], eps):
+                        if found := list(_boxes(one, load(j), i == j, eps)):
+                            a, c = zip(*found, strict=True)
+                            yield pa.RecordBatch.from_arrays([pa.array([f"{names[i]}-{x}" for x in a]), pa.array([f"{names[j]}-{x}" for x in c])], ["a", "b"])
 
     def compare(batches):
         def load(name):
@@ -190,8 +202,9 @@ def _class_links(classes: DataFrame, dim: int, cosine: float) -> DataFrame:
                 u, v = forest(xid[i], yid[j])
                 yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.zeros(len(who), np.int32), np.ones(len(u), np.int32)]), pa.array(np.r_[who, u]), pa.array(np.r_[more, v])], ["kind", "u", "n"])
 
-    tasks = max(1, min(len(pairs), 16 * spark.sparkContext.defaultParallelism))
-    work = spark.createDataFrame(pairs, "a string, b string").repartition(tasks)
+    tasks = max(1, min(blocks * (blocks + 1) // 2, max(16 * spark.sparkContext.defaultParallelism, blocks // 4)))
+    intervals = spark.range(0, len(names), 1, max(1, min(len(names), 4 * spark.sparkContext.defaultParallelism)))
+    work = intervals.mapInArrow(tidy(meet), "a string, b string").repartition(tasks, "a", "b")
     out = cut(work.mapInArrow(tidy(compare), "kind int, u long, n long"))
     folder.drop()
     return out
