@@ -5,10 +5,11 @@ the shorter one. Pieces are placed one by one, the longest first, where the sum
 squared number of open bins with that gap becomes smallest; a bin is opened only where no open one has room (in this
 order that saves bins), and a full piece is a sequence of its own.
 
-Pieces are dealt by a hash of (doc_id, piece) into groups of about ``GROUP`` documents, each packed by one
-task, so neither a source nor a group of copies gathers in a task; each group leaves a few open bins.
-Null and empty texts are the closing id alone. Rows with equal doc_id and piece are placed apart. A null
-id is kept. An empty table gives an empty result. Extra columns are ignored.
+Pieces are dealt by a hash of (doc_id, piece, the crc of its ids) into groups of at most about ``GROUP`` pieces, each packed by one
+task, so neither a source, a missing id nor a group of copies gathers in a task; each group leaves a few open bins.
+A special string of the vocabulary in a text is its own id, as the library has it. Null and empty texts are the closing id
+alone. Rows with equal doc_id and piece are placed apart. A null id is kept. An empty table gives an empty result.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesnp import BLOCK, slices
-from .shared import tidy
+from .shared import fresh, tidy
 from .tokens import default_path, encode
 
 CAPACITY = 2048
@@ -37,7 +38,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
         for batch in batches:
             names = batch.column(0)
             for s, e, b, offs in slices(batch.column(1), BLOCK):
-                ids, first = encode(b, offs, path)
+                ids, first = encode(b, offs, path, specials=True)
                 first = first + np.arange(e - s + 1)  # a closing 0 after each document
                 flat = np.zeros(first[-1], "<u4")
                 body = np.ones(len(flat), bool)
@@ -92,24 +93,31 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bins, offsets
 
 
-def place(parts: DataFrame, capacity: int = CAPACITY, documents: int | None = None) -> DataFrame:
-    """Add sequence_id and offset to rows with doc_id, piece and length."""
-    groups = max(1, round((parts.count() if documents is None else documents) / GROUP))
+def most_pieces(docs: DataFrame, capacity: int, text: str = "text") -> int:
+    """No fewer than the documents' pieces: an id has a byte or more."""
+    r = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).first()
+    return r["n"] + r["bytes"] // capacity
+
+
+def place(parts: DataFrame, capacity: int = CAPACITY, most: int | None = None) -> DataFrame:
+    """Add sequence_id and offset to rows with doc_id, piece, length and ids_crc32; ``most``: a bound of their number."""
+    groups = max(1, round((parts.count() if most is None else most) / GROUP))
+    g = fresh(parts, "group")
 
     def pack(held: pd.DataFrame) -> pd.DataFrame:
         held = held.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
         bins, offsets = sum_of_squares(held["length"].to_numpy(), capacity)
-        held["sequence_id"] = bins * groups + held["_g"].to_numpy()
+        held["sequence_id"] = bins * groups + held[g].to_numpy()
         held["offset"] = offsets
-        return held.drop(columns="_g")
+        return held.drop(columns=g)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long"
-    return parts.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups))).groupBy("_g").applyInPandas(pack, schema)
+    return parts.withColumn(g, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))).groupBy(g).applyInPandas(pack, schema)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document."""
-    return place(pieces(docs, capacity, tokenizer, doc_id, text), capacity, docs.count())
+    return place(pieces(docs, capacity, tokenizer, doc_id, text), capacity, most_pieces(docs, capacity, text))
 
 
 def sequences(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:

@@ -1,7 +1,8 @@
 """Byte-level BPE over whole Arrow batches.
 
 A text is cut where a run of white space follows other text: no token of the pre-tokenizer's pattern
-crosses such a place, so the pieces can be encoded apart. Each distinct piece is encoded once and its ids
+crosses such a place, so the pieces can be encoded apart. The vocabulary's special strings are ordinary text, unless
+``specials`` asks for what the untouched library does: an own id each, and the text between them encoded apart. Each distinct piece is encoded once and its ids
 are gathered for every occurrence; the encoder is built from the vocabulary file of ``tokenizers`` and
 gives the same ids (tests hold it against that library, which stays the fallback for other vocabularies).
 """
@@ -9,6 +10,7 @@ gives the same ids (tests hold it against that library, which stays the fallback
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -41,6 +43,10 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {t["content"] for t in spec.get("added_tokens", [])}
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec.get("added_tokens", []) if t["content"] in special):
+            raise ValueError(f"{path}: special strings that take in what stands around them")
+        self.special = {t["content"].encode(): t["id"] for t in spec.get("added_tokens", [])}
+        self.find = re.compile(b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         of = _byte_of()
         vocab = {t: i for t, i in spec["model"]["vocab"].items() if t not in special}
         ranks = {bytes(of[c] for c in t): i for t, i in vocab.items()}
@@ -58,11 +64,11 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-@lru_cache(maxsize=2)
-def reference(path: str) -> Tokenizer:
-    """The library's own tokenizer, special strings being ordinary text."""
+@lru_cache(maxsize=4)
+def reference(path: str, specials: bool = False) -> Tokenizer:
+    """The library's own tokenizer; unless ``specials``, special strings are ordinary text."""
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = not specials
     return t
 
 
@@ -141,8 +147,33 @@ def _encode_pieces(enc: Encoder, b: np.ndarray, starts: np.ndarray, ends: np.nda
     return flat, counts
 
 
-def encode(b: np.ndarray, offs: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+def encode(b: np.ndarray, offs: np.ndarray, path: str, specials: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Ids of some texts, one after another, and where each text's ids begin (n + 1 values)."""
+    enc = encoder(path) if specials else None
+    if enc is None or enc.find is None:
+        return _encode(b, offs, path)
+    met = [m for m in enc.find.finditer(b.tobytes())]
+    at, ids = np.array([m.span() for m in met], np.int64).reshape(-1, 2), np.array([enc.special[m[0]] for m in met], np.int64)
+    inside = np.searchsorted(offs, at[:, 0], "right") == np.searchsorted(offs, at[:, 1], "left")  # not across two texts
+    at, ids = at[inside], ids[inside]
+    if not len(at):
+        return _encode(b, offs, path)
+    edges = np.unique(np.r_[offs, at.ravel()])
+    flat, first = _encode(b, edges, path)
+    is_ = np.zeros(len(edges) - 1, bool)
+    is_[np.searchsorted(edges, at[:, 0])] = True
+    keep = ~np.repeat(is_, np.diff(first))
+    count = np.where(is_, 1, np.diff(first))
+    total = np.r_[0, np.cumsum(count)]
+    out = np.zeros(total[-1], np.uint32)
+    own = np.ones(len(out), bool)
+    own[total[:-1][is_]] = False
+    out[own] = flat[keep]
+    out[~own] = ids
+    return out, total[np.searchsorted(edges, offs)]
+
+
+def _encode(b: np.ndarray, offs: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     n = len(offs) - 1
     if not len(b):
         return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
