@@ -2,8 +2,11 @@
 
 ``scan`` cuts each file into blocks of bytes, finds the end-of-document ids of a block with one vectorised
 comparison, and stitches documents that cross blocks with a prefix scan: over the blocks of a file, the
-running number of separators gives a document's place in its file, the running last separator its start.
+running number of separators gives a document's place in its file, the running last separator its start. The scan
+has two levels, blocks within groups of ``SPAN`` blocks and the groups of a file, and moves a few numbers a block; the places
+of the separators stay where they were found and are joined with what the scan carries into their block.
 
+A special string that stands in a text is ordinary text for ``write_flat``, so no text can forge a separator.
 A token count leaves the separator out; ids after a file's last separator are one unterminated document.
 Empty files give nothing; two separators in a row give an empty document. A file whose size is no multiple
 of the id's width is refused. ``write_flat`` makes such files from texts (null: empty) and returns
@@ -27,6 +30,7 @@ from .tokens import default_path, encode
 
 SEPARATOR = 50256  # <|endoftext|>
 BLOCK_BYTES = 4 << 20
+SPAN = 1_024
 
 
 def write_flat(docs: DataFrame, folder: str, separator: int = SEPARATOR, dtype: str = "<u2", tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -71,21 +75,26 @@ def scan(spark: SparkSession, folder: str, separator: int = SEPARATOR, dtype: st
                 with open(f"{folder}/{file}", "rb") as f:
                     f.seek(at)
                     ids = np.frombuffer(f.read(min(step, size - at)), dtype)
-                seps = np.flatnonzero(ids == separator) + at // width
+                seps = np.flatnonzero(ids == separator)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([file]), pa.array([at]), pa.array([size // width]), pa.array([len(seps)], pa.int64()), pa.array([int(seps[-1]) if len(seps) else None], pa.int64()), pa.array([seps.astype("<i8").tobytes()])],
+                    [pa.array([file]), pa.array([at]), pa.array([size // width]), pa.array([len(seps)], pa.int64()), pa.array([at // width + int(seps[-1]) if len(seps) else None], pa.int64()), pa.array([seps.astype("<u4").tobytes()])],
                     ["file", "at", "ids", "seps", "last", "found"],
                 )
 
-    found = blocks.repartition(count, "file", "at").mapInArrow(tidy(find), "file string, at long, ids long, seps long, last long, found binary")
-    before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    last_block = F.lead("at").over(Window.partitionBy("file").orderBy("at")).isNull()
-    scanned = found.select("file", "ids", "found", F.coalesce(F.sum("seps").over(before), F.lit(0)).alias("place"), F.coalesce(F.max("last").over(before) + 1, F.lit(0)).alias("start"), last_block.alias("tail"))
+    found = cut(blocks.repartition(count, "file", "at").mapInArrow(tidy(find), "file string, at long, ids long, seps long, last long, found binary"))
+    line = found.select("file", "at", "seps", "last", F.expr(f"at div {step * SPAN}").alias("span"))
+    earlier = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    spans = line.groupBy("file", "span").agg(F.sum("seps").alias("s"), F.max("last").alias("l"))
+    spans = spans.select("file", "span", F.coalesce(F.sum("s").over(earlier("file", "span")), F.lit(0)).alias("s0"), F.max("l").over(earlier("file", "span")).alias("l0"))
+    own = line.select("file", "at", "span", F.coalesce(F.sum("seps").over(earlier("file", "span", "at")), F.lit(0)).alias("s1"), F.max("last").over(earlier("file", "span", "at")).alias("l1"))
+    carried = own.join(spans.hint("merge"), ["file", "span"]).select("file", "at", (F.col("s0") + F.col("s1")).alias("place"), F.coalesce(F.coalesce("l1", "l0") + 1, F.lit(0)).alias("start"))
+    tail = F.col("at") + F.lit(step) >= F.col("ids") * F.lit(width)
+    scanned = found.join(carried.hint("merge"), ["file", "at"]).select("file", "at", "ids", "found", "place", "start", tail.alias("tail"))
 
     def stitch(batches):
         for batch in batches:
-            for file, ids, raw, place, start, tail in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                seps = np.frombuffer(raw, "<i8")
+            for file, at, ids, raw, place, start, tail in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                seps = np.frombuffer(raw, "<u4").astype(np.int64) + at // width
                 begin = np.r_[start, seps + 1]
                 end = np.r_[seps, ids]
                 n = len(seps) + (tail and begin[-1] < ids)
