@@ -2,7 +2,7 @@
 
 The gear hash of the last ``WINDOW`` bytes sets the chunk boundaries, so an insertion moves only the chunks
 around it. A passage is a run of whole chunks of a text that has ``least`` bytes, and no fewer chunks would do; it
-is known by the digest of all its bytes. Of each chunk there are two, the one that begins with it and the one that ends
+is known by a digest of all its bytes (128 bits of BLAKE2b). Of each chunk there are two, the one that begins with it and the one that ends
 with it, so every repeated run of chunks of ``least`` bytes is covered to both its ends. The first place of a passage in
 (doc_id, place) order stays; what later ones hold is removed. Only text that stood in one piece before goes:
 chunks that were seen in different places do not add up to a passage, and a phrase or a short line that happens to repeat stays.
@@ -11,14 +11,15 @@ The rolling hash of all bytes of a batch takes log2(WINDOW) vector steps. Digest
 a passage shared by any number of documents is a row a batch; those seen more than once become sorted hash
 arrays that a second pass over the texts maps into memory: no text is ever shuffled.
 
-Boundaries never split a UTF-8 character. Null and empty texts have no chunk (a null text stays null). Rows with
-equal doc_id are the same document: they don't remove each other at the same place. Null ids come first.
-An empty table gives an empty result; all columns are kept as they are, whatever their names.
+Boundaries never split a UTF-8 character. Null and empty texts have no chunk (a null text stays null). Ids are whole
+numbers (others raise). Rows with equal doc_id are the same document: they don't remove each other at the same place.
+Null ids come first. An empty table gives an empty result; all columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 import atexit
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -72,7 +73,13 @@ def _passages(b, offs, average, least):
     up = up[row[begin[up]] == row[up]]
     both = np.unique(np.r_[on * len(ends) + stop[on], begin[up] * len(ends) + up])
     i, j = np.divmod(both, max(len(ends), 1))
-    return Spans(b, 23).of(starts[i], ends[j]).view(np.int64), row[i], starts[i] - offs[row[i]], ends[j] - starts[i]
+    # one digest for equal passages of these texts: they are told apart by a fast hash and their length
+    fast = Spans(b, 23).of(starts[i], ends[j])
+    _, first, back = np.unique(fast, return_index=True, return_inverse=True)
+    raw = b.tobytes()
+    made = b"".join(hashlib.blake2b(raw[s:e], digest_size=16).digest() for s, e in zip(starts[i][first].tolist(), ends[j][first].tolist(), strict=True))
+    digest = np.frombuffer(made, "<i8").reshape(-1, 2)[back]
+    return digest, row[i], starts[i] - offs[row[i]], ends[j] - starts[i]
 
 
 def _ids(column) -> np.ndarray:
@@ -82,7 +89,7 @@ def _ids(column) -> np.ndarray:
 
 
 def repeated_passages(docs: DataFrame, average: int = AVERAGE, least: int = LEAST) -> DataFrame:
-    """(digest, doc, at, n): passages seen at two places or more, and the first place."""
+    """(digest, more, doc, at, n): passages (both halves of the digest) seen at two places or more, and the first place."""
 
     def run(batches):
         for batch in batches:
@@ -90,21 +97,25 @@ def repeated_passages(docs: DataFrame, average: int = AVERAGE, least: int = LEAS
             for s, e, b, offs in slices(batch.column(1), BLOCK):
                 digest, row, at, _ = _passages(b, offs, average, least)
                 doc = ids[s:e][row]
-                by = np.lexsort((at, doc, digest))
+                by = np.lexsort((at, doc, digest[:, 1], digest[:, 0]))
                 digest, doc, at = digest[by], doc[by], at[by]
-                new = np.flatnonzero(np.r_[True, digest[1:] != digest[:-1]]) if len(digest) else np.zeros(0, np.int64)
+                new = np.flatnonzero(np.r_[True, (digest[1:] != digest[:-1]).any(1)]) if len(digest) else np.zeros(0, np.int64)
                 n = np.diff(np.r_[new, len(digest)])
-                yield pa.RecordBatch.from_arrays([pa.array(digest[new]), pa.array(doc[new]), pa.array(at[new].astype(np.int32)), pa.array(n.astype(np.int32))], ["digest", "doc", "at", "n"])
+                cols = [digest[new, 0], digest[new, 1], doc[new], at[new].astype(np.int32), n.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], ["digest", "more", "doc", "at", "n"])
 
-    passages = docs.select("doc_id", "text").mapInArrow(tidy(run), "digest long, doc long, at int, n int")
-    seen = passages.groupBy("digest").agg(F.min(F.struct("doc", "at")).alias("first"), F.sum("n").alias("n")).where("n > 1")
-    return seen.select("digest", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), "n")
+    if docs.schema["doc_id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError("doc_id has to be a whole number: it sets the order of the documents")
+    passages = docs.select("doc_id", "text").mapInArrow(tidy(run), "digest long, more long, doc long, at int, n int")
+    seen = passages.groupBy("digest", "more").agg(F.min(F.struct("doc", "at")).alias("first"), F.sum("n").alias("n")).where("n > 1")
+    return seen.select("digest", "more", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), "n")
 
 
 def _spans(table: HashTable, b, offs, ids, average, least):
     """Removed byte spans (starts, ends) of some texts."""
     digest, row, at, size = _passages(b, offs, average, least)
-    found, first = table.find(digest.view(np.uint64))
+    found, first = table.find(np.ascontiguousarray(digest[:, 0]).view(np.uint64))
+    found &= first["more"] == digest[:, 1]
     later = np.flatnonzero(found & ((first["doc"] != ids[row]) | (first["at"] != at)))
     if not len(later):
         z = np.zeros(0, np.int64)
@@ -125,7 +136,7 @@ def deduplicate(docs: DataFrame, average: int = AVERAGE, least: int = LEAST, rep
     found = cut(repeated_passages(docs, average, least))
     scratch = Scratch(docs.sparkSession, "chunks")
     atexit.register(scratch.drop)  # the result reads it as long as the session may
-    table = store_table(found, "digest", {"doc": "<i8", "at": "<i4"}, scratch, bits_for(found.count(), 50_000))
+    table = store_table(found, "digest", {"more": "<i8", "doc": "<i8", "at": "<i4"}, scratch, bits_for(found.count(), 50_000))
     at_id, at_text = docs.columns.index("doc_id"), docs.columns.index("text")
     at_chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
