@@ -6,8 +6,9 @@ The lexicon holds whole words and word beginnings whose log-odds among labelled
 exception phrase does not count. A text's hits are weighted, divided by its words, and put through a
 logistic curve fitted on the same labelled texts.
 
-The fit is bounded: at most ``TOXIC_ROWS`` toxic and ``CLEAN_ROWS`` clean labelled texts (smallest hash of the
-id first), near copies among them counted once, at most ``TERMS`` terms. Scoring reads every whole text.
+The fit is bounded by its sample alone: at most ``TOXIC_ROWS`` toxic and ``CLEAN_ROWS`` clean labelled texts (smallest hash
+of the id first), near copies among them counted once. Every term that a hundredth of the toxic ones hold and whose odds are high
+enough is taken, and every phrase that is seen often enough in clean ones. Scoring reads every whole text.
 
 Null and empty texts hold no hit. Labels that are null are left out; without toxic labels every score is 0.
 Repeated rows are scored alike. An empty table gives an empty result; extra columns are ignored.
@@ -16,8 +17,9 @@ Repeated rows are scored alike. An empty table gives an empty result; extra colu
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter
+from bisect import bisect_right
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from .lm import held_out
 from .shared import cut, tidy
 
-TOXIC_ROWS, CLEAN_ROWS, TERMS = 8_000, 24_000, 2_000
+TOXIC_ROWS, CLEAN_ROWS = 8_000, 24_000
 PREFIXES = range(4, 8)
 THRESHOLD = 0.3
 
@@ -87,8 +89,12 @@ class Lexicon:
         if not len(automaton):
             return []
         found = [(end + 1 - n, end + 1, w) for end, (n, w) in automaton.iter(folded)]
-        covers = [(s, e) for s, e, w in found if w is None]
-        return [(s, e, w) for s, e, w in found if w is not None and not any(a <= s and e <= b for a, b in covers)]
+        covers = sorted((s, e) for s, e, w in found if w is None)
+        if not covers:
+            return found
+        begin, reach = [s for s, _ in covers], list(accumulate((e for _, e in covers), max))
+        # of the phrases that begin no later than a hit, one ends as far as the farthest
+        return [(s, e, w) for s, e, w in found if w is not None and not ((k := bisect_right(begin, s)) and reach[k - 1] >= e)]
 
     def feature(self, automaton, text: str | None) -> tuple[float, float]:
         """(log of weighted hits in a thousand words, 1 if there is any hit)."""
@@ -178,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ()) ->
     counts = texts.select("folded", "toxic").mapInArrow(tidy(_term_counts), "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     least = max(4, int(0.01 * toxic))
-    rows = counts.withColumn("odds", odds).where(f"toxic >= {least} and odds > 3").orderBy(F.desc("toxic"), "term").limit(4 * TERMS).collect()
+    rows = counts.withColumn("odds", odds).where(f"toxic >= {least} and odds > 3").collect()  # bounded by the sample
     # a beginning gives way to a longer one, or to a whole word, with nearly its toxic texts and fewer clean ones
     better: dict[str, tuple[float, int]] = {}
     for r in rows:
@@ -192,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ()) ->
         more, fewer = better.get(t, (0, 0))
         if more >= 0.9 * r["toxic"] and fewer < r["clean"]:
             continue
-        if len(terms) < TERMS and not any(t[: n + 1] in terms for n in PREFIXES if n < len(t.strip()) + (t[-1] == " ")):
+        if not any(t[: n + 1] in terms for n in PREFIXES if n < len(t.strip()) + (t[-1] == " ")):
             terms[t] = float(r["odds"])
     lexicon = Lexicon(terms, tuple(" " + " ".join(fold(p).split()) + " " for p in exceptions))
 
@@ -216,8 +222,8 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ()) ->
                 yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.string()), pa.array(n0), pa.array(n1)], ["term", "clean", "toxic"])
 
     phrases = texts.select("folded", "toxic").mapInArrow(tidy(contexts), "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    learned = phrases.where("clean >= 5 and clean >= 20 * toxic").orderBy(F.desc("clean"), "term").limit(TERMS).collect()
-    lexicon.exceptions += tuple(r["term"] for r in learned)
+    learned = phrases.where("clean >= 5 and clean >= 20 * toxic").collect()
+    lexicon.exceptions += tuple(sorted(r["term"] for r in learned))
 
     def features(batches):
         a = lexicon.automaton()
