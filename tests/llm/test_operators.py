@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from sweepline.llm import bytesnp, cdc, chat, copies, decontaminate, ego, lm, packing, separators, shared, simhash, suffixes, tokens, toxicity
+from sweepline.llm import bytesnp, cdc, chat, copies, decontaminate, ego, lm, packing, queries, separators, shared, simhash, suffixes, tokens, toxicity
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -66,6 +66,19 @@ def test_components(spark):
     assert {k: v for k, v in want.items() if k in got} == got
     assert all(k in got for k, v in want.items() if k != v)
     assert shared.components(spark.createDataFrame([], "u long, v long")).count() == 0
+    with pytest.raises(RuntimeError):
+        shared.components(spark.createDataFrame(edges, "u long, v long"), rounds=0)
+
+
+def test_lost_files_are_errors(spark):
+    scratch = shared.Scratch(spark, "t")
+    table = shared.store_table(spark.createDataFrame([(k << 58, 1) for k in range(-30, 30)], "k long, v long"), "k", {"v": "<i8"}, scratch, 4)
+    ask = np.array([k << 58 for k in range(-30, 30)], np.int64).view(np.uint64)
+    assert table.find(ask)[0].all()
+    scratch.drop()
+    shared._mapped.cache_clear()
+    with pytest.raises(OSError):
+        table.find(ask)
 
 
 def test_hash_table(spark):
@@ -270,7 +283,9 @@ def test_encoder_is_the_librarys():
 
 
 def check_pieces(rows, docs, capacity):
-    ref = tokens.reference(tokens.default_path())
+    from tokenizers import Tokenizer
+
+    ref = Tokenizer.from_file(tokens.default_path())  # untouched
     by = {}
     for r in rows:
         by.setdefault(r.doc_id, []).append(r)
@@ -303,6 +318,21 @@ def test_packing_query(spark):
     assert n <= 1.05 * math.ceil(sum(r.length for r in rows) / 2048) + 1
 
 
+def test_special_strings_are_the_librarys(spark):
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    parts = [" ", "  ", "\n", "a", "Bc", "'s", "é", "<|endoftext|>", "<|endof", "text|>", "日"]
+    texts = ["", None, "<|endoftext|>", "<|endof", "text|>"] + ["".join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(1500)]
+    ref = tokens.reference(tokens.default_path(), specials=True)
+    for s, e, b, offs in bytesnp.slices(pa.array(texts), 3000):
+        ids, first = tokens.encode(b, offs, tokens.default_path(), specials=True)
+        for i in range(s, e):
+            assert ids[first[i - s] : first[i - s + 1]].tolist() == ref.encode(texts[i] or "", add_special_tokens=False).ids
+    docs = {i: t for i, t in enumerate(texts[:400])}
+    check_pieces(packing.pack(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), 16).collect(), docs, 16)
+
+
 def test_packing_odd_rows(spark):
     docs = odd_docs(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
     rows = packing.pack(docs, 64).collect()
@@ -341,7 +371,8 @@ def test_separator_query(spark):
 
 
 @pytest.mark.parametrize("block", [2, 10, 64, 4096])
-def test_separators_across_blocks(spark, tmp_path, block):
+def test_separators_across_blocks(spark, tmp_path, block, monkeypatch):
+    monkeypatch.setattr(separators, "SPAN", 3)
     rng = np.random.default_rng(block)
     want = {}
     for f in range(4):
@@ -464,6 +495,48 @@ def test_only_repeated_bytes_go(spark):
         assert len(t) - len(kept) <= sum(covered)
 
 
+def brute_removed(rows, average, least):
+    """rows: (id, bytes) in order of id; by id, the flags of removed bytes: passages that were seen at an earlier place."""
+    found = []
+    for i, t in rows:
+        e = [*brute_boundaries(t, average), len(t)] if t else [0]
+        pieces = list(zip(e[:-1], e[1:], strict=True))
+        spans = set()
+        for k in range(len(pieces)):
+            on = next((m for m in range(k, len(pieces)) if pieces[m][1] - pieces[k][0] >= least), None)
+            up = next((m for m in range(k, -1, -1) if pieces[k][1] - pieces[m][0] >= least), None)
+            spans |= {(pieces[k][0], pieces[on][1])} if on is not None else set()
+            spans |= {(pieces[up][0], pieces[k][1])} if up is not None else set()
+        found += [(i, s, e, t[s:e]) for s, e in spans]
+    first = {}
+    for i, s, _, x in sorted(found):
+        first.setdefault(x, (i, s))
+    gone = {i: bytearray(len(t)) for i, t in rows}
+    for i, s, e, x in found:
+        if first[x] != (i, s):
+            gone[i][s:e] = b"\x01" * (e - s)
+    return gone
+
+
+def test_removed_passages_are_those_of_the_rule(spark):
+    rng = random.Random(18)
+    texts = {r.doc_id: r.text.encode() for r in text_of(spark).collect()}
+    some = rng.sample(sorted(texts), 90)
+    some += [i for i in sorted(texts) if texts[i] in {texts[k] for k in some}]
+    few = {i: texts[i] for i in sorted(set(some))}
+    base = b" ".join(few.values())[:3000]
+    few |= {10_000: base[100:2000], 10_001: base[500:900] + b"x" + base[400:1500], 10_002: b"ab " * 300}
+    docs = spark.createDataFrame([(i, t.decode("utf-8", "ignore")) for i, t in few.items()], "doc_id bigint, text string")
+    rows = sorted((r.doc_id, r.text.encode()) for r in docs.collect())
+    want = brute_removed(rows, cdc.AVERAGE, cdc.LEAST)
+    assert sum(map(sum, want.values())) > 2000
+    for r in cdc.deduplicate(docs, report=True).collect():
+        t = dict(rows)[r.doc_id]
+        assert r.text.encode() == bytes(x for x, g in zip(t, want[r.doc_id], strict=True) if not g)
+        assert (r.n_bytes, r.n_removed) == (len(t), sum(want[r.doc_id]))
+        assert r.n_spans == sum(g and not (k and want[r.doc_id][k - 1]) for k, g in enumerate(want[r.doc_id]))
+
+
 def test_chunks_odd_rows(spark):
     docs = odd_docs(spark)
     out = cdc.deduplicate(docs)
@@ -512,6 +585,37 @@ def test_suffixes_of_repetitive_texts(spark, seed):
     hash(n)
 
 
+def test_equal_and_missing_ids_are_documents_of_their_own(spark):
+    """Rows with one id and different texts lose only what stands elsewhere; a passage of many places is cut in each."""
+    rng = random.Random(19)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    p, other = word(150), word(110)
+    rows = [(1, p), (7, p + word(30)), (7, other), (None, word(120) + p), (None, word(130)), (None, word(140))]
+    rows += [(100 + k, word(20) + p + word(20)) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    order = sorted(rows, key=lambda r: -1 if r[0] is None else r[0])  # no order of the rows with one id matters here
+    want = [(len(t), n, hashlib.sha256(kept).hexdigest()) for (kept, n, _), (_, t) in zip(brute_repeats([(k, t.encode()) for k, (_, t) in enumerate(order)], 100).values(), order, strict=True)]
+    report = suffixes.deduplicate(docs, report=True).collect()
+    assert sorted((r.n_bytes, r.n_removed, r.kept_sha256) for r in report) == sorted(want)
+    assert any(r.doc_id == 7 and r.n_bytes == 110 and r.n_removed == 0 for r in report) and sum(r.n_removed == 0 for r in report) == 4
+    with pytest.raises(TypeError):
+        suffixes.deduplicate(docs.selectExpr("cast(doc_id as string) as doc_id", "text"))
+
+
+def test_long_texts_in_stretches(spark, monkeypatch):
+    """Texts of several stretches, with repeats across their edges, against brute force."""
+    monkeypatch.setattr(suffixes, "STRETCH", 1000)
+    monkeypatch.setattr(suffixes, "slices", lambda column, most=1: bytesnp.slices(column, 1))
+    rng = random.Random(20)
+    a = "".join(rng.choices("abcdefgh", k=4200))
+    texts = [a, a[1500:3700] + "x" + a[:1200], "y" * 30 + a[3300:], "z" * 2500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = brute_repeats([(i, t.encode()) for i, t in enumerate(texts)], 100)
+    for r in suffixes.deduplicate(docs).collect():
+        kept, n, spans = want[r.doc_id]
+        assert bytes(r.kept) == kept and len(r.removed) == spans and n == len(texts[r.doc_id]) - len(kept)
+
+
 def test_loser_tree_merges_runs():
     rng = random.Random(8)
     everything, runs = [], []
@@ -525,8 +629,8 @@ def test_loser_tree_merges_runs():
             lcp.append(n)
             data += x[n:]
         n = len(items)
-        raw = bytes(lcp) + bytes(map(len, items)) + bytes(n) + np.ones(n, "<u4").tobytes() + np.zeros(2 * n, "<i8").tobytes() + data
-        runs.append(suffixes._Front(n, n, raw))
+        raw = bytes(lcp) + bytes(map(len, items)) + bytes(n) + np.zeros(3 * n, "<i8").tobytes() + data
+        runs.append(suffixes._Front(n, raw))
     last, got = b"", []
     for common, front in suffixes.merge(runs):
         x = front.text
@@ -763,6 +867,14 @@ def test_exceptions_cover_hits():
     a = x.automaton()
     assert [w for *_, w in x.hits(a, toxicity.fold("Trash can. Scummy trash!"))] == [6.0, 5.0]
     assert toxicity.Lexicon().hits(toxicity.Lexicon().automaton(), " x ") == []
+    rng = random.Random(21)
+    words_ = ["".join(rng.choices("abc", k=rng.randint(1, 2))) for _ in range(400)]
+    phrases = sorted({f" {a} {b} " for a, b in zip(words_[::7], words_[1::7], strict=False)})
+    x = toxicity.Lexicon({" ab ": 1.0, " c ": 2.0, " b": 3.0}, tuple(phrases))
+    folded = f" {' '.join(words_)} "
+    every = [(m, m + len(t), w) for t, w in x.terms.items() for m in range(len(folded)) if folded.startswith(t, m)]
+    covers = [(m, m + len(p)) for p in phrases for m in range(len(folded)) if folded.startswith(p, m)]
+    assert sorted(x.hits(x.automaton(), folded)) == sorted(h for h in every if not any(a <= h[0] and h[1] <= b for a, b in covers))
 
 
 def test_toxicity_held_out(spark):
@@ -830,6 +942,29 @@ def test_vectors_odd_rows(spark):
     assert ego.near_duplicates(df.where("false")).count() == 0
 
 
+def test_vectors_of_any_length(spark):
+    """Squares of the components over- and underflow; the cosine is 1 for all but the last."""
+    rows = [(1, [1e200, 0.0]), (2, [2e200, 0.0]), (3, [1e-200, 0.0]), (4, [1.0, 0.0]), (5, [5e-324, 0.0]), (6, [1e308, 1e308])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in ego.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert got == {1: (4, 1), 2: (4, 1), 3: (4, 1), 4: (4, 1), 5: (4, 1), 6: (0, 6)}
+
+
+# ---------------------------------------------------------------- SQL
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_against_sql(spark, name):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.execute(queries.ORACLES[name]).fetchdf()
+    got = queries.QUERIES[name](spark, sf).toPandas()
+    assert sorted(want.columns) == sorted(got.columns) and len(got) > 0
+    key = lambda df: sorted(map(tuple, df[sorted(df.columns)].astype(str).to_numpy()))
+    assert key(got) == key(want)
+
+
 # ---------------------------------------------------------------- pipeline and registration
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
