@@ -106,48 +106,59 @@ def test_words_and_spans():
 
 
 # ---------------------------------------------------------------- 1
-def brute_lm(texts, held):
-    """Interpolated modified Kneser-Ney of order 2 in plain Python."""
+def brute_lm(texts, held, order):
+    """Interpolated modified Kneser-Ney in plain Python."""
     seqs = [["<s>", *WORDS.findall(lower(t)), None] for t in texts]
-    grams, raw = Counter(), Counter()
+    counts: dict = {m: Counter() for m in range(1, order + 1)}
+    raw = Counter()
     for s, h in zip(seqs, held, strict=True):
         if not h:
-            grams.update(zip(s, s[1:], strict=False))
             raw.update(s[1:])
-    uni = Counter(w for _, w in grams)
-
-    def discounts(counts):
-        n = Counter(counts)
+            counts[order].update(tuple(s[k : k + order]) for k in range(len(s) - order + 1))
+            for m in range(2, order):
+                if len(s) >= m:
+                    counts[m][tuple(s[:m])] += 1
+    for m in range(order - 1, 0, -1):
+        counts[m].update(g[1:] for g in counts[m + 1])
+
+    def discounts(values):
+        n = Counter(values)
         if not n[1] or not n[2]:
             return [0, 0.5, 0.5, 0.5]
         y = n[1] / (n[1] + 2 * n[2])
         return [0, *(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05 * k), 0.95 * k) if n[k] else 0.5 * k for k in (1, 2, 3))]
 
-    d1, d2 = discounts(uni.values()), discounts(grams.values())
-    total, types, tokens_ = sum(uni.values()), len(uni), sum(raw.values())
+    d = {m: discounts(c.values()) for m, c in counts.items()}
+    uni, tokens_ = counts[1], sum(raw.values())
+    total = sum(uni.values())
     sides: dict = {}
-    for (a, _), c in grams.items():
-        sides.setdefault(a, []).append(c)
-    rest = sum(d1[min(c, 3)] for c in uni.values()) / total if total else 1.0
+    for m in range(2, order + 1):
+        for g, c in counts[m].items():
+            sides.setdefault(g[:-1], []).append(c)
+    rest = sum(d[1][min(c, 3)] for c in uni.values()) / total if total else 1.0
     out = []
     for s in seqs:
         score = base = 0.0
-        for a, w in zip(s, s[1:], strict=False):
-            p = max(uni[w] - d1[min(uni[w], 3)], 0) / max(total, 1) + rest / (types + 1)
-            if a in sides:
-                c = grams[a, w]
-                p = max(c - d2[min(c, 3)], 0) / sum(sides[a]) + sum(d2[min(x, 3)] for x in sides[a]) / sum(sides[a]) * p
+        for at in range(1, len(s)):
+            w = s[at]
+            p = max(uni[(w,)] - d[1][min(uni[(w,)], 3)], 0) / max(total, 1) + rest / (len(uni) + 1)
+            for m in range(2, min(order, at + 1) + 1):
+                g = tuple(s[at - m + 1 : at + 1])
+                if g[:-1] in sides:
+                    c, own = counts[m][g], sides[g[:-1]]
+                    p = max(c - d[m][min(c, 3)], 0) / sum(own) + sum(d[m][min(x, 3)] for x in own) / sum(own) * p
             score += math.log10(p)
             base += math.log10((raw[w] + 0.1) / (tokens_ + 0.1 * (len(raw) + 1)))
         out.append((len(s) - 1, sum(raw[w] > 0 for w in s[1:]), tokens_, base, score))
     return out
 
 
-def test_lm_query(spark):
-    got = {r.doc_id: r for r in lm.query(spark, SF).collect()}
+@pytest.mark.parametrize("order", [None, 2, 4])
+def test_lm_query(spark, order):
+    got = {r.doc_id: r for r in (lm.query(spark, SF) if order is None else lm.query(spark, SF, order)).collect()}
     docs = {r.doc_id: r.text for r in text_of(spark).collect()}
     held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in docs]
-    for (i, want), h in zip(zip(docs, brute_lm(docs.values(), held), strict=True), held, strict=True):
+    for (i, want), h in zip(zip(docs, brute_lm(docs.values(), held, order or 3), strict=True), held, strict=True):
         r = got[i]
         assert r.held_out == h and (r.n_tokens, r.n_known, r.train_tokens) == want[:3]
         assert r.base_score == pytest.approx(want[3], rel=1e-9) and r.score == pytest.approx(want[4], rel=1e-9)
@@ -155,6 +166,27 @@ def test_lm_query(spark):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_blocks_of_ngrams_come_back():
+    rng = np.random.default_rng(3)
+    for span in (5, 40, 3_000_000):
+        columns = [rng.integers(0, span, 5000) for _ in range(3)]
+        want = Counter(zip(*(c.tolist() for c in columns), strict=True))
+        kept, n = lm._sorted(columns, np.ones(5000, np.int64), span)
+        n[0] = want[tuple(int(c[0]) for c in kept)] = 1 << 40
+        back, m = lm._unpack(3, len(n), lm._pack(kept, n))
+        assert dict(zip(zip(*(c.tolist() for c in back), strict=True), m.tolist(), strict=True)) == want and list(want) != []
+
+
+def test_parts_hold_large_counts_and_keys_that_begin_alike(tmp_path):
+    key = np.array([5 << 8 | 1, 5 << 8 | 2, 5 << 8 | 9, 7 << 8, (1 << 40) - 1], np.uint64)
+    n = np.array([1, 300, 255, 1 << 50, 254])
+    lm._put_part(str(tmp_path / "x"), key[::-1], [n[::-1]])
+    part = lm._Part(str(tmp_path / "x"))
+    ask = np.r_[key, np.array([5 << 8 | 3, 6 << 8, 5 << 8], np.uint64)]
+    rows, places = part.find(ask)
+    assert dict(zip(rows.tolist(), part.values(0, places).tolist(), strict=True)) == dict(enumerate(n.tolist()))
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_lm_is_a_distribution(spark, order):
     """Over every word and one unknown, the probabilities after a context sum to 1."""
