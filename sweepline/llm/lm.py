@@ -37,7 +37,7 @@ from .shared import HashTable, Scratch, bits_for, cut, put_array, tidy
 ORDER = 3
 BOS, EOS = U(0x5D1E0F3B2C4A6978), U(0x7A3C5E9F1B2D4860)
 FIRST, UNKNOWN = 0, U((1 << 64) - 1)  # numbers of the beginning of a text and of words never seen
-FLUSH, PER_BUCKET, PER_UNIGRAMS = 2_000_000, 2_000_000, 4_000_000
+FLUSH, PER_BUCKET, PER_UNIGRAMS = 2_000_000, 1_000_000, 4_000_000
 _GRAM = "order int, bucket int, n int, data binary"
 DONE = 0  # order of rows that say what was written
 
@@ -66,6 +66,17 @@ def _join(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(ctx * U(0x9E3779B97F4A7C15) + word)
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, a place of each, and for every place the index of its value."""
+    by = np.argsort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[by][1:] != x[by][:-1]
+    back = np.empty(len(x), np.int64)
+    back[by] = np.cumsum(new) - 1
+    at = by[new]
+    return x[at], at, back
+
+
 def _hash(columns) -> np.ndarray:
     out = np.zeros(len(columns[0]), U)
     for c in columns:
@@ -76,10 +87,16 @@ def _hash(columns) -> np.ndarray:
 # ---------------------------------------------------------------- blocks of n-grams
 def _sorted(columns: list[np.ndarray], n: np.ndarray, span: int):
     """Distinct n-grams in the order of their numbers (below ``span``), counts added up."""
-    width = max(1, int(span - 1).bit_length())
+    width, ranks = max(1, int(span - 1).bit_length()), columns
+    if width * len(columns) > 64 and span <= 1 << 24:  # ranks among the numbers that occur need fewer bits
+        rank = np.zeros(span, np.int32)
+        for c in columns:
+            rank[c] = 1
+        rank = np.cumsum(rank, dtype=np.int32)
+        ranks, width = [rank[c] for c in columns], int(rank[-1]).bit_length()
     if width * len(columns) <= 64:
         key = np.zeros(len(n), U)
-        for c in columns:
+        for c in ranks:
             key = key << U(width) | c.astype(U)
         by = np.argsort(key)
         key = key[by]
@@ -99,13 +116,15 @@ def _pack(columns, n) -> bytes:
         d[1:] -= np.where(same, d[:-1], 0)
         same &= c[1:] == c[:-1]
         out.append(d)
-    raw = b"".join(np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes() for d in [*out, n])
-    return zstandard.ZstdCompressor(level=3).compress(raw)
+    width = 4 if max(int(d.max()) for d in [*out, n]) < 1 << 32 else 8
+    raw = b"".join(np.ascontiguousarray(d.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes() for d in [*out, n])
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(raw)
 
 
 def _unpack(order: int, n: int, data: bytes):
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=8 * n * (order + 1)), np.uint8).reshape(order + 1, 8, n)
-    whole = [np.ascontiguousarray(x.T).view("<u8").ravel().astype(np.int64) for x in raw]
+    width = data[0]
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:], max_output_size=width * n * (order + 1)), np.uint8).reshape(order + 1, width, n)
+    whole = [np.ascontiguousarray(x.T).view(f"<u{width}").ravel().astype(np.int64) for x in raw]
     new, out = np.zeros(n, bool), []
     new[0] = True
     for d in whole[:-1]:
@@ -223,9 +242,10 @@ class Parts:
     def __init__(self, path: str, bits: int, columns: int):
         self.path, self.columns, self.sizes = path, columns, np.zeros(1 << bits, np.int64)
 
-    def find(self, bucket: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    def find(self, bucket: np.ndarray, key: np.ndarray, ordered: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Found flags and values; ``ordered``: the keys come by bucket and size."""
         found, out = np.zeros(len(key), bool), [np.zeros(len(key), np.int64) for _ in range(self.columns)]
-        order = np.lexsort((key, bucket))
+        order = np.arange(len(key)) if ordered else np.argsort(bucket.astype(U) << U(40) | key)
         b = bucket[order]
         edges = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
         for s, e in zip(edges.tolist(), [*edges[1:].tolist(), len(b)] if len(b) else [], strict=True):
@@ -278,15 +298,15 @@ class Model:
 
     def numbers(self, tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number, occurrences) of words given by hash."""
-        kinds, back = np.unique(tok, return_inverse=True)
-        found, got = self.vocabulary.find(kinds)
+        kinds, _, back = _distinct(tok)
+        found, got = self.vocabulary.find(kinds, ordered=True)
         number = np.where(found, got["id"].astype(U), UNKNOWN)
         number[kinds == BOS] = FIRST
         return number[back], got["raw"].astype(np.int64)[back]
 
     def continuations(self, number: np.ndarray) -> np.ndarray:
         """Kneser-Ney count of single words."""
-        kinds, back = np.unique(number, return_inverse=True)
+        kinds, _, back = _distinct(number)
         out = np.zeros(len(kinds), np.int64)
         known = np.flatnonzero(kinds != UNKNOWN)
         bucket = (kinds[known] // U(self.dealer.wide)).astype(np.int64)
@@ -296,15 +316,15 @@ class Model:
         return out[back]
 
     def contexts(self, m: int, ctx: np.ndarray, hot: np.ndarray):
-        """(known, continuations, types seen once, twice, more often) of contexts."""
+        """(known, continuations, types seen once, twice, more often) of contexts, given in the order of their hashes."""
         bucket, key = self.dealer.side(ctx)
-        has, values = self.sides[m].find(bucket, key)
+        has, values = self.sides[m].find(bucket, key, ordered=True)
         rest = np.flatnonzero(~has & ~hot)
-        one, _ = self.lone[m].find(bucket[rest], key[rest])
+        one, _ = self.lone[m].find(bucket[rest], key[rest], ordered=True)
         rest = rest[one]
         has[rest], values[0][rest], values[1][rest] = True, 1, 1
         far = np.flatnonzero(hot)
-        got, more = self.hot[m].find(bucket[far], key[far])
+        got, more = self.hot[m].find(bucket[far], key[far], ordered=True)
         has[far] = got
         for v, x in zip(values, more, strict=True):
             v[far] = x
@@ -325,7 +345,7 @@ class Model:
             d = self.discounts(m)
             can = np.flatnonzero(place >= m - 1)
             bucket, key, ctx, hot = self.dealer.parts([number[at[can] - k] for k in range(m - 1, -1, -1)])
-            known, first, back = np.unique(ctx, return_index=True, return_inverse=True)
+            known, first, back = _distinct(ctx)
             has, all_, n1, n2, n3 = self.contexts(m, known, hot[first])
             all_ = np.maximum(all_.astype(np.float64), 1)
             gamma = np.where(has, (d[1] * n1 + d[2] * n2 + d[3] * n3) / all_, 1.0)
@@ -351,23 +371,25 @@ def _done(order: int, bucket: int, *what: int):
 # ---------------------------------------------------------------- counting
 def _words(batches):
     """(h, n): words and end tokens with their occurrences, summed over a partition."""
-    h, n = np.zeros(0, U), np.zeros(0, np.int64)
+    held: list[tuple] = []
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+        h, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        by = np.argsort(h)
+        h, n = h[by], n[by]
+        at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        return pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(np.add.reduceat(n, at))], ["h", "n"])
 
     for batch in batches:
         for _, _, b, offs in slices(batch.column(0), 4 * BLOCK):
             tok, begin = _tokens(fold_case(b), offs)
             body = np.ones(len(tok), bool)
             body[begin[:-1]] = False
-            k, c = np.unique(tok[body], return_counts=True)
-            h, back = np.unique(np.r_[h, k], return_inverse=True)
-            n = np.bincount(back, weights=np.r_[n, c], minlength=len(h)).astype(np.int64)
-            if len(h) > FLUSH:
+            held.append(np.unique(tok[body], return_counts=True))
+            if sum(len(h) for h, _ in held) > FLUSH:
                 yield out()
-                h, n = h[:0], n[:0]
-    if len(h):
+    if held:
         yield out()
 
 
@@ -518,7 +540,7 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER, bits: int | N
     os.makedirs(f"{scratch.path}/1")
     rows = docs.mapInArrow(tidy(_count(model)), _GRAM)
     for m in range(order, 0, -1):
-        rows = rows.repartition(1 << bits, "bucket").mapInArrow(tidy(_merge(m, model)), _GRAM)
+        rows = rows.repartitionById(1 << bits, F.col("bucket")).mapInArrow(tidy(_merge(m, model)), _GRAM)
     model.stats = {m: dict.fromkeys(STATS, 0) for m in range(1, order + 1)}
     for r in rows.collect():  # a few numbers for each file written
         m, k, what = r["n"], r["bucket"], np.frombuffer(r["data"], "<i8").tolist()

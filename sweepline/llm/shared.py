@@ -121,14 +121,14 @@ class HashTable:
         for c, dtype in self.cols.items():
             put_array(f"{self.path}/{bucket}.{c}", values[c].astype(dtype, copy=False))
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        """Found flags and values (0 where absent) for any uint64 keys."""
+    def find(self, keys: np.ndarray, ordered: bool = False) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Found flags and values (0 where absent) for any uint64 keys (``ordered``: they are sorted)."""
         n = len(keys)
         found = np.zeros(n, bool)
         out = {c: np.zeros(n, t) for c, t in self.cols.items()}
         if not n:
             return found, out
-        order = np.argsort(keys)
+        order = np.arange(n) if ordered else np.argsort(keys)
         ks = keys[order]
         edges = np.searchsorted(ks >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)) if self.bits else np.array([0, n])
         for b in np.flatnonzero(edges[1:] > edges[:-1]):
