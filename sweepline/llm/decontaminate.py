@@ -1,14 +1,16 @@
-"""Operator 2: benchmark decontamination by TF-IDF retrieval, then subsequence and answer checks.
+"""Operator 2: benchmark decontamination by latent semantic retrieval, then subsequence and answer checks.
 
 Words are runs of letters and digits (A-Z folded, bytes above 127 count as letters), hashed to ``FEATURES``
 features. A passage is ``2 * BLOCK_WORDS`` words of a text, one beginning every ``BLOCK_WORDS``; it is weighted by TF-IDF
 with document frequencies counted over the passages of the whole corpus.
 
 The latent space comes from a randomised SVD of all passages in one distributed pass: with random test vectors W
-(FEATURES x RANK) the tasks sum Z = A'(A W), and the Nystrom form of Z gives the leading singular vectors. The space is
-then updated with the directions of the benchmark's passages that it lacks (an orthogonal basis of both), so none
-is lost by truncation: projecting and going back changes nothing but rounding, and the cosine is that of plain TF-IDF. Projecting a benchmark passage into the space and back gives its weight by feature; the cosine
-with every passage of every text is a sum of such weights, block by block. What reaches ``CANDIDATE`` (less for passages under ``BLOCK_WORDS`` words) is aligned word
+(FEATURES x RANK) the tasks sum Z = A'(A W), and the Nystrom form of Z gives the ``RANK`` leading singular vectors. Passages of texts
+and of the benchmark are both projected into this space. A pair is a candidate if its cosine there reaches ``LATENT`` and it shares
+words (a TF-IDF cosine of ``SHARED``, without which no subsequence of half the words is to be expected), or if the
+TF-IDF cosine alone reaches ``CANDIDATE``: a space of this rank tells topics apart, but not all passages of one topic, so
+on its own it would miss paraphrases or let nearly everything through (the README has figures). Passages under
+``BLOCK_WORDS`` words need less. What is near is aligned word
 by word with the benchmark passage: the longest common subsequence, each word counting its IDF, as a share
 of the whole. A share of ``COPIED`` is a leak; one of ``PARAPHRASED`` is one if the passage's answer (its last sentence) is
 found to ``ANSWERED`` as well.
@@ -31,9 +33,10 @@ from .bytesnp import U, Spans, fold_case, mix, ragged, slices
 from .shared import cut, fresh, tidy
 
 FEATURES, RANK, BLOCK_WORDS = 1 << 14, 64, 16
-MOST_PASSAGES = 2_048
+MOST_PASSAGES, USUAL, CELLS = 2_048, 512, 1 << 21
 ITEM_WORDS, FEWEST = 64, 8
-CANDIDATE, COPIED, PARAPHRASED, ANSWERED = 0.2, 0.75, 0.5, 0.5  # the README has the recall of CANDIDATE
+LATENT, SHARED, CANDIDATE = 0.9, 0.12, 0.2  # the README has their recall
+COPIED, PARAPHRASED, ANSWERED = 0.75, 0.5, 0.5
 
 _APART = np.zeros(256, bool)
 _APART[[c for c in range(128) if not chr(c).isalnum()]] = True
@@ -105,6 +108,10 @@ def latent_space(docs: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int =
     test = np.zeros((FEATURES, rank))
     test[np.arange(FEATURES), column] = sign
     weight = idf.astype(np.float32)
+    # the commonest features make a dense part of a slice's matrix, the rest a sparse one
+    usual = np.sort(np.argsort(idf, kind="stable")[:USUAL])
+    column_of = np.full(FEATURES, -1)
+    column_of[usual] = np.arange(len(usual))
 
     def run(batches):
         z = np.zeros((rank, FEATURES), np.float32)
@@ -120,11 +127,19 @@ def latent_space(docs: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int =
                 passage = np.repeat(np.arange(len(at)), size)
                 v = weight[f] / np.repeat(np.sqrt(np.add.reduceat(weight[f] ** 2, at)), size)
                 y = np.bincount(column[f] * len(at) + passage, weights=v * sign[f], minlength=rank * len(at)).reshape(rank, -1).astype(np.float32)  # (A W)'
-                by = np.argsort(f, kind="stable")
+                dense = column_of[f]
+                d = np.flatnonzero(dense >= 0)
+                part = np.bincount(passage[d] * len(usual) + dense[d], weights=v[d], minlength=len(at) * len(usual)).astype(np.float32)
+                z[:, usual] += y @ part.reshape(len(at), -1)
+                by = np.flatnonzero(dense < 0)
+                if not len(by):
+                    continue
+                by = by[np.argsort(f[by])]
                 fs, v, passage = f[by], v[by], passage[by]
                 new = np.flatnonzero(np.r_[True, fs[1:] != fs[:-1]])
+                kinds = fs[new]
                 for k in range(rank):  # A' (A W), a column at a time
-                    z[k, fs[new]] += np.add.reduceat(y[k][passage] * v, new)
+                    z[k, kinds] += np.add.reduceat(y[k].take(passage) * v, new)
         for k in range(rank):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([z[k].tobytes()])], ["k", "z"])
 
@@ -148,13 +163,17 @@ def latent_space(docs: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int =
     return u, np.sqrt(np.maximum(s**2 - shift, 0))
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
 class Benchmark:
     """Passages of the items: words, latent weights by feature, answers."""
 
     def __init__(self, items: list[tuple[int, str]], idf: np.ndarray, space: np.ndarray):
         self.idf = idf.astype(np.float32)
         self.item, self.words, self.whole, self.answer = [], [], [], []
-        vectors = []
+        vectors: list[tuple[int, np.ndarray]] = []
         for item, text in items:
             sentence = [s for s in re.split(r"(?<=[.!?])\s+", text.strip()) if s]
             h = self._hash(text)
@@ -171,100 +190,110 @@ class Benchmark:
                     vectors.append((len(self.item) - 1, w[k : k + 2 * BLOCK_WORDS]))
         self.of = np.array([p for p, _ in vectors], np.int64)
         # a short passage is a small part of the text's passage that holds it
-        self.share = np.sqrt(np.minimum([len(w) / BLOCK_WORDS for _, w in vectors], 1.0))
-        a = np.zeros((len(vectors), FEATURES))
-        for i, (_, w) in enumerate(vectors):
-            f, n = np.unique(_features(w), return_counts=True)
-            a[i, f] = n * idf[f]
-        a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
-        # update the space with what it lacks of these passages, project and go back
-        rest = a - (a @ space) @ space.T
-        _, s, v = np.linalg.svd(rest, full_matrices=False) if len(a) else (None, np.zeros(0), np.zeros((0, FEATURES)))
-        basis = np.c_[space, v[s > 1e-6].T]
-        back = (a @ basis) @ basis.T
-        back[np.abs(back) < 1e-9] = 0
-        self._index(np.ascontiguousarray(back.T, np.float32) * self.idf[:, None])
+        self.share = np.sqrt(np.minimum([len(w) / BLOCK_WORDS for _, w in vectors], 1.0)).astype(np.float32)
+        own = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0, U)
+        at = np.repeat(np.arange(len(vectors)), [len(w) for _, w in vectors])
+        self.kinds, kind = np.unique(own, return_inverse=True)
+        key, count = np.unique(kind * max(len(vectors), 1) + at, return_counts=True)
+        kind, at = np.divmod(key, max(len(vectors), 1))
+        weight = count * idf[_features(self.kinds)][kind]
+        size = np.sqrt(np.bincount(at, weights=weight**2, minlength=len(vectors)))
+        self.entries = kind, at, (weight / np.maximum(size[at], 1e-12)).astype(np.float32)
+        self.space = space.astype(np.float32)
+        inside = np.zeros((len(vectors), space.shape[1]), np.float32)
+        np.add.at(inside, at, self.space[_features(self.kinds)[kind]] * weight[:, None].astype(np.float32))
+        self.latent = _unit(inside)
+        self._index()
 
     def __getstate__(self):
-        """Tasks are sent the weights that are not 0."""
-        f, p = np.nonzero(self.weights)
-        keep = ("idf", "item", "words", "whole", "answer", "of", "share")
-        return {k: getattr(self, k) for k in keep} | {"entries": (f, p, self.weights[f, p])}
+        keep = ("idf", "item", "words", "whole", "answer", "of", "share", "kinds", "entries", "space", "latent")
+        return {k: getattr(self, k) for k in keep}
 
     def __setstate__(self, state):
-        f, p, w = state.pop("entries")
         self.__dict__ |= state
-        weights = np.zeros((FEATURES, len(self.of)), np.float32)
-        weights[f, p] = w
-        self._index(weights)
-
-    def _index(self, weights: np.ndarray) -> None:
-        self.weights, held = weights, weights != 0
-        count = held.sum(1)
-        # a feature of few passages is looked up, one of many is bounded first
-        self.many = count > 64
-        self.bound = np.where(self.many, np.abs(self.weights).max(1, initial=0), 0)
-        f, self.passage = np.nonzero(held & ~self.many[:, None])
-        self.weight = self.weights[f, self.passage]
-        self.count = np.where(self.many, 0, count)
+        self._index()
+
+    def _index(self) -> None:
+        kind, at, weight = self.entries
+        count = np.bincount(kind, minlength=len(self.kinds))
+        many = np.flatnonzero(count > 24)
+        self.many = np.full(len(self.kinds), -1)
+        self.many[many] = np.arange(len(many))
+        self.common = np.zeros((len(many), len(self.of)), np.float32)
+        wide = self.many[kind] >= 0
+        self.common[self.many[kind[wide]], at[wide]] = weight[wide]
+        self.passage, self.weight = at[~wide], weight[~wide]  # sorted by word
+        self.count = np.where(self.many < 0, count, 0)
         self.first = np.cumsum(self.count) - self.count
+        self.has = np.zeros(FEATURES, bool)
+        self.has[_features(self.kinds)] = True
 
     @staticmethod
     def _hash(text: str) -> np.ndarray:
         raw = np.frombuffer(text.encode(), np.uint8)
         return word_hashes(raw, np.array([0, len(raw)]))[0] if len(raw) else np.zeros(0, U)
 
-    def candidates(self, h: np.ndarray, first: np.ndarray, least: float):
-        """(first word of the passage, item passage, cosine) of all that is near in the latent space.
+    def candidates(self, h: np.ndarray, first: np.ndarray, least: float, latent: float = LATENT, shared: float = SHARED):
+        """(first word of the passage, item passage, TF-IDF cosine, latent cosine) of all candidates.
 
-        Features that few benchmark passages hold are summed by (passage, benchmark passage); what those that many hold
-        could add is bounded by passage, and the whole sum is made only where the bound leaves it open.
+        Passages are taken so many at a time that their table with all benchmark passages has ``CELLS`` cells. Words
+        of many benchmark passages are counted by passage and enter by a product, the others one by one.
         """
         f = _features(h)
         start, row = _blocks(first)
         size = np.diff(np.r_[start, len(h)])
         pair = np.r_[row[1:] == row[:-1], False]  # this block and the next are a passage
         lone = np.r_[True, ~pair[:-1]] & ~pair  # the only block of its text
+        whole = pair | lone
+        low = min(shared, least)
 
         def passages(by_block):
             out = by_block.copy()
-            out[:-1] += np.where(pair[:-1], by_block[1:], 0)
+            out[:-1][pair[:-1]] += by_block[1:][pair[:-1]]
             return out
 
         norm = np.sqrt(passages(np.add.reduceat(self.idf[f] ** 2, start)))
-        open_ = passages(np.add.reduceat(self.bound[f], start))
-        block = np.repeat(np.arange(len(start)), size)
-        use = np.flatnonzero(self.count[f])
-        n = self.count[f[use]]
-        entry = ragged(self.first[f[use]], n)
-        at, p, w = np.repeat(block[use], n), self.passage[entry], self.weight[entry]
-        also = np.flatnonzero((at > 0) & pair[at - 1])  # the passage that began a block before
-        kinds = len(self.of)
-        key = np.r_[at, at[also] - 1] * kinds + np.r_[p, p[also]]
-        by = np.argsort(key)
-        key = key[by]
-        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        dot = np.add.reduceat(np.r_[w, w[also]][by], new) if len(key) else np.zeros(0)
-        i, j = np.divmod(key[new], kinds)
-        maybe = (dot + open_[i] >= least * self.share[j] * norm[i] - 1e-6) & (pair | lone)[i]
-        i, j = i[maybe], j[maybe]
-        wide = np.flatnonzero((open_ >= least * self.share.min() * norm - 1e-6) & (pair | lone))  # common words alone could do: all passages
-        i, j = np.r_[i, np.repeat(wide, kinds)], np.r_[j, np.tile(np.arange(kinds), len(wide))]
-        if len(wide):
-            i, j = np.divmod(np.unique(i * kinds + j), kinds)
-        out = []
-        for k in range(0, len(i), 50_000):
-            a, q = i[k : k + 50_000], j[k : k + 50_000]
-            stop = np.where(pair[a], start[np.minimum(a + 1, len(start) - 1)] + size[np.minimum(a + 1, len(start) - 1)], start[a] + size[a])
-            n = stop - start[a]
-            terms = self.weights[f[ragged(start[a], n)], np.repeat(q, n)]
-            cosine = np.add.reduceat(terms, np.cumsum(n) - n) / norm[a]
-            near = cosine >= least * self.share[q]
-            out.append((start[a][near], self.of[q][near], cosine[near]))
-        if not out:
-            z = np.zeros(0, np.int64)
-            return z, z, np.zeros(0)
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        use = np.flatnonzero(self.has[f])
+        kind = np.minimum(np.searchsorted(self.kinds, h[use]), len(self.kinds) - 1)
+        hit = self.kinds[kind] == h[use]
+        use, kind = use[hit], kind[hit]
+        block, gain = np.searchsorted(start, use, "right") - 1, self.idf[f[use]]
+        found, kinds = [], len(self.of)
+        step = max(1, CELLS // kinds)
+        for s in range(0, len(start), step):
+            e = min(s + step + 1, len(start))  # the block behind belongs to the last passage
+            o = slice(*np.searchsorted(block, (s, e)))
+            b, k, g = block[o] - s, kind[o], gain[o]
+            usual = self.many[k] >= 0
+            seen = np.bincount(b[usual] * len(self.common) + self.many[k[usual]], weights=g[usual], minlength=(e - s) * len(self.common))
+            dot = seen.reshape(e - s, -1).astype(np.float32) @ self.common
+            n = self.count[k]
+            entry = ragged(self.first[k], n)
+            np.add.at(dot.ravel(), np.repeat(b, n) * kinds + self.passage[entry], np.repeat(g, n) * self.weight[entry])
+            dot[:-1] += np.where(pair[s : e - 1, None], dot[1:], 0)
+            end = min(s + step, len(start))
+            dot = dot[: end - s]
+            i, j = np.nonzero(dot >= np.where(whole[s:end], low * norm[s:end], np.inf)[:, None].astype(np.float32) * self.share)
+            found.append((i + s, j, dot[i, j] / norm[i + s]))
+        i, j, cosine = (np.concatenate(x) for x in zip(*found, strict=True))
+        inside = self._inside(f, start, size, pair, i, j)
+        keep = (cosine >= least * self.share[j]) | (inside >= latent) & (cosine >= shared * self.share[j])
+        i, j = i[keep], j[keep]
+        return start[i], self.of[j], cosine[keep], inside[keep]
+
+    def _inside(self, f, start, size, pair, i, j) -> np.ndarray:
+        """Cosine in the latent space of passages i and benchmark passages j."""
+        out = np.zeros(len(i), np.float32)
+        who, back = np.unique(i, return_inverse=True)
+        by = np.argsort(back, kind="stable")
+        edge = np.searchsorted(back[by], np.arange(0, len(who) + 1024, 1024))
+        for k, (s, e) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+            a = who[1024 * k : 1024 * (k + 1)]
+            n = size[a] + np.where(pair[a], size[np.minimum(a + 1, len(size) - 1)], 0)
+            words = f[ragged(start[a], n)]
+            x = _unit(np.add.reduceat(self.space[words] * self.idf[words, None], np.cumsum(n) - n))
+            out[by[s:e]] = np.einsum("ij,ij->i", x[back[by[s:e]] - 1024 * k], self.latent[j[by[s:e]]])
+        return out
 
     def align(self, h: np.ndarray, begin: np.ndarray, end: np.ndarray, passage: np.ndarray, answers: bool = False) -> np.ndarray:
         """Share of each item passage (or of its answer) found, in order, in a stretch of words."""
@@ -301,10 +330,10 @@ class Benchmark:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, candidate: float = CANDIDATE) -> DataFrame:
-    """(doc_id, item_id, cosine, lcs, answer, first_word): the leaked items of each contaminated document."""
+    """(doc_id, item_id, cosine, latent, lcs, answer, first_word): the leaked items of each contaminated document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id long, cosine double, lcs double, answer double, first_word long"
-    names = ["doc_id", "item_id", "cosine", "lcs", "answer", "first_word"]
+    schema = f"doc_id {kind}, item_id long, cosine double, latent double, lcs double, answer double, first_word long"
+    names = ["doc_id", "item_id", "cosine", "latent", "lcs", "answer", "first_word"]
     idf = inverse_frequencies(docs)
     space, _ = latent_space(docs, idf)
     result, block, size = None, [], 0
@@ -318,13 +347,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, candidate: float = CANDIDATE)
                     h, first = word_hashes(b, offs)
                     if not len(h) or not len(held.of):
                         continue
-                    at, passage, cosine = held.candidates(h, first, candidate)
+                    at, passage, cosine, inside = held.candidates(h, first, candidate)
                     if not len(at):
                         continue
                     row = np.searchsorted(first, at, "right") - 1
                     # windows next to each other look at the same words: the nearest of them will do
                     by = np.lexsort((at, passage, row))
-                    at, passage, cosine, row = at[by], passage[by], cosine[by], row[by]
+                    at, passage, cosine, inside, row = at[by], passage[by], cosine[by], inside[by], row[by]
                     new = np.r_[True, (row[1:] != row[:-1]) | (passage[1:] != passage[:-1]) | (at[1:] > at[:-1] + BLOCK_WORDS)]
                     # a long run is cut, so that no place is far from the window that stands for it
                     start = np.flatnonzero(new)
@@ -332,7 +361,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, candidate: float = CANDIDATE)
                     group = np.cumsum(new | (rank % 3 == 0))
                     by = np.lexsort((-cosine, group))
                     keep = by[np.flatnonzero(np.r_[True, group[by][1:] != group[by][:-1]])]
-                    at, passage, cosine, row = at[keep], passage[keep], cosine[keep], row[keep]
+                    at, passage, cosine, inside, row = at[keep], passage[keep], cosine[keep], inside[keep], row[keep]
                     size = np.array([len(held.words[p]) for p in passage])
                     begin = np.maximum(at - size - BLOCK_WORDS, first[row])
                     end = np.minimum(at + 3 * BLOCK_WORDS + size, first[row + 1])
@@ -352,13 +381,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, candidate: float = CANDIDATE)
                         leak |= ~whole & (lcs >= PARAPHRASED) & (answer >= ANSWERED)
                         for i in np.flatnonzero(leak):
                             key = int(row[m[i]]), held.item[passage[m[i]]]
-                            hit = float(lcs[i]), float(cosine[m[i]]), float(answer[i]), int(at[m[i]] - first[row[m[i]]])
+                            hit = float(lcs[i]), float(cosine[m[i]]), float(inside[m[i]]), float(answer[i]), int(at[m[i]] - first[row[m[i]]])
                             found[key] = max(found.get(key, hit), hit)
                     if found:
                         rows, values = list(found), list(found.values())
                         yield pa.RecordBatch.from_arrays(
                             [batch.column(0).slice(s, e - s).take(pa.array([r for r, _ in rows])), pa.array([i for _, i in rows], pa.int64())]
-                            + [pa.array([v[k] for v in values]) for k in (1, 0, 2, 3)],
+                            + [pa.array([v[k] for v in values]) for k in (1, 2, 0, 3, 4)],
                             names,
                         )
 

@@ -271,6 +271,32 @@ def test_paraphrases_at_any_offset_are_candidates(spark):
     assert len(leaked) > 100 and leaked <= got
 
 
+def test_candidates_come_from_the_latent_space(spark):
+    """Both sides are projected: cosines are those of a plain computation, and another space gives other candidates."""
+    docs = text_of(spark)
+    idf = decontaminate.inverse_frequencies(docs)
+    space, _ = decontaminate.latent_space(docs, idf)
+    other, _ = np.linalg.qr(np.random.default_rng(5).normal(size=space.shape))
+    items = [(r.item_id, r.text) for r in text_of(spark, "benchmark").collect() if r.text]
+    got, lexical = [], []
+    for own in (space, other):
+        held, found, plain = decontaminate.Benchmark(items, idf, own), set(), set()
+        for i, r in enumerate(docs.collect()):
+            raw = np.frombuffer(r.text.encode(), np.uint8)
+            h, first = decontaminate.word_hashes(raw, np.array([0, len(raw)]))
+            if not len(h):
+                continue
+            plain |= {(i, int(at), int(p)) for at, p, *_ in zip(*held.candidates(h, first, 0.2, latent=2), strict=True)}
+            for at, p, _, inside in zip(*held.candidates(h, first, 0.2, latent=0.6, shared=0.05), strict=True):
+                found.add((i, int(at), int(p)))
+                f = decontaminate._features(h[at : at + 32])
+                x = (own[f] * idf[f, None]).sum(0)
+                assert any(abs(inside - x @ held.latent[j] / np.linalg.norm(x)) < 1e-4 for j in np.flatnonzero(held.of == p))
+        got.append(found)
+        lexical.append(plain)
+    assert lexical[0] == lexical[1] and got[0] > lexical[0] and got[1] >= lexical[1] and got[0] != got[1]
+
+
 def test_latent_space_is_the_svd(spark):
     docs = text_of(spark)
     idf = decontaminate.inverse_frequencies(docs)
