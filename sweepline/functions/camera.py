@@ -88,6 +88,42 @@ class Pinhole:
         return F.lit(self.camera.fx) * u + F.lit(self.camera.cx), F.lit(self.camera.fy) * v + F.lit(self.camera.cy)
 
 
+def undistort(k: np.ndarray, d: np.ndarray, pixels: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Rays (x, y at depth 1) of distorted pixels, by fixed-point steps."""
+    k1, k2, p1, p2, k3 = (*np.ravel(d), 0.0, 0.0, 0.0, 0.0, 0.0)[:5]
+    start = (pixels - k[:2, 2]) / k[[0, 1], [0, 1]]
+    x = start.copy()
+    for _ in range(rounds):
+        a, b = x[:, 0], x[:, 1]
+        r2 = a * a + b * b
+        bend = np.stack([2 * p1 * a * b + p2 * (r2 + 2 * a * a), p1 * (r2 + 2 * b * b) + 2 * p2 * a * b], 1)
+        x = (start - bend) / (1 + r2 * (k1 + r2 * (k2 + r2 * k3)))[:, None]
+    return x
+
+
+def best_matrix(k: np.ndarray, d: np.ndarray, width: int, height: int, alpha: float = -1.0, grid: int = 9) -> np.ndarray:
+    """The camera matrix of an undistorted image: with ``alpha`` 0 it shows no pixel without a source, with 1 all of the source; what
+    lies between or beyond (the recorder's -1) goes on in a straight line.
+
+    The inner and outer rectangle of the undistorted image come from ``grid`` x ``grid`` pixels.
+    """
+    v, u = np.indices((grid, grid), float)
+    at = np.stack([u.ravel() * (width - 1) / (grid - 1), v.ravel() * (height - 1) / (grid - 1)], 1)
+    ray = undistort(k, d, at).reshape(grid, grid, 2)
+    x, y = ray[..., 0], ray[..., 1]
+    inner = x[:, 0].max(), y[0].max(), x[:, -1].min(), y[-1].min()
+    outer = x.min(), y.min(), x.max(), y.max()
+    out = np.eye(3)
+    for axis, size in enumerate((width, height)):
+        ends = []
+        for box in (inner, outer):
+            f = (size - 1) / (box[axis + 2] - box[axis])
+            ends.append((f, -f * box[axis]))
+        (f0, c0), (f1, c1) = ends
+        out[axis, axis], out[axis, 2] = f0 * (1 - alpha) + f1 * alpha, c0 * (1 - alpha) + c1 * alpha
+    return out
+
+
 def rectify_map(k: np.ndarray, d: np.ndarray, r: np.ndarray, new_k: np.ndarray, width: int, height: int) -> tuple[np.ndarray, np.ndarray]:
     """Source pixel (nearest) of every pixel of the rectified image; -1 where there is none."""
     v, u = np.indices((height, width), float)

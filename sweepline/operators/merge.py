@@ -33,6 +33,12 @@ def ordered_merge(messages: DataFrame, second: str = IMAGE, drop_first: bool = T
     return numbered.where("pos >= 0")
 
 
+def until_other(merged: DataFrame, kinds: tuple[str, ...] = (CLOUD, IMAGE)) -> DataFrame:
+    """Merged messages of a run up to the first one of another kind, which ends it."""
+    others = F.max(F.when(~F.col("kind").isin(*kinds), 1).otherwise(0)).over(Window.partitionBy("run_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    return merged.withColumn("_ended", others).where("_ended = 0").drop("_ended")
+
+
 def latest_state(merged: DataFrame) -> DataFrame:
     """(run_id, pos, ts_ns, pc_seq, image_seq): the newest of both kinds at every event that has both."""
     upto = Window.partitionBy("run_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)

@@ -69,10 +69,27 @@ def with_class_names(boxes: DataFrame, names: DataFrame) -> DataFrame:
     return boxes.join(names, "class_id", "left")
 
 
-def detect(images: DataFrame, load: Callable[[], Callable[[bytes], np.ndarray]], classes: int, threshold: float = 0.4, limit: float = 0.5) -> DataFrame:
+def to_blob(image: np.ndarray, size: tuple[int, int] = (416, 416)) -> np.ndarray:
+    """A detector's input (1, channels, height, width): values from 0 to 1, sides fitted by linear interpolation, channel order as it is."""
+    image = np.asarray(image, np.float32)
+    if image.ndim == 2:
+        image = image[..., None]
+    for axis, new in ((1, size[0]), (0, size[1])):
+        old = image.shape[axis]
+        at = np.clip((np.arange(new) + 0.5) * old / new - 0.5, 0, old - 1)
+        low = np.floor(at).astype(int)
+        part = (at - low).reshape([-1 if a == axis else 1 for a in range(image.ndim)]).astype(np.float32)
+        image = image.take(low, axis) * (1 - part) + image.take(np.minimum(low + 1, old - 1), axis) * part
+    return (image / np.float32(255)).transpose(2, 0, 1)[None]
+
+
+def detect(
+    images: DataFrame, load: Callable[[], Callable[[bytes], np.ndarray]], classes: int, threshold: float = 0.4, limit: float = 0.5, decode: Callable[[bytes], np.ndarray] | None = None, size: tuple[int, int] = (416, 416)
+) -> DataFrame:
     """Run a detector over (image_oid, content, img_w, img_h); ``load`` is called once a task.
 
-    The model returns rows of cx, cy, w, h, objectness and one score a class.
+    The model returns rows of cx, cy, w, h, objectness and one score a class. With ``decode`` (file to pixels) it is given the
+    blob of the image, else the content as it is.
     """
     if classes < 1:
         raise ValueError("a detector has classes")
@@ -82,7 +99,7 @@ def detect(images: DataFrame, load: Callable[[], Callable[[bytes], np.ndarray]],
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
-                for k, row in enumerate(model(r.content)):
+                for k, row in enumerate(model(r.content if decode is None else to_blob(decode(bytes(r.content)), size))):
                     out.append((r.image_oid, k, *map(float, row[:4]), [float(v) for v in row[5 : 5 + classes]], r.img_w, r.img_h))
             yield pd.DataFrame(out, columns=["image_oid", "row_idx", "cx", "cy", "w", "h", "scores", "img_w", "img_h"])
 

@@ -19,6 +19,7 @@ from ..operators.merge import latest_state, ordered_merge
 from ..operators.plane import segment
 from ..operators.vision import fuse, image_front, lidar_range, point_lists
 from ..functions.points import ahead
+from ..storage import cut
 from .presets import DRIVE, LidarPipeline
 
 
@@ -35,6 +36,7 @@ def lidar(points: DataFrame, p: LidarPipeline = DRIVE, rule: Plausible = Plausib
     cloud = crop(voxel_grid(points, p.leaves), *p.keep)
     if p.drop:
         cloud = crop(cloud, *p.drop, drop=True)
+    cloud = cut(cloud)  # the plane reads it four times
     split = segment(cloud, p.iterations, p.plane_limit)
     outliers = split.where("not is_inlier").drop("is_inlier")
     found = clusters(outliers.select("frame_id", "point_idx", "x", "y", "z", "intensity"), p.tol, p.least, p.most)

@@ -111,11 +111,23 @@ def prepare_folder(spark: SparkSession, path: str) -> None:
     fs.mkdirs(target)
 
 
-def write_images(frames: DataFrame, path: str, encode: Callable[[bytes], bytes] | None = None, quality: int = 70) -> None:
-    """Sink of rendered or rectified images: (oid, content) as Parquet, ``encode`` turning pixels into a file's bytes.
+def webp(quality: int = 70) -> Callable:
+    """An encoder of pixel arrays (height, width, 3) as WebP; needs Pillow, which is not part of the engine."""
+    from io import BytesIO
 
-    WebP at ``quality`` when Pillow is installed and no encoder is given; raw bytes else.
-    """
+    from PIL import Image
+
+    def encode(pixels) -> bytes:
+        out = BytesIO()
+        Image.fromarray(pixels).save(out, "WEBP", quality=quality)
+        return out.getvalue()
+
+    return encode
+
+
+def write_images(frames: DataFrame, path: str, encode: Callable[[bytes], bytes] | None = None, quality: int = 70) -> None:
+    """Sink of rendered or rectified images: (oid, content, quality) as Parquet. ``encode`` turns a row's content into a file's
+    bytes; without one the content is written as it is."""
     import pandas as pd
 
     def coded(batches):

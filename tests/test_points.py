@@ -61,10 +61,55 @@ def test_clusters(four):
     assert {(r.cluster_id, r.point_idx) for r in other} == {(0, 0), (0, 2), (0, 3)}
 
 
-def test_size_limit_keeps_the_point_that_fills_a_cluster():
+def _queue_growth(xyz, tol, least, most):
+    """The rule in plain words: who is visited joins; who joins a cluster that is not full yet has its neighbours wait, too."""
+    label, used, number = [-1] * len(xyz), set(), 0
+    for seed in range(len(xyz)):
+        if seed in used:
+            continue
+        members, waiting = [], [seed]
+        while waiting:
+            p = waiting.pop(0)
+            if p in used:
+                continue
+            used.add(p)
+            members.append(p)
+            if len(members) < most:
+                waiting += [q for q in range(len(xyz)) if math.dist(xyz[p], xyz[q]) < tol]
+        if len(members) >= least:
+            for p in members:
+                label[p] = number
+            number += 1
+    return label
+
+
+def test_size_limit_is_soft():
     line = np.c_[np.arange(10.0), np.zeros(10), np.zeros(10)]
     assert cluster.grow(line, 1.5, 1, 4).tolist() == [0, 0, 0, 0, 1, 1, 1, 1, 2, 2]
-    assert cluster.grow(line, 1.5, 3, 4).tolist() == [0, 0, 0, 0, 1, 1, 1, 1, -1, -1]
+    star = np.array([[0.0, 0, 0], [1, 0, 0], [-1, 0, 0], [0, 1, 0], [0, -1, 0], [0, 0, 1], [0, 0, -1]])
+    assert cluster.grow(star, 1.1, 1, 3).tolist() == [0] * 7  # those that wait when it is full still join
+    rng = np.random.default_rng(4)
+    for n, tol, least, most in ((60, 1.5, 2, 5), (150, 2.0, 3, 10), (150, 1.2, 1, 1), (90, 9.0, 7, 150)):
+        cloud = rng.uniform(-5, 5, (n, 3))
+        assert cluster.grow(cloud, tol, least, most).tolist() == _queue_growth(cloud.tolist(), tol, least, most)
+        assert cluster.grow(cloud, tol, least, None).tolist() == _queue_growth(cloud.tolist(), tol, least, n + 1)
+    odd = np.array([[0.0, 0, 0], [np.nan, 0, 0], [0.5, 0, 0], [np.inf, 0, 0]])
+    assert cluster.grow(odd, 1.0, 1, None).tolist() == [0, 1, 0, 2] == cluster.grow(odd, 1.0, 1, 5).tolist()
+
+
+def test_points_equal_to_a_sample_are_on_the_plane(spark):
+    """All samples coincide: the plane is none, but every point with the sample's values counts."""
+    p = spark.createDataFrame([(0, i, 1.0, 2.0, 3.0, 4.0) for i in range(5)], SCHEMA)
+    assert plane.segment(p, 3, 0.1).where("is_inlier").count() == 5
+
+
+def test_samples_differ_from_iteration_to_iteration(spark):
+    rng = np.random.default_rng(6)
+    p = spark.createDataFrame([(f, i, *map(float, rng.normal(size=4))) for f in (0, 1) for i in range(200)], SCHEMA)
+    got = plane.candidates(p, 60).collect()
+    triples = {(r.frame_id, r.s1, r.s2, r.s3) for r in got}
+    assert len(got) == 120 and len(triples) > 115 and len({(r.s2 - r.s1) % 200 for r in got}) > 50
+    assert len({r.s1 for r in got}) > 60
 
 
 def test_voxel_grid_golden(spark):

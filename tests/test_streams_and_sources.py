@@ -179,3 +179,46 @@ def test_presets_run(spark):
 
     r = pipelines.lidar(bindings.small(spark, "/root/testdata/sf0.001"), presets.WIDE)
     assert set(r.boxes.columns) >= {"frame_id", "box_id", "cluster_id"} and r.clusters.select(F.max("cluster_id")).count() == 1
+
+
+def test_blob_is_scaled_and_fitted():
+    image = np.arange(2 * 4 * 3, dtype=np.uint8).reshape(2, 4, 3) * 10
+    blob = vision.to_blob(image, (4, 2))
+    assert blob.shape == (1, 3, 2, 4) and np.allclose(blob[0, 1], image[..., 1] / 255)
+    small = vision.to_blob(image, (2, 1))
+    assert np.allclose(small[0, 0, 0], [image[:, :2, 0].mean() / 255, image[:, 2:, 0].mean() / 255])
+    assert vision.to_blob(np.full((7, 5), 51, np.uint8)).shape == (1, 1, 416, 416)
+
+
+def test_detector_gets_blobs(spark):
+    images = spark.createDataFrame([("a", bytearray(range(12)), 100, 100)], "image_oid string, content binary, img_w int, img_h int")
+
+    def load():
+        return lambda blob: np.array([[0.5, 0.5, blob.shape[3] / 100, blob.shape[2] / 100, 1.0, float(blob.max() * 255 / 11), 0.0]])
+
+    (r,) = vision.detect(images, load, 2, decode=lambda c: np.frombuffer(c, np.uint8).reshape(2, 2, 3), size=(20, 10)).collect()
+    assert (r.width, r.height, r.class_id) == (20, 10, 0) and r.confidence == pytest.approx(1.0)
+
+
+def test_best_matrix_shows_all_or_only_what_there_is():
+    from sweepline.functions import camera
+    from sweepline.plans.presets import D1, K1
+
+    k, d = np.array(K1), np.array(D1)
+    ray = camera.undistort(k, d, np.array([[100.0, 200.0], [1900.0, 1400.0]]))
+    p = camera.rectify_map(k, d, np.eye(3), k, 2048, 1536)
+    assert p[0].shape == (1536, 2048) and np.isfinite(ray).all()
+    with_all, only = camera.best_matrix(k, d, 2048, 1536, 1.0), camera.best_matrix(k, d, 2048, 1536, 0.0)
+    assert (camera.rectify_map(k, d, np.eye(3), only, 2048, 1536)[0] < 0).mean() < 0.002
+    mx, my = camera.rectify_map(k, d, np.eye(3), with_all, 2048, 1536)
+    assert mx[mx >= 0].min() <= 3 and mx.max() >= 2044 and my[my >= 0].min() <= 3 and my.max() >= 1532
+    beyond = camera.best_matrix(k, d, 2048, 1536)
+    assert np.allclose(beyond, 2 * only - with_all)
+    flat = camera.best_matrix(k, np.zeros(5), 2048, 1536)
+    assert np.allclose(flat, k, atol=1e-6)
+
+
+def test_another_kind_ends_a_run(spark):
+    rows = [(0, "pc", 10, 0), (0, "image", 11, 0), (0, "pc", 20, 1), (0, "fix", 25, 0), (0, "image", 30, 1), (1, "pc", 1, 0), (1, "image", 2, 0)]
+    m = merge.until_other(merge.ordered_merge(spark.createDataFrame(rows, "run_id bigint, kind string, ts_ns bigint, seq bigint")))
+    assert sorted((r.run_id, r.kind, r.ts_ns) for r in m.collect()) == [(0, "image", 11), (0, "pc", 20), (1, "image", 2)]
