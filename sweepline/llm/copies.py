@@ -145,7 +145,7 @@ def _prefixes(path: str, table: HashTable | None = None):
                     by = np.argsort(row << 8 | order[(h >> U(64 - SLOTS)).astype(np.int64)], kind="stable")  # sets are sorted by hash
                     i = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
                     take = i < (n + 4 * n // -5 + 1)[row]
-                    key, row, i = h[by][take], row[take], i[take]
+                    key, row, i = mix(h[by][take]), row[take], i[take]  # prefixes hold the smaller hashes: mixed, they deal evenly
                     if table is not None:
                         held, value = table.find(key)
                         key, row, i, blocks = key[held], row[held], i[held], value["blocks"][held]

@@ -232,7 +232,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         keep = low.where("u != m").select("u", F.col("m").alias("v"))
         e = cut(large.unionByName(keep).where("u != v").repartition("u").mapInArrow(tidy(_contract), "u long, v long"))
         now = e.agg(F.count("*"), F.countDistinct("u"), F.countDistinct("v"), F.sum(F.hash("u", "v").cast("long"))).first()
-        roots = e.join(e.select(F.col("u").alias("v")).distinct().hint("merge"), "v", "left_semi").limit(1).count() if now[0] == now[1] else 1
+        tops, lower = e.select("v").distinct(), e.select(F.col("u").alias("v")).distinct()
+        roots = tops.join(lower.hint("merge"), "v", "left_semi").limit(1).count() if now[0] == now[1] else 1
         if roots == 0 and now[0] == now[1] or tuple(now) == last:
             break
         last = tuple(now)

@@ -1023,6 +1023,45 @@ def test_queries_against_sql(spark, name):
     assert key(got) == key(want)
 
 
+# ---------------------------------------------------------------- long texts
+def test_texts_of_megabytes(spark):
+    """Texts longer than what is worked on at a time, in all operators on documents, over several Arrow batches."""
+    rng = random.Random(30)
+    words_ = vocabulary_of(rng, 30_000)
+    long = " ".join(rng.choices(words_, k=260_000))
+    assert len(long) > bytesnp.BLOCK + (1 << 19)
+    item = " ".join(rng.choices(words_, k=40))
+    texts = [long, "other " + long, " ".join(rng.choices(words_, k=200_000)) + " " + item, *(" ".join(rng.choices(words_, k=20)) for _ in range(30))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        model = lm.train(docs)
+        want = brute_lm(texts, [False] * len(texts), 3)
+        for r in lm.score(docs, model).collect():
+            assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3] and r.score == pytest.approx(want[r.doc_id][4], rel=1e-6)
+        model.drop()
+        bench = spark.createDataFrame([(5, item)], "item_id bigint, text string")
+        assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench).collect()} == {(2, 5)}
+        removed = {r.doc_id: (r.n_removed, r.n_bytes) for r in cdc.deduplicate(docs, report=True).collect()}
+        assert removed[0][0] == 0 == removed[2][0] and removed[1][0] > 0.999 * removed[1][1] - 100
+        brute = brute_repeats([(i, t.encode()) for i, t in enumerate(texts)], 100)
+        for r in suffixes.deduplicate(docs, report=True).collect():
+            kept, n, spans = brute[r.doc_id]
+            assert (r.n_removed, r.n_spans, r.kept_sha256) == (n, spans, hashlib.sha256(kept).hexdigest())
+        prints = {r.doc_id: r.fp & (1 << 64) - 1 for r in simhash.fingerprint(docs).collect()}
+        assert all(prints[i] == brute_fingerprint(texts[i]) for i in range(5))
+        group = {r.doc_id: r.component_id for r in copies.groups(docs).collect()}
+        assert group == {i: 0 if i == 1 else i for i in range(len(texts))}
+        check_pieces(packing.pack(docs).collect(), dict(enumerate(texts)), 2048)
+        x = toxicity.Lexicon({f" {item.split()[0]} ": 3.0}, (), (-5.0, 2.0, 1.0))
+        assert all(0 <= r.score <= 1 for r in toxicity.score(docs, x).collect())
+        turns = docs.selectExpr("1L AS conv_id", "doc_id AS turn", "'assistant' AS role", "text")
+        (r,) = chat.digests(turns).collect()
+        assert r.n_turns == len(texts) and r.loss_sha256 == hashlib.sha256("".join(texts).encode()).hexdigest()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 # ---------------------------------------------------------------- pipeline and registration
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
