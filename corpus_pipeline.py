@@ -7,14 +7,12 @@ one's docs; all but the last return the columns of documents.
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from sweepline.llm import cdc, copies, decontaminate, packing, toxicity
-from sweepline.llm.shared import checkpoint_dir
+from sweepline.storage import drop, new_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +48,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents; what each returns is written to the shared folder and read again. Only the last stage's files stay."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    folder = new_folder(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
-        path = os.path.join(folder, f"{k}_{name}")
+        path = f"{folder}/{k}_{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop(spark, before)
+        before = path
     return docs
