@@ -38,4 +38,17 @@ r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l
 c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a), n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
 SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept FROM v JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)'''
 
-ORACLES: dict[str, str] = {"op8_chat_roundtrip": _CHAT, "op10_ego_join": _VECTORS}
+#: Windows of 100 bytes are taken from stretches of 1,000, as substrings of very long strings are slow.
+_REPEATS = '''WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, 1000 * k AS base, substr(h, 1 + 2000 * k, 2198) AS part FROM (SELECT doc_id, h, unnest(range(CAST(greatest(ceil((length(h) / 2 - 99) / 1000), 0) AS BIGINT))) AS k FROM d)),
+w AS MATERIALIZED (SELECT doc_id, base + i AS s, md5_number(substr(part, 1 + 2 * i, 200)) AS x FROM (SELECT doc_id, base, part, unnest(range(least(1000, length(part) // 2 - 99))) AS i FROM c)),
+f AS (SELECT x, min((doc_id, s)) AS first FROM w GROUP BY x HAVING count(*) > 1),
+l AS MATERIALIZED (SELECT doc_id, s FROM w JOIN f USING (x) WHERE (doc_id, s) <> first),
+e AS (SELECT doc_id, s, s > max(s + 100) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS apart FROM l),
+g AS (SELECT doc_id, s, sum(CASE WHEN apart IS DISTINCT FROM false THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM e),
+sp AS MATERIALIZED (SELECT doc_id, k, min(s) AS a, max(s) + 100 AS b FROM g GROUP BY doc_id, k),
+kept AS (SELECT doc_id, a AS upto, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM sp UNION ALL SELECT d.doc_id, length(h) // 2, coalesce(max(b), 0) FROM d LEFT JOIN sp USING (doc_id) GROUP BY d.doc_id, h)
+SELECT d.doc_id, length(any_value(h)) // 2 AS n_bytes, length(any_value(h)) // 2 - CAST(sum(upto - since) AS BIGINT) AS n_removed, count(*) - 1 AS n_spans,
+  sha256(unhex(string_agg(substr(h, 1 + 2 * since, 2 * (upto - since)), '' ORDER BY since, upto))) AS kept_sha256 FROM d JOIN kept USING (doc_id) GROUP BY d.doc_id'''
+
+ORACLES: dict[str, str] = {"op6_suffix_merge": _REPEATS, "op8_chat_roundtrip": _CHAT, "op10_ego_join": _VECTORS}

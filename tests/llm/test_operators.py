@@ -942,6 +942,26 @@ def test_toxicity_held_out(spark):
     assert got.score.between(0, 1).all()
 
 
+def test_toxicity_scores_are_those_of_the_lexicon(spark):
+    """The query against a search for every term at every place, with the curve written out."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    apart = lm.held_out(folds=4, fold=2)
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where(~apart)
+    x = toxicity.fit(docs.where(~apart), labels)
+    got = {r.doc_id: r for r in toxicity.query(spark, sf).collect()}
+    assert x.terms and len(got) == docs.count()
+    for r in docs.collect()[:300]:
+        folded = toxicity.fold(r.text)
+        places = lambda t: [m.start() for m in re.finditer(f"(?={re.escape(t)})", folded)]
+        covers = [(m, m + len(p)) for p in x.exceptions for m in places(p)]
+        hits = [w for t, w in x.terms.items() for m in places(t) if not any(a <= m and m + len(t) <= b for a, b in covers)]
+        density = math.log1p(1000 * sum(hits) / max(len(folded.split()), 1))
+        z = x.curve[0] + x.curve[1] * density + x.curve[2] * bool(hits)
+        assert got[r.doc_id].score == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-9)
+        assert got[r.doc_id].predicted == (got[r.doc_id].score >= 0.3) and got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
 def test_toxicity_learns_exceptions(spark):
     rng = random.Random(5)
     vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(4000)]
