@@ -7,9 +7,8 @@ codeword in common among those within distance four (one or six of them). So the
 number, exact segment, index of a nearby codeword). Equal keys are verified by the true bit distance.
 
 Only distinct fingerprints are joined, by the smallest id that has them; a bucket's verified pairs are
-reduced to a spanning forest before they leave the task. A bucket with more than ``CROWD`` members is
-linked exactly by midpoints instead: each fingerprint is sent to itself and its 64 neighbours at one
-bit; two fingerprints are within two bits just when they meet somewhere, and at most 65 can meet.
+reduced to a spanning forest before they leave the task. A bucket with more than ``CROWD`` members is dealt into blocks of
+about ``BLOCK``, and each two blocks (and each with itself) are compared in a task of their own: all pairs, no matter how many.
 
 Nulls and texts without words have fingerprint zero and link like any other. Repeated rows share a
 fingerprint. A row without an id gets the component of its fingerprint, but links nothing by itself.
@@ -32,7 +31,7 @@ from .shared import components, cut, forest, tidy
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))  # first bit and width
 RADIUS = 2
-CROWD = 512
+CROWD, BLOCK, STEP = 512, 4096, 256
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -154,11 +153,11 @@ def _emit_keys(batches):
 
 
 # ---------------------------------------------------------------- verification
-_OUT = ["crowd", "u", "v"]
+_OUT = ["crowd", "key", "u", "v"]
 
 
-def _rows(crowd: bool, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), crowd)), pa.array(u), pa.array(v)], _OUT)
+def _rows(crowd: bool, key: np.ndarray, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), crowd)), pa.array(key), pa.array(u), pa.array(v)], _OUT)
 
 
 def _verify(batches):
@@ -180,14 +179,14 @@ def _verify(batches):
         if us:
             u, v = forest(np.concatenate(us), np.concatenate(vs))
             if len(u):
-                yield _rows(False, u, v)
+                yield _rows(False, np.zeros(len(u), np.int64), u, v)
 
     for batch in batches:
         k, f, r = (c.to_numpy() for c in batch.columns)
         if crowd is not None:  # the rest of a crowd that has gone out
             more = np.searchsorted(k, crowd, "right")
             if more:
-                yield _rows(True, f[:more], r[:more])
+                yield _rows(True, k[:more], f[:more], r[:more])
             if more == len(k):
                 continue
             k, f, r, crowd = k[more:], f[more:], r[more:], None
@@ -196,7 +195,7 @@ def _verify(batches):
         size = np.diff(np.r_[at, len(key)])
         big = np.repeat(size > CROWD, size)
         if big.any():
-            yield _rows(True, fp[big], rep[big])
+            yield _rows(True, key[big], fp[big], rep[big])
             crowd = key[-1] if big[-1] else None
         last = np.repeat(np.arange(len(at)) == len(at) - 1, size)
         done = ~big & ~last
@@ -206,19 +205,53 @@ def _verify(batches):
     yield from links(key, fp, rep)
 
 
+def _blocks(batches):
+    """Rows (key, a, b, own, fp, rep) sorted by (key, a, b): forests of the pairs within the radius of each two blocks."""
+    held = None
+
+    def links(col):
+        _, a, b, own, fp, rep = col
+        u = v = np.zeros(0, np.int64)
+        for s in range(0, len(fp), STEP):
+            near = np.bitwise_count((fp[s : s + STEP, None] ^ fp[None, s:]).view(U)) <= RADIUS
+            i, j = np.nonzero(near)
+            ok = (i < j) & ((a[0] == b[0]) | (own[s + i] != own[s + j]))
+            u, v = forest(np.r_[u, rep[s + i[ok]]], np.r_[v, rep[s + j[ok]]])
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    def out(col):
+        if len(col[0]):
+            at = np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in col[:3]])])
+            for s, e in zip(at, [*at[1:], len(col[0])], strict=True):
+                yield from links([c[s:e] for c in col])
+
+    for batch in batches:
+        col = [c.to_numpy().astype(np.int64, copy=False) for c in batch.columns]
+        if held is not None:
+            col = [np.r_[p, q] for p, q in zip(held, col, strict=True)]
+        if not len(col[0]):
+            continue
+        last = np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in col[:3]])])[-1]
+        yield from out([c[:last] for c in col])
+        held = [c[last:] for c in col]
+    if held is not None:
+        yield from out(held)
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """Edges (u, v) between the ids of distinct fingerprints (fp, rep), with the components of all links within two bits."""
     pairs = (
         distinct.where("rep is not null").select("fp", "rep").mapInArrow(tidy(_emit_keys), "key long, fp long, rep long")
-        .repartition("key").sortWithinPartitions("key", "fp").mapInArrow(tidy(_verify), "crowd boolean, u long, v long")
+        .repartition("key").sortWithinPartitions("key", "fp").mapInArrow(tidy(_verify), "crowd boolean, key long, u long, v long")
     )
     pairs = cut(pairs)
-    crowds = pairs.where("crowd").select(F.col("u").alias("fp"), F.col("v").alias("rep")).distinct()
-    near = F.expr("transform(sequence(0, 64), i -> if(i = 64, fp, fp ^ shiftleft(1L, cast(i as int))))")
-    met = crowds.select("rep", F.explode(near).alias("mid"))
-    low = met.groupBy("mid").agg(F.min("rep").alias("v"), F.count("*").alias("n")).where("n > 1")
-    bridged = met.join(low, "mid").select(F.col("rep").alias("u"), "v").where("u != v")
-    return pairs.where("not crowd").select("u", "v").unionByName(bridged)
+    crowds = pairs.where("crowd").select("key", F.col("u").alias("fp"), F.col("v").alias("rep"))
+    sizes = cut(crowds.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    dealt = crowds.join(sizes.hint("merge"), "key").withColumn("own", F.expr("cast(pmod(xxhash64(fp), blocks) as int)")).withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("key", F.least("own", "o").alias("a"), F.greatest("own", "o").alias("b"), "own", "fp", "rep")
+    met = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(tidy(_blocks), "u long, v long")
+    return pairs.where("not crowd").select("u", "v").unionByName(met)
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -739,7 +739,7 @@ def test_simhash_query(spark):
 
 @pytest.mark.parametrize("crowd", [512, 6])
 def test_links_are_complete(spark, crowd, monkeypatch):
-    """Dense families of fingerprints, with and without the way of crowds."""
+    """Dense families of fingerprints, with and without buckets that are dealt into blocks."""
     rng = random.Random(9)
     fps = set()
     for _ in range(12):
@@ -748,6 +748,7 @@ def test_links_are_complete(spark, crowd, monkeypatch):
             fps.add(base ^ sum({1 << rng.randrange(64) for _ in range(rng.randint(0, 5))}))
     rows = [(f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(sorted(fps))]
     monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "BLOCK", 3 if crowd == 6 else 4096)
     monkeypatch.setattr(simhash, "_verify", _with_crowd(simhash._verify, crowd))
     got = {r.node: r.component for r in shared.components(simhash.links(spark.createDataFrame(rows, "fp long, rep long"))).collect()}
     vals = [f & (1 << 64) - 1 for f, _ in rows]
