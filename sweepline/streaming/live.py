@@ -1,8 +1,8 @@
 """Live forms of the merge, the latest-state join and the two-frame history.
 
-Spark hands rows over unordered within a micro-batch. Rows wait in the state of their run until the watermark has passed
-their time, then leave in merge order; what waits is bounded by the watermark's delay. Spark leaves out rows older than
-the watermark, so the delay must cover what the recorder may reorder; a row that still comes after its place is merged
+Spark hands rows over unordered within a micro-batch. Rows wait in the state of their run until the run's newest time is
+``delay`` past theirs, then leave in merge order; what waits is bounded by the delay. No row is ever left out: the run keeps its
+own edge instead of Spark's watermark, which drops what is older. A row that comes after its place is merged
 where it comes and told by ``late``. A row of kind ``end`` at ``END_TS`` says that its run is whole and lets everything out.
 """
 
@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.merge import CLOUD, IMAGE
@@ -35,17 +34,18 @@ def merge_stream(messages: DataFrame, delay: str = "10 seconds", drop_first: boo
     ``pc_seq`` and ``image_seq`` are null until both kinds were seen; ``older_pos`` is null on the first fused event.
     """
 
+    reach = pd.Timedelta(delay).value
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"wait": [], "eff": {}, "pos": -1 if drop_first else 0, "done": None, "latest": {}, "fused": None, "last": None}
+        held = json.loads(state.get[0]) if state.exists else {"wait": [], "eff": {}, "pos": -1 if drop_first else 0, "done": None, "latest": {}, "fused": None, "top": None}
         ended = False
         rows = []
         for pdf in batches:
             ended |= bool((pdf["kind"] == END).any())
             pdf = pdf[pdf["kind"] != END]
             rows += zip(pdf["seq"].tolist(), pdf["kind"].tolist(), pdf["ts_ns"].tolist(), strict=True)
-        if state.hasTimedOut:
-            ended = held["last"] is not None and state.getCurrentWatermarkMs() * 1_000_000 >= held["last"]
-        edge = None if ended else state.getCurrentWatermarkMs() * 1_000_000
+        held["top"] = max((t for *_, t in rows), default=held["top"]) if held["top"] is None else max([held["top"], *(t for *_, t in rows)])
+        edge = None if ended or held["top"] is None else held["top"] - reach
         wait = held["wait"] + [[s, k, t] for s, k, t in rows]
         wait.sort()
         eff, line = dict(held["eff"]), []
@@ -71,14 +71,10 @@ def merge_stream(messages: DataFrame, delay: str = "10 seconds", drop_first: boo
             if both:
                 held["fused"] = pos
         held["wait"] = keep
-        held["last"] = max((t for *_, t in keep), default=None)
         state.update((json.dumps(held),))
-        if keep:
-            state.setTimeoutTimestamp(max(held["last"] // 1_000_000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=_COLUMNS).astype({"pc_seq": "Int64", "image_seq": "Int64", "older_pos": "Int64"})
 
-    timed = messages.withColumn("event_time", F.timestamp_micros(F.floor(F.col("ts_ns") / 1000).cast("bigint"))).withWatermark("event_time", delay)
-    return timed.groupBy("run_id").applyInPandasWithState(step, _OUT, "held string", "append", GroupStateTimeout.EventTimeTimeout)
+    return messages.groupBy("run_id").applyInPandasWithState(step, _OUT, "held string", "append", GroupStateTimeout.NoTimeout)
 
 
 def latest_state(merged: DataFrame) -> DataFrame:

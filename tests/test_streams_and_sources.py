@@ -74,6 +74,18 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, live.latest_state(got).collect())) == sorted(map(tuple, state.collect()))
 
 
+def test_late_rows_are_merged_and_told(spark, tmp_path):
+    """An image that comes long after its time is not lost: it stands where it came."""
+    second = 1_000_000_000
+    files = [[(0, "pc", 10, 0), (0, "pc", 20, 1), (0, "pc", 100, 2), (0, "pc", 120, 3)], [(0, "image", 5, 4), (0, "image", 130, 5)], [(0, "pc", 200, 6)], [(0, live.END, live.END_TS // second, 9)]]
+    for i, rows in enumerate(files):
+        df = spark.createDataFrame([(r, k, t * second, s) for r, k, t, s in rows], "run_id bigint, kind string, ts_ns bigint, seq bigint")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    live.run_available(live.merge_stream(live.read_messages(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "state"))
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("pos").collect()
+    assert [(r.seq, r.late) for r in got] == [(1, False), (2, False), (4, True), (3, False), (5, False), (6, False)]
+
+
 def _header(sec, nano):
     return ((sec, nano), "lidar")
 
