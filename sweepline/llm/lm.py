@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesnp import BLOCK, U, Spans, fold_case, mix, slices, words
-from .shared import HashTable, Scratch, bits_for, cut, put_array, tidy
+from .shared import CACHES, HashTable, Scratch, bits_for, cut, put_array, tidy
 
 ORDER = 3
 BOS, EOS = U(0x5D1E0F3B2C4A6978), U(0x7A3C5E9F1B2D4860)
@@ -267,6 +267,9 @@ def _counts(path: str) -> np.ndarray:
     return np.memmap(path, "<u8", "r")
 
 
+CACHES.extend([_part, _counts])
+
+
 # ---------------------------------------------------------------- model
 @dataclass
 class Model:

@@ -29,7 +29,12 @@ def tidy(run):
     return whole
 
 
+CACHES: list = []  # of mapped files: a worker that is kept must not hold files that are deleted
+
+
 def release() -> None:
+    for cache in CACHES:
+        cache.cache_clear()
     pa.default_memory_pool().release_unused()
     if _TRIM is not None:
         _TRIM(0)
@@ -106,6 +111,9 @@ def _mapped(path: str, dtype: str):
     return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.zeros(0, dtype)
 
 
+CACHES.append(_mapped)
+
+
 class HashTable:
     """Sorted uint64 keys with value columns, one file per column and bucket (top ``bits`` bits of the key).
 

@@ -76,7 +76,7 @@ def test_lost_files_are_errors(spark):
     ask = np.array([k << 58 for k in range(-30, 30)], np.int64).view(np.uint64)
     assert table.find(ask)[0].all()
     scratch.drop()
-    shared._mapped.cache_clear()
+    shared.release()
     with pytest.raises(OSError):
         table.find(ask)
 
