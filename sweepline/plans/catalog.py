@@ -350,17 +350,33 @@ def cluster_boxes(spark, d) -> DataFrame:
 
 
 PIPE = LidarPipeline((60, 40, 30), ((-20.0, -18.0, -18.0), (20.0, 18.0, 18.0)), ((-1.5, -1.5, -1.5), (1.5, 1.5, 1.5)), 5, 1.0, 7.0, 3, None)
-_PIPE = f"""WITH RECURSIVE {_voxel_sql(b.SMALL_SQL, PIPE.leaves)}, w AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY box_idx DESC) - 1 AS point_idx FROM v),
- k AS MATERIALIZED (SELECT * FROM w WHERE {_inside_sql(*PIPE.keep)} AND NOT ({_inside_sql(*PIPE.drop)})), {_plane_sql('k', PIPE.iterations, PIPE.plane_limit)},
- o AS MATERIALIZED (SELECT frame_id, point_idx, x, y, z FROM sg WHERE NOT is_inlier), {_cluster_sql('o', PIPE.tol, PIPE.least)},
- cb AS (SELECT cl.frame_id, cl.cluster_id, count(*) AS n_points, {_EXTENTS} FROM cl JOIN o ON o.frame_id = cl.frame_id AND o.point_idx = cl.point_idx GROUP BY 1, 2)"""
+WIDER = LidarPipeline((40, 40, 12), ((-25.0, -20.0, -18.0), (25.0, 20.0, 18.0)), None, 3, 1.5, 9.0, 5, None)
 
 
-@query(f"{_PIPE} SELECT frame_id, cluster_id, n_points, {_sq(BOX)}, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY cluster_id) - 1 AS INTEGER) AS box_id FROM cb WHERE {_RULE_SQL}")
+def _pipe_sql(pipe: LidarPipeline) -> str:
+    drop = f" AND NOT ({_inside_sql(*pipe.drop)})" if pipe.drop else ""
+    return f"""WITH RECURSIVE {_voxel_sql(b.SMALL_SQL, pipe.leaves)}, w AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY box_idx DESC) - 1 AS point_idx FROM v),
+ k AS MATERIALIZED (SELECT * FROM w WHERE {_inside_sql(*pipe.keep)}{drop}), {_plane_sql('k', pipe.iterations, pipe.plane_limit)},
+ o AS MATERIALIZED (SELECT frame_id, point_idx, x, y, z FROM sg WHERE NOT is_inlier), {_cluster_sql('o', pipe.tol, pipe.least)},
+ cb AS (SELECT cl.frame_id, cl.cluster_id, count(*) AS n_points, {_EXTENTS} FROM cl JOIN o ON o.frame_id = cl.frame_id AND o.point_idx = cl.point_idx GROUP BY 1, 2)
+ SELECT frame_id, cluster_id, n_points, {_sq(BOX)}, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY cluster_id) - 1 AS INTEGER) AS box_id FROM cb WHERE {_RULE_SQL}"""
+
+
+def _pipe(spark, d, pipe: LidarPipeline) -> DataFrame:
+    r = pipelines.lidar(b.small(spark, d), pipe, _RULE).boxes
+    return r.select("frame_id", "cluster_id", "n_points", *(_q(c).alias(c) for c in BOX), "box_id")
+
+
+@query(_pipe_sql(PIPE))
 def lidar_pipeline(spark, d) -> DataFrame:
     """Points to plausible boxes."""
-    r = pipelines.lidar(b.small(spark, d), PIPE, _RULE).boxes
-    return r.select("frame_id", "cluster_id", "n_points", *(_q(c).alias(c) for c in BOX), "box_id")
+    return _pipe(spark, d, PIPE)
+
+
+@query(_pipe_sql(WIDER))
+def wide_lidar_pipeline(spark, d) -> DataFrame:
+    """The preset without an ego crop: coarser cells, a wider crop, a looser plane, farther neighbours."""
+    return _pipe(spark, d, WIDER)
 
 
 # ---------------------------------------------------------------- cameras
@@ -734,6 +750,22 @@ def class_file(spark, d) -> DataFrame:
     return _scanned(spark, "classes", lambda f: put_bytes(spark, f"{f}/names", ("\n".join(names) + "\n").encode()), lambda f: class_names(spark, f"{f}/names"))
 
 
+_SHIFT = 3
+
+
+@query(f"""WITH i AS (SELECT n_nationkey AS oid, v, u, CASE WHEN u >= {_SHIFT} THEN (n_nationkey * 7 + v * 8 + u - {_SHIFT}) % 251 ELSE 0 END AS pixel FROM nation, range(6) r(v), range(8) s(u))
+ SELECT CAST(oid AS VARCHAR) AS oid, CAST(sum(pixel) AS BIGINT) AS total, CAST(sum(pixel * (v * 8 + u)) AS BIGINT) AS weighted FROM i GROUP BY oid""")
+def rectified_images(spark, d) -> DataFrame:
+    """Images remapped in the tasks; the new principal point moves every pixel to the right."""
+    pixels = f"array_join(transform(sequence(0, 47), i -> lpad(hex((n_nationkey * 7 + i) % 251), 2, '0')), '')"  # noqa: F541
+    images = b.table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("oid"), F.unhex(F.expr(pixels)).alias("content"))
+    k = np.array([[10.0, 0.0, 4.0], [0.0, 10.0, 3.0], [0.0, 0.0, 1.0]])
+    new_k = k + np.array([[0.0, 0.0, _SHIFT], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]])
+    got = pipelines.rectify(images, k, np.zeros(5), np.eye(3), new_k, (8, 6), lambda c: np.frombuffer(c, np.uint8).reshape(6, 8), lambda x: x.tobytes())
+    values = F.expr("transform(sequence(1, 48), i -> cast(conv(hex(substring(content, i, 1)), 16, 10) AS bigint))")
+    return got.select("oid", F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), F.expr("aggregate(transform(sequence(1, 48), i -> cast(conv(hex(substring(content, i, 1)), 16, 10) AS bigint) * (i - 1)), 0L, (a, x) -> a + x)").alias("weighted"))
+
+
 def _matrix_rows():
     held = {n: m for n, m in calibration().matrices.items()}
     return held | {n: np.arange(9.0).reshape(3, 3) + i for i, n in enumerate(NAMES) if n not in held}
