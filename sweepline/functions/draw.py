@@ -31,6 +31,16 @@ def label(box_id: Column, name: Column, confidence: Column) -> Column:
     return F.format_string("%d %s %3.2f", box_id, name, confidence)
 
 
+def label_box(left: Column, top: Column, text_width: Column, text_height: Column, baseline: Column, widen: float = 1.05, heighten: float = 1.25) -> tuple[Column, Column, Column, Column]:
+    """(left, top, width, height) of the filled rectangle behind a label that stands on ``top``, never above the image.
+
+    The size of the text comes from the sink's font. Factors are those of the image; the view from above has 1.5 for both.
+    """
+    scaled = lambda c, k: F.round(F.lit(k).cast("float") * c.cast("float")).cast("int")
+    tall = scaled(text_height, heighten)
+    return left, F.greatest(top, text_height) - tall, scaled(text_width, widen), baseline + tall
+
+
 def marker_colour(box_id: Column, target: Column | None = None) -> Column:
     """Colour of a box: the target's differs."""
     target = F.lit(99_999) if target is None else F.coalesce(target, F.lit(99_999))

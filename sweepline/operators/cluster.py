@@ -124,6 +124,9 @@ def clusters(points: DataFrame, tol: float, least: int = 1, most: int | None = N
     return rows.groupBy("frame_id").applyInPandas(run, schema)
 
 
+clusters_parallel = clusters  # frames run side by side; seeds are all points, none is drawn at random
+
+
 def components(points: DataFrame, tol: float, least: int = 1, rounds: int = 50) -> DataFrame:
     """As ``clusters`` without a size limit, by smallest labels passed along the links, doubling their reach a round."""
     rows = distinct_points(points)

@@ -59,3 +59,9 @@ def last_two(fused: DataFrame) -> DataFrame:
     """The positions of the newest two fused events, at each event: oldest first."""
     two = Window.partitionBy("run_id").orderBy("pos").rowsBetween(-1, 0)
     return fused.withColumn("recent", F.collect_list("pos").over(two))
+
+
+def video_frames(fused: DataFrame, fps: int = 50) -> DataFrame:
+    """Add the number of a run's frame (from 0, one a fused event) and the time in nanoseconds at which a video of ``fps`` shows it."""
+    number = (F.row_number().over(Window.partitionBy("run_id").orderBy("pos")) - 1).cast("bigint")
+    return fused.withColumn("frame_seq", number).withColumn("show_ns", F.expr(f"frame_seq * 1000000000 div {fps}"))

@@ -22,7 +22,7 @@ from ..sources.messages import class_names, decode, describe, image_files, run_p
 from ..storage import cut, drop, new_folder, put_bytes
 from ..streaming import live
 from . import bindings as b
-from . import pipelines
+from . import pipelines, raster
 from .presets import LidarPipeline, calibration
 
 OFFSET = 0.31830988618
@@ -808,6 +808,38 @@ def topview_boxes(spark, d) -> DataFrame:
     return rects.select("frame_id", "box_id", "ax", "ay", "bx", "by", "label", F.col("colour")[0].alias("blue"))
 
 
+@query(f"""WITH {_NUMBERED}, pt AS ({b.SMALL_SQL}), r AS (SELECT frame_id, {_TOP('min', 'min')[0]} AS ax, {_TOP('min', 'min')[1]} AS ay, {_TOP('max', 'max')[0]} AS bx, {_TOP('max', 'max')[1]} AS by FROM nb),
+px AS (SELECT frame_id, CAST(trunc(y * -5 + 60.0::DOUBLE) AS BIGINT) AS px, CAST(trunc(x * -5 + 250.0::DOUBLE) AS BIGINT) AS py FROM pt
+ UNION SELECT frame_id, unnest(range(least(ax, bx), greatest(ax, bx) + 1)), ay FROM r UNION SELECT frame_id, unnest(range(least(ax, bx), greatest(ax, bx) + 1)), r.by FROM r
+ UNION SELECT frame_id, ax, unnest(range(least(ay, r.by), greatest(ay, r.by) + 1)) FROM r UNION SELECT frame_id, bx, unnest(range(least(ay, r.by), greatest(ay, r.by) + 1)) FROM r)
+SELECT frame_id, count(*) AS n_drawn, 180000 AS n_bytes FROM px WHERE px BETWEEN 0 AND 119 AND py BETWEEN 0 AND 499 GROUP BY frame_id""")
+def topview_raster(spark, d) -> DataFrame:
+    """The view from above as pixels: 120 by 500, points and boxes."""
+    p = b.small(spark, d)
+    dots, rects = pipelines.top_view_list(p, lidar_boxes.plausible(_small_boxes(spark, d), _RULE))
+    width, height = draw.WORLD_WIDTH * draw.PIXELS, draw.WORLD_LENGTH * draw.PIXELS
+    return raster.render(dots, raster.edges_of(rects), width, height).select("frame_id", "n_drawn", F.length("content").alias("n_bytes"))
+
+
+_HIGH = lambda k: f"CAST(round(CAST({k} AS FLOAT) * CAST(h AS FLOAT)) AS INTEGER)"
+
+
+@query(f"""WITH ib AS (SELECT box_id, "left", top, CAST(5 + box_id % 60 AS INTEGER) AS w, CAST(8 + box_id % 13 AS INTEGER) AS h FROM ({b.BOXES_SQL}))
+SELECT box_id, "left", greatest(top, h) - {_HIGH(1.25)} AS top, CAST(round(CAST(1.05 AS FLOAT) * CAST(w AS FLOAT)) AS INTEGER) AS width, 4 + {_HIGH(1.25)} AS height, greatest(top, h) - {_HIGH(1.5)} AS seen_from_above FROM ib""")
+def label_boxes(spark, d) -> DataFrame:
+    """Rectangles behind labels, for texts of given sizes."""
+    left, top, w, h = F.col("left"), F.col("top"), (F.lit(5) + F.col("box_id") % 60).cast("int"), (F.lit(8) + F.col("box_id") % 13).cast("int")
+    at = draw.label_box(left, top, w, h, F.lit(4))
+    above = draw.label_box(left, top, w, h, F.lit(4), 1.5, 1.5)
+    return b.image_boxes(spark, d).select("box_id", *(c.alias(n) for c, n in zip(at, ("left", "top", "width", "height"), strict=True)), above[1].alias("seen_from_above"))
+
+
+@query(f"WITH {_merge_sql(b.EXACT_TS)}, {_STATE} SELECT run_id, pos, pc_seq, image_seq, row_number() OVER (PARTITION BY run_id ORDER BY pos) - 1 AS frame_seq, (row_number() OVER (PARTITION BY run_id ORDER BY pos) - 1) * 20000000 AS show_ns FROM fu")
+def video_frames(spark, d) -> DataFrame:
+    """The frames of a video of 50 a second, one a fused event."""
+    return merge.video_frames(latest_state_join(spark, d)).select("run_id", "pos", "pc_seq", "image_seq", "frame_seq", "show_ns")
+
+
 def _toy_detector():
     """A stand-in for a network: one box an image, sized by the number of bytes."""
 

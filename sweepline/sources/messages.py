@@ -139,6 +139,17 @@ def write_images(frames: DataFrame, path: str, encode: Callable[[bytes], bytes]
     frames.select("oid", "content").mapInPandas(coded, "oid string, content binary, quality int").write.mode("overwrite").parquet(path)
 
 
+def write_frames(frames: DataFrame, path: str) -> None:
+    """Sink of video frames (run_id, frame_seq, content and more) as Parquet, files and rows in the order of play, for an external muxer."""
+    frames.repartitionByRange("run_id", "frame_seq").sortWithinPartitions("run_id", "frame_seq").write.mode("overwrite").parquet(path)
+
+
+def dump(df: DataFrame, by: list[str], n: int = 20) -> None:
+    """Print the first ``n`` rows in the given order, whole values; payloads are shown by their size."""
+    shown = [F.concat(F.lit("<"), F.octet_length(f"`{f.name}`").cast("string"), F.lit(" bytes>")).alias(f.name) if f.dataType.simpleString() == "binary" else F.col(f"`{f.name}`") for f in df.schema]
+    df.orderBy(*by).limit(n).select(*shown).show(n, truncate=False)
+
+
 def run_paths(root: str, run: str) -> dict[str, str]:
     """Paths of one recorded run."""
     return {"point_cloud2": f"{root}/parquet/point_cloud2_{run}.parquet", "image": f"{root}/parquet/image_{run}.parquet", "images": f"{root}/images_{run}/", "rectified": f"{root}/rectified_{run}"}

@@ -234,3 +234,52 @@ def test_another_kind_ends_a_run(spark):
     rows = [(0, "pc", 10, 0), (0, "image", 11, 0), (0, "pc", 20, 1), (0, "fix", 25, 0), (0, "image", 30, 1), (1, "pc", 1, 0), (1, "image", 2, 0)]
     m = merge.until_other(merge.ordered_merge(spark.createDataFrame(rows, "run_id bigint, kind string, ts_ns bigint, seq bigint")))
     assert sorted((r.run_id, r.kind, r.ts_ns) for r in m.collect()) == [(0, "image", 11), (0, "pc", 20), (1, "image", 2)]
+
+
+def test_render_against_pixels_one_by_one(spark):
+    from sweepline.plans import raster
+
+    rng = random.Random(3)
+    w, h = 23, 17
+    dots = [(f, i, rng.choice([None, *range(-3, 30)]), rng.randrange(-3, 25), [rng.uniform(-50, 300) for _ in range(3)]) for f in (1, 2) for i in range(150)]
+    lines = [(f, k, 0, *(rng.randrange(-40, 60) for _ in range(4)), [float(k), 9.0, 255.0]) for f in (1, 3) for k in range(25)] + [(3, 99, 0, 5, 5, 5, 5, [1.0, 2.0, 3.0]), (3, 98, 0, None, 1, 2, 3, [0.0, 0.0, 0.0])]
+    lines += [(3, 100, 0, -2_000_000_000, 8, 2_000_000_000, 8, [7.0, 7.0, 7.0])]
+    want = {}
+    for f, _, x, y, c in dots:
+        image = want.setdefault(f, {})
+        if x is not None and 0 <= x < w and 0 <= y < h:
+            image[x, y] = [min(255, max(0, int(np.floor(v + 0.5)))) for v in c]
+    for f, _, _, ax, ay, bx, by, c in sorted(lines, key=lambda r: r[1]):
+        image = want.setdefault(f, {})
+        if ax is None:
+            continue
+        if abs(bx - ax) > 1000:
+            image.update({(x, ay): c for x in range(w)})
+            continue
+        n = max(abs(bx - ax), abs(by - ay))
+        for t in range(n + 1):
+            x, y = (int(np.floor(a + t * (b - a) / max(n, 1) + 0.5)) for a, b in ((ax, bx), (ay, by)))
+            if 0 <= x < w and 0 <= y < h:
+                image[x, y] = c
+    d = spark.createDataFrame(dots, "frame_id int, point_idx int, px int, py int, colour array<double>")
+    s = spark.createDataFrame(lines, "frame_id int, box_id int, side int, ax int, ay int, bx int, by int, colour array<double>")
+    got = {r.frame_id: r for r in raster.render(d, s, w, h).collect()}
+    assert set(got) == set(want)
+    for f, image in want.items():
+        whole = np.zeros((h, w, 3), np.uint8)
+        for (x, y), c in image.items():
+            whole[y, x] = c
+        assert bytes(got[f].content) == whole.tobytes() and got[f].n_drawn == len(image)
+    assert raster.render(d.limit(0), s.limit(0), w, h).count() == 0
+
+
+def test_frames_are_written_in_the_order_of_play(spark, tmp_path, capsys):
+    fused = spark.createDataFrame([(r, p, 2 * p, p) for r in (1, 0) for p in (9, 4, 6)], "run_id bigint, pos bigint, pc_seq bigint, image_seq bigint")
+    frames = merge.video_frames(fused, 25).withColumn("content", F.lit(b"abc"))
+    msg.write_frames(frames, str(tmp_path / "frames"))
+    rows = [tuple(r) for r in spark.read.parquet(str(tmp_path / "frames")).orderBy("run_id", "frame_seq").select("run_id", "pos", "frame_seq", "show_ns").collect()]
+    assert rows == [(r, p, k, 40_000_000 * k) for r in (0, 1) for k, p in enumerate((4, 6, 9))]
+    capsys.readouterr()
+    msg.dump(frames, ["run_id", "pos"], 2)
+    shown = capsys.readouterr().out
+    assert "<3 bytes>" in shown and shown.count("|0 ") >= 2
