@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
-import re
 import shutil
-import tempfile
 import uuid
 from functools import lru_cache
 
@@ -15,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut, shared_folder
+
 
 # ---------------------------------------------------------------- workers
 def tidy(run):
@@ -51,27 +51,6 @@ _TRIM = _libc_trim()
 
 
 # ---------------------------------------------------------------- shared folder
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set only where none is configured (tests)."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = getattr(checkpoint_dir, "own", None)
-        if root is None or not os.path.isdir(root):
-            root = checkpoint_dir.own = tempfile.mkdtemp(prefix="sweepline-ckpt-")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(root)
-    return root
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder (survives lost executors)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     have = {c.lower() for c in df.columns}
@@ -88,7 +67,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, tag: str):
-        root = checkpoint_dir(spark)
+        root = shared_folder(spark)
         if "://" in root and not root.startswith("file:"):
             raise ValueError(f"mmapped arrays need a mounted shared folder, not {root}")
         root = root.removeprefix("file://").removeprefix("file:")
